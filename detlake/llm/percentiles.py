@@ -9,9 +9,10 @@ Error. Encoding moves a value by at most 2^-(LEVELS+1). One counter row errs on
 deviation of sqrt(F2 / WIDTH) where F2 <= n * (largest interval count); the median over rows and the sum over the signed
 levels keep the rank error under RANK_ERROR * n with great margin on spread-out data; the tests measure it.
 
-Scale. Every task sketches its own rows, in memory bounded by MAX_CELLS (a full set is emitted and begun anew, which
-addition allows), and small sketches travel as their non-zero cells. Partial sketches are added in two steps, spread first
-by a salt, so that no task reads more than a bounded share of them, whatever class is hot.
+Scale. Every task pre-aggregates its rows to distinct encoded values a group, in bounded portions; these travel in place
+of partial sketches where they are shorter. Partial sketches are added in two steps, spread first by a salt, so that no
+task reads more than a bounded share of them, whatever class is hot. The unit that is kept is the sketch of a class and a
+day; percentiles over all days (or any of them) come from the sum of the daily sketches.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from pyspark.sql import types as T
 
 from detlake.session import norm
 
-LEVELS, EXACT_LEVELS, ROWS, WIDTH = 20, 10, 5, 1024
+LEVELS, EXACT_LEVELS, ROWS, WIDTH = 20, 10, 5, 512
 #: Stated bound on |rank(estimate) / n - q|.
 RANK_ERROR = 0.01
-#: Counters that a task holds at once (8 bytes each).
-MAX_CELLS = 8_000_000
-SALTS = 64
+#: Rows that a task pre-aggregates at once, and values that a sum holds before it sketches them.
+HELD_ROWS, MOST_VALUES = 200_000, 1 << 18
+SALTS = 16
 
 #: Cells: exact levels one after the other (level l begins at 2^l), then level, row, column of the signed ones.
 EXACT_CELLS = 2 << EXACT_LEVELS
@@ -45,7 +46,7 @@ def encode(value: np.ndarray) -> np.ndarray:
     return np.minimum((value * (1 << LEVELS)).astype(np.int64), (1 << LEVELS) - 1)
 
 
-def decode(code: int) -> float:
+def decode(code):
     """The middle of a code's interval."""
     return (code + 0.5) / (1 << LEVELS)
 
@@ -79,118 +80,139 @@ def cells_of(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def count(cells: np.ndarray, level: int, node: int) -> float:
+def estimate(cells: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
+    """Values in dyadic intervals of one level."""
     if level <= EXACT_LEVELS:
-        return float(cells[(1 << level) + node])
+        return cells[(1 << level) + node].astype(float)
     found = []
     for row in range(ROWS):
-        column, sign = _signed(np.array([node]), level, row)
-        found.append(int(sign[0]) * int(cells[EXACT_CELLS + ((level - EXACT_LEVELS - 1) * ROWS + row) * WIDTH + int(column[0])]))
-    return float(np.median(found))
+        column, sign = _signed(node, level, row)
+        found.append(sign * cells[EXACT_CELLS + ((level - EXACT_LEVELS - 1) * ROWS + row) * WIDTH + column])
+    return np.median(found, axis=0)
 
 
-def quantile(cells: np.ndarray, q: float) -> float | None:
-    """Value at rank max(1, ceil(q n)), found by descending the levels; None of an empty sketch."""
-    n = int(cells[1])
+def quantiles(cells: np.ndarray, qs) -> np.ndarray:
+    """Values at ranks max(1, ceil(q n)), found by descending the levels; NaN of an empty sketch."""
+    qs, n = np.asarray(qs, float), int(cells[1])
     if n <= 0:
-        return None
-    rank, node, mass = max(1, int(np.ceil(q * n))), 0, float(n)
+        return np.full(len(qs), np.nan)
+    rank, node, mass = np.maximum(1, np.ceil(qs * n)), np.zeros(len(qs), np.int64), np.full(len(qs), float(n))
     for level in range(1, LEVELS + 1):
-        left = min(max(count(cells, level, 2 * node), 0.0), mass)
-        right = min(max(count(cells, level, 2 * node + 1), 0.0), mass)
-        if level > EXACT_LEVELS and left + right > 0:  # both estimates err; the parent's count is the better known sum
-            left = mass * left / (left + right)
-        if rank <= left or left >= mass:
-            node, mass = 2 * node, left
-        else:
-            node, mass, rank = 2 * node + 1, mass - left, rank - left
+        left = np.clip(estimate(cells, level, 2 * node), 0, mass)
+        if level > EXACT_LEVELS:  # both halves' estimates err; the parent's count is the better known sum
+            both = left + np.clip(estimate(cells, level, 2 * node + 1), 0, mass)
+            left = np.where(both > 0, mass * left / np.maximum(both, 1e-300), left)
+        go_left = (rank <= left) | (left >= mass)
+        node = 2 * node + ~go_left
+        mass, rank = np.where(go_left, left, mass - left), np.where(go_left, rank, rank - left)
     return decode(node)
 
 
-def _pack(cells: np.ndarray) -> bytes:
-    """Non-zero cells as positions and counts, or all cells if that is shorter."""
-    which = np.flatnonzero(cells)
-    if len(which) * 12 < len(cells) * 8:
-        return b"s" + which.astype(np.int32).tobytes() + cells[which].tobytes()
-    return b"d" + cells.tobytes()
+def _dense(cells: np.ndarray) -> bytes:
+    """A whole sketch, compressed: most counters of a small group are near zero."""
+    return b"d" + zlib.compress(cells.tobytes(), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    if data[:1] == b"d":
-        return np.frombuffer(data, np.int64, offset=1)
-    n = (len(data) - 1) // 12
-    out = np.zeros(CELLS, np.int64)
-    out[np.frombuffer(data, np.int32, n, 1)] = np.frombuffer(data, np.int64, n, 1 + 4 * n)
-    return out
+class Sum:
+    """A sum of sketches. Rows not yet sketched travel as encoded values with weights, which are as good as their sketch."""
 
+    def __init__(self):
+        self.codes: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.size, self.cells = 0, None
 
-def _sketch(keys: list[str], metrics: list[str], weight: str | None):
-    """Rows (keys, metrics, weight) -> (keys, metric, salt, cells)."""
+    def add(self, data: bytes) -> None:
+        if data[:1] == b"d":
+            cells = np.frombuffer(zlib.decompress(data[1:]), np.int64)
+            self.cells = cells.copy() if self.cells is None else self.cells + cells
+        else:
+            n = (len(data) - 1) // 12
+            self.codes.append(np.frombuffer(data, np.int32, n, 1))
+            self.weights.append(np.frombuffer(data, np.int64, n, 1 + 4 * n))
+            self.size += n
+            if self.size > MOST_VALUES:
+                self._sketch()
+
+    def _sketch(self) -> None:
+        if self.codes:
+            cells = cells_of(np.concatenate(self.codes).astype(np.int64), np.concatenate(self.weights).astype(float))
+            self.cells = cells if self.cells is None else self.cells + cells
+            self.codes, self.weights, self.size = [], [], 0
+
+    def partial(self) -> bytes:
+        """Whichever form is shorter."""
+        if self.cells is None and 12 * self.size < 2 * CELLS:
+            return b"v" + np.concatenate(self.codes).tobytes() + np.concatenate(self.weights).tobytes()
+        return self.whole()
+
+    def whole(self) -> bytes:
+        self._sketch()
+        return _dense(np.zeros(CELLS, np.int64) if self.cells is None else self.cells)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """Counters of a finished sketch."""
+    s = Sum()
+    s.add(data)
+    s._sketch()
+    return s.cells
+
+
+def _values(keys: list[str], metrics: list[str], weight: str | None):
+    """Rows (keys, metrics, weight) -> (keys, metric, salt, cells), pre-aggregated to distinct encoded values."""
+
+    def leave(pdf: pd.DataFrame):
+        group = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+        first = pdf.drop_duplicates(keys)[keys]
+        for metric in metrics:
+            value = pdf[metric].to_numpy(float, na_value=np.nan)
+            with np.errstate(invalid="ignore"):
+                ok = (value >= 0) & (value <= 1)
+            both, at = np.unique((group[ok].astype(np.int64) << LEVELS) | encode(value[ok]), return_inverse=True)
+            w = np.bincount(at, pdf[weight].to_numpy(float)[ok] if weight else None, len(both)).astype(np.int64)
+            owner, codes = both >> LEVELS, (both & ((1 << LEVELS) - 1)).astype(np.int32)
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
+            ends = np.r_[starts[1:], len(owner)]
+            for begin in range(0, len(starts), 256):
+                part = range(begin, min(begin + 256, len(starts)))
+                packed = [b"v" + codes[starts[i] : ends[i]].tobytes() + w[starts[i] : ends[i]].tobytes() for i in part]
+                yield _rows(keys, [first.iloc[owner[starts[i]]].tolist() for i in part], metric, packed)
 
     def run(batches):
-        waiting: dict[tuple, tuple[list, list]] = {}
-        held = 0
-
-        def flush():
-            for (key, metric), (codes, weights) in waiting.items():
-                yield {**dict(zip(keys, key)), "metric": metric, "cells": _pack(cells_of(np.concatenate(codes), np.concatenate(weights)))}
-
+        held, n = [], 0
         for batch in batches:
-            pdf = pa.Table.from_batches([batch]).to_pandas(integer_object_nulls=True)
-            for key, rows in pdf.groupby(keys, sort=False) if keys else [((), pdf)]:
-                for metric in metrics:
-                    value = rows[metric].to_numpy(float, na_value=np.nan)
-                    with np.errstate(invalid="ignore"):
-                        ok = (value >= 0) & (value <= 1)
-                    if ok.any():
-                        codes = encode(value[ok])
-                        w = rows[weight].to_numpy(float)[ok] if weight else None
-                        codes, at = np.unique(codes, return_inverse=True)
-                        into = waiting.setdefault((tuple(key), metric), ([], []))
-                        into[0].append(codes)
-                        into[1].append(np.bincount(at, w, len(codes)).astype(np.float64))
-                        held += 2 * len(codes)
-            if held > MAX_CELLS:
-                for (key, metric), (codes, weights) in waiting.items():
-                    distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
-                    waiting[(key, metric)] = ([distinct], [np.bincount(at, np.concatenate(weights), len(distinct))])
-                held = sum(2 * len(c[0]) for c, _ in waiting.values())
-                if held > MAX_CELLS // 2:
-                    yield from _batches(flush(), keys)
-                    waiting.clear()
-                    held = 0
-        yield from _batches(flush(), keys)
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD_ROWS:
+                yield from leave(pa.Table.from_batches(held).to_pandas(date_as_object=True))
+                held, n = [], 0
+        if n:
+            yield from leave(pa.Table.from_batches(held).to_pandas(date_as_object=True))
 
     return run
 
 
-def _batches(rows, keys: list[str], size: int = 64):
-    rows = iter(rows)
-    while part := [r for _, r in zip(range(size), rows)]:
-        salt = [zlib.crc32(r["cells"]) % SALTS for r in part]
-        columns = [pa.array([r[k] for r in part]) for k in keys]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([r["metric"] for r in part]), pa.array(salt, pa.int32()), pa.array([r["cells"] for r in part], pa.binary())], names=[*keys, "metric", "salt", "cells"])
+def _rows(keys: list[str], values: list[list], metric, packed: list[bytes]) -> pa.RecordBatch:
+    salt = [zlib.crc32(c) % SALTS for c in packed]
+    columns = [pa.array([v[i] for v in values]) for i in range(len(keys))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([metric] * len(packed) if isinstance(metric, str) else metric), pa.array(salt, pa.int32()), pa.array(packed, pa.binary())], names=[*keys, "metric", "salt", "cells"])
 
 
-def _add(keys: list[str]):
+def _add(keys: list[str], last: bool):
     """Sorted partial sketches -> their sums, one at a time."""
 
     def run(batches):
-        now, total = None, None
-
-        def out():
-            return {**dict(zip(keys, now[:-1])), "metric": now[-1], "cells": _pack(total)}
-
+        now, total = None, Sum()
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in [*keys, "metric", "cells"]]
             for *key, cells in zip(*columns):
                 if key != now:
                     if now is not None:
-                        yield from _batches([out()], keys)
-                    now, total = key, np.zeros(CELLS, np.int64)
-                total = total + _unpack(cells)
+                        yield _rows(keys, [now[:-1]], [now[-1]], [total.whole() if last else total.partial()])
+                    now, total = key, Sum()
+                total.add(cells)
         if now is not None:
-            yield from _batches([out()], keys)
+            yield _rows(keys, [now[:-1]], [now[-1]], [total.whole() if last else total.partial()])
 
     return run
 
@@ -199,8 +221,8 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """Add up sketches (keys, metric, salt, cells) that agree in keys and metric."""
     kept = sketches.select(*keys, "metric", "salt", "cells")
     schema = kept.schema
-    for by in ([*keys, "metric", "salt"], [*keys, "metric"]):
-        kept = kept.repartition(*by).sortWithinPartitions(*keys, "metric").mapInArrow(_add(keys), schema)
+    for last, by in enumerate(([*keys, "metric", "salt"], [*keys, "metric"])):
+        kept = kept.repartition(*by).sortWithinPartitions(*keys, "metric").mapInArrow(_add(keys, bool(last)), schema)
     return kept
 
 
@@ -212,19 +234,20 @@ def sketch(values: DataFrame, keys: list[str], metrics: list[str], weight: str |
     """
     taken = values.dropna(subset=keys).select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics), *([F.col(weight).cast("long").alias(weight)] if weight else []))
     schema = T.StructType([*(taken.schema[k] for k in keys), T.StructField("metric", T.StringType()), T.StructField("salt", T.IntegerType()), T.StructField("cells", T.BinaryType())])
-    return merge(taken.mapInArrow(_sketch(keys, metrics, weight), schema), keys)
+    return merge(taken.mapInArrow(_values(keys, metrics, weight), schema), keys)
 
 
-def _read(keys: list[str], quantiles: tuple[float, ...]):
-    names = [quantile_name(q) for q in quantiles]
+def _read(keys: list[str], wanted: tuple[float, ...]):
+    names = [quantile_name(q) for q in wanted]
 
     def run(batches):
         for batch in batches:
             pdf = batch.to_pandas()
-            found = [_unpack(c) for c in pdf["cells"]]
+            found = [unpack(c) for c in pdf["cells"]]
             out = pdf[[*keys, "metric"]].assign(n=[int(c[1]) for c in found])
-            for q, name in zip(quantiles, names):
-                out[name] = pd.Series([quantile(c, q) for c in found], dtype=float)
+            values = np.array([quantiles(c, wanted) for c in found]).reshape(len(found), len(names))
+            for i, name in enumerate(names):
+                out[name] = pd.array(values[:, i])
             yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
     return run
@@ -234,11 +257,11 @@ def quantile_name(q: float) -> str:
     return "median" if q == 0.5 else f"p{round(q * 100):02d}"
 
 
-def quantiles_of(sketches: DataFrame, keys: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+def quantiles_of(sketches: DataFrame, keys: list[str], wanted: tuple[float, ...] = QUANTILES) -> DataFrame:
     schema = T.StructType(
-        [*(sketches.schema[k] for k in keys), T.StructField("metric", T.StringType()), T.StructField("n", T.LongType()), *(T.StructField(quantile_name(q), T.DoubleType()) for q in quantiles)]
+        [*(sketches.schema[k] for k in keys), T.StructField("metric", T.StringType()), T.StructField("n", T.LongType()), *(T.StructField(quantile_name(q), T.DoubleType()) for q in wanted)]
     )
-    return sketches.mapInArrow(_read(keys, quantiles), schema)
+    return sketches.mapInArrow(_read(keys, wanted), schema)
 
 
 METRICS = ["confidence", "bbox_relative_area"]
@@ -254,6 +277,20 @@ def observations(detections: DataFrame) -> DataFrame:
     return once.where("class_name IS NOT NULL").select("class_name", F.to_date("ingested_at").alias("day"), *METRICS)
 
 
+def daily_sketches(detections: DataFrame) -> DataFrame:
+    """(class_name, day, metric, salt, cells): the mergeable results of separate days; a null day is a day of its own."""
+    day = F.coalesce("day", F.lit("0001-01-01").cast("date"))
+    return sketch(observations(detections).withColumn("day", day), ["class_name", "day"], METRICS)
+
+
 def class_percentiles(detections: DataFrame) -> DataFrame:
-    """(class_name, metric, n, p01, p05, p25, median, p75, p95, p99); empty tables give an empty result."""
-    return quantiles_of(sketch(observations(detections), ["class_name"], METRICS), ["class_name"])
+    """(class_name, metric, n, p01, p05, p25, median, p75, p95, p99) from the sum of the daily sketches.
+
+    Empty tables give an empty result.
+    """
+    return quantiles_of(merge(daily_sketches(detections), ["class_name"]), ["class_name"])
+
+
+def daily_percentiles(detections: DataFrame) -> DataFrame:
+    """(class_name, day, metric, n, p01, ..., p99) of every day."""
+    return quantiles_of(daily_sketches(detections), ["class_name", "day"])

@@ -57,6 +57,10 @@ def p5_percentiles(spark, d):
     return percentiles.class_percentiles(table(spark, d, "detections"))
 
 
+def p5_daily(spark, d):
+    return percentiles.daily_percentiles(table(spark, d, "detections"))
+
+
 def p6_found(spark, d):
     return contraction.linked_images(table(spark, d, "near_duplicate_pairs"), table(spark, d, "duplicate_groups"))
 
@@ -78,7 +82,7 @@ def p9_pieces(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_assign, p2_balance, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_percentiles, p6_found, p7_ids, p8_found, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_assign, p2_balance, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_percentiles, p5_daily, p6_found, p7_ids, p8_found, p9_found, p9_pieces)}
 
 
 _SPLIT = "CASE WHEN lower(trim({0})) = 'validation' THEN 'val' ELSE lower(trim({0})) END"
