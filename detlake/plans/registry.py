@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from detlake.plans import detection
+
 
 def queries():
-    return {}
+    return detection.queries()
 
 
 def oracle_sql():
-    return {}
+    return detection.oracle_sql()
