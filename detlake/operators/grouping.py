@@ -197,7 +197,7 @@ def plan_split(features: DataFrame, ratios: dict[str, float] = RATIOS, seed: int
 def split_balance(assigned: DataFrame) -> DataFrame:
     """(split, feature, n, share of the feature's total) from (split, features map)."""
     long = assigned.select("split", F.explode("features").alias("feature", "n")).groupBy("split", "feature").agg(F.sum("n").alias("n"))
-    return long.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("feature")))
+    return long.withColumn("share", F.try_divide(F.col("n").cast("double"), F.sum("n").over(W.partitionBy("feature"))))
 
 
 def split_conflicts(rows: DataFrame, group: str) -> DataFrame:

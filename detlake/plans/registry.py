@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from detlake.plans import detection
+from detlake.plans import curation, detection
 
 
 def queries():
-    return detection.queries()
+    return detection.queries() | curation.queries()
 
 
 def oracle_sql():
-    return detection.oracle_sql()
+    return detection.oracle_sql() | curation.oracle_sql()
