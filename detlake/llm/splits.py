@@ -129,8 +129,8 @@ def quotas(total: int, targets: list[tuple[str, float]]) -> dict[str, int]:
 def allocate(bundles: list[dict], targets: list[tuple[str, float]]) -> dict[tuple, dict[str, int]]:
     """Components of each bundle (size_class, profile) for each split.
 
-    bundles: dicts of size_class, profile, n (components) and images. Components that alone hold over a hundredth of
-    all images are dealt first, largest first, to the split furthest behind its quota; the flow places the rest.
+    bundles: dicts of size_class, profile, n (components) and images. Components that alone hold over a twentieth
+    of all images are dealt first, largest first, to the split furthest behind its quotas; the flow places the rest.
     """
     splits = [s for s, _ in targets]
     total = sum(b["images"] for b in bundles)
@@ -149,12 +149,13 @@ def allocate(bundles: list[dict], targets: list[tuple[str, float]]) -> dict[tupl
     rest = []
     for b in sorted(bundles, key=lambda b: -b["images"] / b["n"]):
         mean = b["images"] / b["n"]
-        if mean * 100 > total:
-            counts, room = dict.fromkeys(splits, 0), dict(left)
-            for _ in range(b["n"]):  # under a hundred components are so large
+        if mean * 20 > total:
+            counts = dict.fromkeys(splits, 0)
+            room = {s: left[s] + need[b["profile"]][s] for s in splits}
+            for _ in range(b["n"]):  # under twenty components are so large
                 s = max(splits, key=lambda s: (room[s], s))
                 counts[s] += 1
-                room[s] -= mean
+                room[s] -= 2 * mean
             deal(b, counts)
         else:
             rest.append(b)
