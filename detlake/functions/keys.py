@@ -82,10 +82,10 @@ def batches(n: Column, size: Column) -> Column:
     return F.floor((n + size - 1) / size).cast("long")
 
 
-class ScriptError(ValueError):
+class ParameterError(ValueError):
     """A parameter outside its domain."""
 
 
 def require(condition: bool, message: str) -> None:
     if not condition:
-        raise ScriptError(message)
+        raise ParameterError(message)

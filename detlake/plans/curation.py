@@ -263,7 +263,7 @@ def covering_sample(s, d):
     rows = table(s, d, "annotated_samples").where("filename IS NOT NULL AND classes_present IS NOT NULL AND country IS NOT NULL")
     known = F.array_distinct(F.filter("classes_present", lambda x: x.between(0, 3)))
     rows = rows.groupBy("filename").agg(F.max("country").alias("country"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(known)))).alias("classes"))
-    return sampling.covering_sample(rows.select("filename", "country", "classes", (F.array_contains("classes", 1) & (F.col("country") == "India")).alias("rare"), (F.size("classes") > 0).alias("positive")), 24, 8, 2, 42)
+    return sampling.covering_sample(rows.select("filename", "country", "classes", (F.array_contains("classes", 3) & (F.col("country") == "India")).alias("rare"), (F.size("classes") > 0).alias("positive")), 24, 8, 2, 42)
 
 
 def _frames(s, d):
