@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from detlake.functions import geometry as g
 from detlake.operators import matching as m
 from detlake.operators.metrics import CODES, code, per_class, spine
+from detlake.session import cut
 
 #: Bucket bounds (name, from, below).
 SIZES = (("small", 0.0, 0.01), ("medium", 0.01, 0.05), ("large", 0.05, 1.0000001))
@@ -47,10 +48,10 @@ class Outcome:
 
 def outcome(images: DataFrame, gt: DataFrame, pred: DataFrame, at: Point) -> Outcome:
     kept = pred.where(F.col("confidence") >= F.lit(at.confidence))
-    matches = m.match(gt, kept, at.overlap)
+    matches = cut(m.match(gt, kept, at.overlap))  # ids and overlaps, read by every relation below
     left_gt, left_pred = m.unmatched(gt, matches, "gi"), m.unmatched(kept, matches, "pi")
-    confusions = m.residual_pairs(left_gt, left_pred, at.overlap, None, same_class=False)
-    near = m.residual_pairs(m.unmatched(left_gt, confusions, "gi"), m.unmatched(left_pred, confusions, "pi"), at.floor, at.overlap, same_class=True)
+    confusions = cut(m.residual_pairs(left_gt, left_pred, at.overlap, None, same_class=False))
+    near = cut(m.residual_pairs(m.unmatched(left_gt, confusions, "gi"), m.unmatched(left_pred, confusions, "pi"), at.floor, at.overlap, same_class=True))
     return Outcome(images, gt, pred, kept, matches, confusions, near)
 
 
@@ -231,7 +232,7 @@ def ranked_queues(o: Outcome, at: Point, limit: int = 25) -> DataFrame:
 
     A window per queue keeps only the first rows per partition before it orders them (top-k pushdown).
     """
-    fn, fp = misses(o, at), alarms(o, at)
+    fn, fp = cut(misses(o, at)), cut(alarms(o, at))
     site = o.images.select("image_id", "site")
     none_s, none_d, none_i = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("long")
 

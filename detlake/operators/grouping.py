@@ -10,24 +10,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from detlake.functions import keys as k
+from detlake.operators import ordered
 from detlake.operators.components import components
 from detlake.session import norm
 
 SPLITS = ("train", "val", "test")
 
 
-def capture_groups(images: DataFrame, gap_seconds: int = 60, span_seconds: int = 30, block: int = 50, method: str = "numeric_block_proxy") -> DataFrame:
+def capture_groups(images: DataFrame, gap_seconds: int = 60, span_seconds: int = 30, block: int = 50, method: str = "numeric_block_proxy", block_seconds: int = 86_400) -> DataFrame:
     """Add prefix, number, method, sequence_key, sequence_index and capture_group.
 
     Images with a timestamp (canonical_image_id, country, filename, ts_ms) are sessionised per (country, prefix) by pauses
     and cut into spans from the session's start; others fall into blocks of their trailing number, or stand alone.
     """
     rows = images.withColumn("prefix", k.filename_prefix(F.col("filename"))).withColumn("number", k.filename_number(F.col("filename")))
-    seq = W.partitionBy("country", "prefix").orderBy("ts_ms", "canonical_image_id")
-    timed = rows.where("ts_ms IS NOT NULL").withColumn("_new", (F.col("ts_ms") - F.lag("ts_ms").over(seq) > gap_seconds * 1000).cast("int"))
-    timed = timed.withColumn("run", F.coalesce(F.sum("_new").over(seq), F.lit(0)))
-    start = F.min("ts_ms").over(W.partitionBy("country", "prefix", "run"))
-    timed = timed.withColumn("sequence_index", F.floor((F.col("ts_ms") - start) / (span_seconds * 1000)).cast("long"))
+    gap = gap_seconds * 1000
+    timed = ordered.runs(rows.where("ts_ms IS NOT NULL"), ["country", "prefix"], "ts_ms", ["canonical_image_id"], lambda before, now: now - before > gap, block_seconds * 1000)
+    timed = timed.withColumn("sequence_index", F.floor((F.col("ts_ms") - F.col("run_start")) / (span_seconds * 1000)).cast("long")).drop("run_start")
     timed = timed.withColumn("sequence_key", F.concat_ws("|", "country", "prefix", F.lit("timestamp"), F.concat(F.lit("run:"), F.col("run").cast("string")))).withColumn("method", F.lit("timestamp"))
     timed = timed.withColumn("capture_group", k.stable_id("cg", F.col("sequence_key"), F.col("sequence_index")))
     rest = rows.where("ts_ms IS NULL").withColumn("run", F.lit(None).cast("long")).withColumn("sequence_index", F.coalesce(F.floor(F.col("number") / block).cast("long"), F.lit(0)))
@@ -35,7 +34,7 @@ def capture_groups(images: DataFrame, gap_seconds: int = 60, span_seconds: int =
     rest = rest.withColumn("sequence_key", F.concat_ws("|", "country", "prefix", tail)).withColumn("method", F.lit(method))
     part = F.when(F.col("number").isNull(), F.col("canonical_image_id")).otherwise(F.col("sequence_index").cast("string"))
     rest = rest.withColumn("capture_group", k.stable_id("cg", F.col("sequence_key"), part))
-    return timed.drop("_new").unionByName(rest)
+    return timed.unionByName(rest)
 
 
 def group_summary(grouped: DataFrame) -> DataFrame:

@@ -82,19 +82,15 @@ def sweep(images: DataFrame, gt: DataFrame, pred: DataFrame, grid: list[float],
         m = m.select(F.col(f"image_id.{group}").alias(group), F.col("image_id.image_id").alias("image_id"), "pi")
     else:
         m = match(gt, floor, min_overlap).select("image_id", "pi")
-    negatives = images.select("image_id").join(gt.select("image_id").distinct(), "image_id", "left_anti").withColumn("negative", F.lit(True))
+    negatives = images.select("image_id").join(gt.select("image_id").distinct(), "image_id", "left_anti")
     steps = F.array(*(F.lit(float(t)) for t in grid))
     at = F.size(F.filter(steps, lambda t: t <= F.col("confidence")))
-    marked = (
-        floor.join(m.withColumn("hit", F.lit(True)), [*by, "image_id", "pi"], "left")
-        .join(negatives, "image_id", "left")
-        .select(*by, "image_id", "class_id", at.alias("step"), F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("negative", F.lit(False)).alias("negative"))
-    )
+    marked = floor.join(m.withColumn("hit", F.lit(True)), [*by, "image_id", "pi"], "left").select(*by, "class_id", at.alias("step"), F.coalesce("hit", F.lit(False)).alias("hit"))
     cells = marked.groupBy(*by, "class_id", "step").agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
-    # an image counts from the highest step that any of its predictions reaches
-    tops = marked.where("negative").groupBy(*by, "image_id").agg(F.max("step").alias("step"), F.count("*").alias("n"))
-    neg_images = tops.groupBy(*by, "step").agg(F.count("*").alias("i"))
-    neg_boxes = marked.where("negative").groupBy(*by, "step").agg(F.count("*").alias("b"))
+    # negative images match nothing; one counts from the highest step that any of its predictions reaches
+    lone = floor.join(negatives, "image_id", "left_semi").select(*by, "image_id", at.alias("step")).groupBy(*by, "image_id", "step").agg(F.count("*").alias("b"))
+    top = F.max("step").over(W.partitionBy(*by, "image_id"))
+    neg = lone.withColumn("i", (F.col("step") == top).cast("long")).groupBy(*by, "step").agg(F.sum("b").alias("b"), F.sum("i").alias("i"))
 
     frame = spark.createDataFrame([(k + 1, float(t)) for k, t in enumerate(grid)], "step int, threshold double")
     keys = frame.crossJoin(spine(spark))
@@ -107,8 +103,7 @@ def sweep(images: DataFrame, gt: DataFrame, pred: DataFrame, grid: list[float],
     table = keys.join(cells, [*by, "class_id", "step"], "left").join(F.broadcast(support), "class_id", "left")
     table = table.withColumn("tp", F.sum(z("tp")).over(down("class_id"))).withColumn("fp", F.sum(z("fp")).over(down("class_id"))).withColumn("fn", z("support") - F.col("tp"))
     base = frame if not group else frame.crossJoin(F.broadcast(settings))
-    neg = base.join(neg_images, [*by, "step"], "left").join(neg_boxes, [*by, "step"], "left")
-    neg = neg.select(*by, "step", F.sum(z("b")).over(down()).alias("negative_fp"), F.sum(z("i")).over(down()).alias("negative_images_with_fp")).crossJoin(n_negative)
+    neg = base.join(neg, [*by, "step"], "left").select(*by, "step", F.sum(z("b")).over(down()).alias("negative_fp"), F.sum(z("i")).over(down()).alias("negative_images_with_fp")).crossJoin(n_negative)
     return table.join(neg, [*by, "step"]).select(*by, "threshold", "class_id", "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn")), "negative_images", "negative_fp", "negative_images_with_fp")
 
 

@@ -9,46 +9,39 @@ from detlake.functions.geometry import to_center_size
 
 #: Statuses of objects and images.
 RETAIN, NON_TARGET, UNKNOWN = "retain_target", "known_non_target", "quarantine_unknown"
-HARD = ("negative_coordinate", "zero_coordinate", "inverted_box", "zero_area_box", "out_of_bounds")
 
 
-def coordinate(raw: Column) -> tuple[Column, Column]:
-    """A coordinate's text as a whole number, and the flag if it is none."""
-    number = F.btrim(raw).try_cast("decimal(38,18)")
-    whole = number == F.floor(number)
-    return F.when(whole, number.cast("long")), F.when(number.isNull(), "malformed_coordinate").when(~whole, "non_integer_coordinate")
+def voc_boxes(rows: DataFrame, corners: list[str], width: Column, height: Column, zero_edge: bool = True, aspects: tuple[float, float] = (0.05, 20.0), tiny: float = 4.0, canvas: int = 640) -> DataFrame:
+    """One-based inclusive boxes as text in four columns: adds half_open, normalized, projected, projected_area,
+    aspect_ratio and sorted flags; the derived forms are null for boxes with a hard flag.
 
-
-def voc_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column, width: Column, height: Column, zero_edge: bool = True, aspects: tuple[float, float] = (0.05, 20.0), tiny: float = 4.0, canvas: int = 640) -> Column:
-    """A one-based inclusive box as text: parsed, half-open, normalised and projected forms and sorted flags, as a struct.
-
-    The derived forms are null for boxes with a hard flag.
+    The stages are projections of their own, so that later ones read parsed numbers and don't parse again.
     """
-    (x1, f1), (y1, f2), (x2, f3), (y2, f4) = map(coordinate, (xmin, ymin, xmax, ymax))
-    parsed = x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull()
-    low = 0 if zero_edge else 1
+    keep = rows.columns
+    raw = rows.select(*keep, width.cast("double").alias("_w"), height.cast("double").alias("_h"), *(F.btrim(c).try_cast("decimal(38,18)").alias(f"_n{i}") for i, c in enumerate(corners)))
+    n = [F.col(f"_n{i}") for i in range(4)]
+    v = [F.col(f"_v{i}") for i in range(4)]
+    parsed = raw.select(*keep, "_w", "_h", *(F.when(x == F.floor(x), x.cast("long")).alias(f"_v{i}") for i, x in enumerate(n)), F.array(*(F.when(x.isNull(), "malformed_coordinate").when(x != F.floor(x), "non_integer_coordinate") for x in n)).alias("_f"))
+    x1, y1, x2, y2 = v
+    edge = lambda c: F.when((c == 0) & F.lit(zero_edge), F.lit(0)).otherwise(c - 1)
+    all_there = x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull()
+    sized = parsed.select(*keep, "_w", "_h", *v, "_f", all_there.alias("_p"), edge(x1).cast("double").alias("_cx"), edge(y1).cast("double").alias("_cy"), (F.lit(float(canvas)) / F.greatest("_w", "_h")).alias("_s"))
+    w, h, low = x2 - F.col("_cx"), y2 - F.col("_cy"), 0 if zero_edge else 1
     zero = (x1 == 0) | (y1 == 0)
-    cx, cy = (F.when((v == 0) & F.lit(zero_edge), F.lit(0)).otherwise(v - 1) for v in (x1, y1))
-    w, h = x2 - cx, y2 - cy
     hard = {
-        "negative_coordinate": F.least(x1, y1, x2, y2) < 0, "zero_coordinate": (x2 == 0) | (y2 == 0) | (zero & F.lit(not zero_edge)), "inverted_box": (x2 < x1) | (y2 < y1),
-        "zero_area_box": (w <= 0) | (h <= 0), "out_of_bounds": (x1 < low) | (y1 < low) | (x2 > width) | (y2 > height),
+        "negative_coordinate": F.least(*v) < 0, "zero_coordinate": (x2 == 0) | (y2 == 0) | (zero & F.lit(not zero_edge)), "inverted_box": (x2 < x1) | (y2 < y1),
+        "zero_area_box": (w <= 0) | (h <= 0), "out_of_bounds": (x1 < low) | (y1 < low) | (x2 > F.col("_w")) | (y2 > F.col("_h")),
     }
-    sound = parsed
-    for condition in hard.values():
-        sound = sound & ~condition
-    scale = F.lit(float(canvas)) / F.greatest(width, height)
-    aspect = F.try_divide(w.cast("double"), h.cast("double"))
-    pad_x, pad_y = (F.lit(float(canvas)) - width * scale) / 2, (F.lit(float(canvas)) - height * scale) / 2
-    projected = (w * scale) * (h * scale)
-    flags = F.array(
-        f1, f2, f3, f4, F.when(parsed & zero & F.lit(zero_edge), "source_zero_edge_coordinate"), *(F.when(parsed & c, n) for n, c in hard.items()),
-        F.when(sound & ((aspect < F.lit(aspects[0])) | (aspect > F.lit(aspects[1]))), "unusual_aspect_ratio"), F.when(sound & (projected < F.lit(tiny)), "extremely_tiny"),
-    )
-    return F.struct(
-        F.when(sound, F.array(cx.cast("long"), cy.cast("long"), x2, y2)).alias("half_open"), F.when(sound, F.array(cx / width, cy / height, x2 / width, y2 / height)).alias("normalized"),
-        F.when(sound, F.array(cx * scale + pad_x, cy * scale + pad_y, x2 * scale + pad_x, y2 * scale + pad_y)).alias("projected"), F.when(sound, projected).alias("projected_area"),
-        F.when(sound, aspect).alias("aspect_ratio"), F.array_sort(F.array_distinct(F.filter(flags, lambda f: f.isNotNull()))).alias("flags"),
+    flagged = sized.select("*", F.when(F.col("_p"), F.filter(F.array(F.when(zero & F.lit(zero_edge), "source_zero_edge_coordinate"), *(F.when(c, name) for name, c in hard.items())), lambda f: f.isNotNull())).otherwise(F.array().cast("array<string>")).alias("_g"))
+    sound = F.col("_p") & (F.size("_g") == F.size(F.filter("_g", lambda f: f == "source_zero_edge_coordinate")))
+    measured = flagged.select("*", sound.alias("_ok")).select("*", F.when(F.col("_ok"), w / h).alias("aspect_ratio"), F.when(F.col("_ok"), (w * F.col("_s")) * (h * F.col("_s"))).alias("projected_area"))
+    cx, cy, s = F.col("_cx"), F.col("_cy"), F.col("_s")
+    pad_x, pad_y = (F.lit(float(canvas)) - F.col("_w") * s) / 2, (F.lit(float(canvas)) - F.col("_h") * s) / 2
+    soft = F.array(F.when((F.col("aspect_ratio") < F.lit(aspects[0])) | (F.col("aspect_ratio") > F.lit(aspects[1])), "unusual_aspect_ratio"), F.when(F.col("projected_area") < F.lit(tiny), "extremely_tiny"))
+    return measured.select(
+        *keep, F.when(F.col("_ok"), F.array(cx.cast("long"), cy.cast("long"), x2, y2)).alias("half_open"), F.when(F.col("_ok"), F.array(cx / F.col("_w"), cy / F.col("_h"), x2 / F.col("_w"), y2 / F.col("_h"))).alias("normalized"),
+        F.when(F.col("_ok"), F.array(cx * s + pad_x, cy * s + pad_y, x2 * s + pad_x, y2 * s + pad_y)).alias("projected"), "projected_area", "aspect_ratio",
+        F.array_sort(F.array_distinct(F.filter(F.concat("_f", "_g", soft), lambda f: f.isNotNull()))).alias("flags"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from detlake.functions.keys import frame_at, require, seeded_rank
+from detlake.operators import ordered
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int, salt: str) -> DataFrame:
@@ -77,12 +78,13 @@ def covering_sample(samples: DataFrame, positives: int, negatives: int, quota: i
     return picked.unionByName(fill).unionByName(none)
 
 
-def temporal_bins(rows: DataFrame, by: list[str], order: str, bins: int) -> DataFrame:
+def temporal_bins(rows: DataFrame, by: list[str], order: str, bins: int, block: int = 4096) -> DataFrame:
     """Add bin 1..bins of equal counts: bin b of n rows holds positions [b n / bins, (b + 1) n / bins)."""
-    w = W.partitionBy(*by)
-    n, i = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
-    # the bin of position i is the largest b with floor(b n / bins) <= i
-    return rows.withColumn("bin", (F.floor(((i + 1) * bins - 1) / n) + 1).cast("int")).withColumn("bin_size", F.count("*").over(W.partitionBy(*by, "bin")))
+    at = ordered.numbered(rows, by, order, [], block, "_i")
+    # the bin of position i (from 0) is the largest b with floor(b n / bins) <= i, so both come from i and n alone
+    number = F.floor((F.col("_i") * bins - 1) / F.col("_i_of"))
+    edge = lambda b: F.floor(b * F.col("_i_of") / bins)
+    return at.withColumn("bin", (number + 1).cast("int")).withColumn("bin_size", edge(F.col("bin")) - edge(F.col("bin") - 1)).drop("_i", "_i_of")
 
 
 def normalized_rank(value: Column, by: list[str], tie: Column) -> Column:

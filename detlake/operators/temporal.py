@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from detlake.operators import ordered
+from detlake.operators.metrics import spine
+
 BLOCK_FRAMES = 4096
 
 
@@ -162,19 +165,9 @@ def observations(detections: DataFrame, videos: DataFrame, default_fps: float =
 
 def islands(rows: DataFrame, gap_frames, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """Add ``island``: first frame of the stretch of (video_id, class_id) without a pause of more than ``gap_frames`` (a column)."""
-    rows = rows.withColumn("_g", gap_frames).withColumn("_b", F.floor(F.col("frame_index") / block_frames))
-    w = W.partitionBy("video_id", "class_id", "_b").orderBy("frame_index", "detection_index")
-    far = F.col("frame_index") - F.lag("frame_index").over(w) - 1 > F.col("_g")
-    rows = rows.withColumn("_s", F.when(far, F.col("frame_index")))
-    blocks = rows.groupBy("video_id", "class_id", "_b").agg(F.min("frame_index").alias("_lo"), F.max("frame_index").alias("_hi"), F.max("_s").alias("_in"), F.max("_g").alias("_gb"))
-    v = W.partitionBy("video_id", "class_id").orderBy("_b")
-    before = F.lag("_hi").over(v)
-    opens = F.when(before.isNull() | (F.col("_lo") - before - 1 > F.col("_gb")), F.col("_lo"))
-    blocks = blocks.withColumn("_open", opens)
-    carried = F.last(F.coalesce("_in", "_open"), ignorenulls=True).over(v.rowsBetween(W.unboundedPreceding, -1))
-    blocks = blocks.select("video_id", "class_id", "_b", F.coalesce("_open", carried).alias("_start"))
-    inner = F.max("_s").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("_inner", inner).join(blocks, ["video_id", "class_id", "_b"]).withColumn("island", F.coalesce("_inner", "_start")).drop("_g", "_b", "_s", "_inner", "_start")
+    rows = rows.withColumn("_gap", gap_frames)
+    found = ordered.runs(rows, ["video_id", "class_id"], "frame_index", ["detection_index"], lambda before, now: now - before - 1 > F.col("_gap"), block_frames, by=["_gap"])
+    return found.withColumnRenamed("run_start", "island").drop("_gap", "run")
 
 
 def _laid(obs: DataFrame, rules: Rules) -> DataFrame:
@@ -242,11 +235,10 @@ def finished(found: DataFrame, last_frames: DataFrame, rules: Rules = Rules()) -
 
     ``last_frames`` (video_id, last_frame, fps) says where each stream ends, detections or not.
     """
-    number = F.row_number().over(W.partitionBy("video_id").orderBy("first_frame", "first_index", "class_id"))
     gap = F.floor(F.lit(rules.max_gap_seconds) * F.col("fps") + 1e-9)
     late = F.col("_last") - F.col("last_frame") - 1 > gap
     ends = last_frames.select("video_id", F.col("last_frame").alias("_last"), "fps")
-    out = found.join(ends, "video_id", "left").withColumn("sequence", number)
+    out = ordered.numbered(found, ["video_id"], "first_frame", ["first_index", "class_id"], BLOCK_FRAMES, "sequence").join(ends, "video_id", "left")
     return out.select(
         F.format_string("RD%04d", "sequence").alias("event_id"), *found.columns, ((F.col("last_timestamp_ms") - F.col("first_timestamp_ms")) / 1000).alias("duration_seconds"),
         F.when(late, "maximum_temporal_gap_exceeded").otherwise("processing_scope_ended").alias("finalized_reason"),

@@ -42,6 +42,11 @@ def relation(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
+def derived(boxes: DataFrame, name: str) -> DataFrame:
+    """A relation that reads only ``boxes``, from a given one."""
+    return boxes.sparkSession.sql(RELATIONS[name][1].replace("FROM boxes", "FROM {boxes}"), boxes=boxes)
+
+
 def with_clause(*names: str) -> str:
     """Common table expressions for the SQL twins, dependencies first, without the WITH."""
     out: dict[str, str] = {}

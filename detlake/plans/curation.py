@@ -170,10 +170,11 @@ def voc_boxes(s, d):
     """Boxes of image annotations as text, derived from line items: some touch zero, some are inverted or too large."""
     li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").distinct()
     text = lambda x: x.cast("long").cast("string")
-    box = quality.voc_box(text(F.col("l_partkey") % 50), text(F.col("l_suppkey") % 40), F.when(F.col("l_linenumber") == 7, F.lit("12.5")).otherwise(text(F.col("l_partkey") % 50 + F.col("l_quantity") * 2)), text(F.col("l_suppkey") % 40 + F.col("l_quantity") - 2), F.lit(128), F.lit(64))
-    out = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", box.alias("b"))
-    at = lambda f, i: F.get(F.col(f"b.{f}"), F.lit(i))
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.array_join("b.flags", ",").alias("flags"), at("half_open", 0).alias("x1"), at("half_open", 3).alias("y2"), F.round(at("normalized", 2), 9).alias("nx2"), F.round(at("projected", 1), 6).alias("py1"), F.round("b.projected_area", 6).alias("area"))
+    far = F.when(F.col("l_linenumber") == 7, F.lit("12.5")).otherwise(text(F.col("l_partkey") % 50 + F.col("l_quantity") * 2))
+    li = li.select("*", text(F.col("l_partkey") % 50).alias("a"), text(F.col("l_suppkey") % 40).alias("b"), far.alias("c"), text(F.col("l_suppkey") % 40 + F.col("l_quantity") - 2).alias("e"))
+    out = quality.voc_boxes(li, ["a", "b", "c", "e"], F.lit(128), F.lit(64))
+    at = lambda f, i: F.get(f, F.lit(i))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.array_join("flags", ",").alias("flags"), at("half_open", 0).alias("x1"), at("half_open", 3).alias("y2"), F.round(at("normalized", 2), 9).alias("nx2"), F.round(at("projected", 1), 6).alias("py1"), F.round("projected_area", 6).alias("area"))
 
 
 def _labels(s, d):

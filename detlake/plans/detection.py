@@ -7,44 +7,48 @@ from pyspark.sql import functions as F
 from detlake.operators import errors as e
 from detlake.operators import matching as m
 from detlake.operators import metrics as x
-from detlake.plans.adapters import relation, with_clause
+from detlake.plans.adapters import derived, relation, with_clause
+from detlake.session import cut
 
 AT = e.Point(confidence=0.3)
 GRID = [k / 10 for k in range(0, 11)]
 PROFILE = [0.1, 0.2, 0.3, 0.5, 0.8]
 
 
-def _gt(s, d):
-    return relation(s, d, "gt")
+class _Input:
+    """The derived relations of one query; they stand for tables, so the boxes are materialised once."""
 
+    def __init__(self, s, d, second: bool = False):
+        boxes = cut(relation(s, d, "boxes"))
+        self.images = relation(s, d, "sites")
+        self.gt = derived(boxes, "gt")
+        self.pred = derived(boxes, "pred")
+        self.other = derived(boxes, "pred_b") if second else None
 
-def _pred(s, d):
-    return relation(s, d, "pred")
-
-
-def _images(s, d):
-    return relation(s, d, "sites")
-
-
-def _kept(s, d):
-    return _pred(s, d).where(F.col("confidence") >= F.lit(AT.confidence))
+    @property
+    def kept(self):
+        return self.pred.where(F.col("confidence") >= F.lit(AT.confidence))
 
 
 def _outcome(s, d):
-    return e.outcome(_images(s, d), _gt(s, d), _pred(s, d), AT)
+    i = _Input(s, d)
+    return e.outcome(i.images, i.gt, i.pred, AT)
 
 
 def iou_pairs(s, d):
-    edges = m.candidate_edges(_gt(s, d), _pred(s, d)).where("overlap >= 0.5D")
+    i = _Input(s, d)
+    edges = m.candidate_edges(i.gt, i.pred).where("overlap >= 0.5D")
     return edges.select("image_id", "pi", "gi", F.col("pc").alias("class_id"), "overlap")
 
 
 def match_greedy(s, d):
-    return m.match(_gt(s, d), _pred(s, d)).select("image_id", "class_id", "pi", "gi", F.round("overlap", 9).alias("overlap"))
+    i = _Input(s, d)
+    return m.match(i.gt, i.pred).select("image_id", "class_id", "pi", "gi", F.round("overlap", 9).alias("overlap"))
 
 
 def metrics_point(s, d):
-    return x.point(_gt(s, d), _pred(s, d), AT.confidence)
+    i = _Input(s, d)
+    return x.point(i.gt, i.pred, AT.confidence)
 
 
 def micro_macro(s, d):
@@ -52,7 +56,8 @@ def micro_macro(s, d):
 
 
 def threshold_sweep(s, d):
-    return x.sweep(_images(s, d), _gt(s, d), _pred(s, d), GRID)
+    i = _Input(s, d)
+    return x.sweep(i.images, i.gt, i.pred, GRID)
 
 
 def sweep_points(s, d):
@@ -65,27 +70,30 @@ def select_point(s, d):
 
 def grouped_sweep(s, d):
     """Two suppression settings swept side by side; the second keeps confident predictions only."""
-    pred = _pred(s, d)
-    both = pred.withColumn("nms_iou", F.lit(0.5)).unionByName(pred.where("confidence >= 0.4D").withColumn("nms_iou", F.lit(0.6)))
-    points = x.sweep_points(x.sweep(_images(s, d), _gt(s, d), both, GRID, group="nms_iou"), "nms_iou")
+    i = _Input(s, d)
+    both = i.pred.withColumn("nms_iou", F.lit(0.5)).unionByName(i.pred.where("confidence >= 0.4D").withColumn("nms_iou", F.lit(0.6)))
+    points = x.sweep_points(x.sweep(i.images, i.gt, both, GRID, group="nms_iou"), "nms_iou")
     return x.select_point(points, [0.5, 0.6], "nms_iou").select("nms_iou", "threshold", "total_tp", "total_fp", "total_fn")
 
 
 def negative_image_stats(s, d):
-    return x.negative_stats(_images(s, d), _gt(s, d), _kept(s, d).join(_images(s, d), "image_id", "left_semi"))
+    i = _Input(s, d)
+    return x.negative_stats(i.images, i.gt, i.kept)
 
 
 def site_metrics(s, d):
-    gt, kept = _gt(s, d), _kept(s, d)
-    return x.by_site(_images(s, d), gt, kept, m.match(gt, kept))
+    i = _Input(s, d)
+    return x.by_site(i.images, i.gt, i.kept, m.match(i.gt, i.kept))
 
 
 def prediction_profile(s, d):
-    return x.profile(_images(s, d), _gt(s, d), _pred(s, d), PROFILE)
+    i = _Input(s, d)
+    return x.profile(i.images, i.gt, i.pred, PROFILE)
 
 
 def average_precision(s, d):
-    return x.interpolated_ap(_gt(s, d), _pred(s, d)).withColumn("ap", F.round("ap", 9))
+    i = _Input(s, d)
+    return x.interpolated_ap(i.gt, i.pred).withColumn("ap", F.round("ap", 9))
 
 
 def residual_confusion(s, d):
@@ -146,15 +154,15 @@ def class_errors(s, d):
 
 
 def model_delta(s, d):
-    gt, images = _gt(s, d), _images(s, d)
-    a = x.by_site(images, gt, _kept(s, d), m.match(gt, _kept(s, d)))
-    other = relation(s, d, "pred_b").where(F.col("confidence") >= F.lit(AT.confidence))
-    b = x.by_site(images, gt, other, m.match(gt, other))
+    i = _Input(s, d, second=True)
+    a = x.by_site(i.images, i.gt, i.kept, m.match(i.gt, i.kept))
+    other = i.other.where(F.col("confidence") >= F.lit(AT.confidence))
+    b = x.by_site(i.images, i.gt, other, m.match(i.gt, other))
     return e.model_delta(a, b, ["site", "class_code"], ["tp", "fp", "fn", "recall"])
 
 
 def suppressed(s, d):
-    return m.suppress(_pred(s, d)).select("image_id", "class_id", "pi")
+    return m.suppress(_Input(s, d).pred).select("image_id", "class_id", "pi")
 
 
 def queries():

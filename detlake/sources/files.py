@@ -37,10 +37,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """(path, stem, text): whole files, recursively."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    name = F.col("_metadata.file_path")
-    return files.select(name.alias("path"), F.lower(F.regexp_extract(name, r"([^/]+)\.[^./]+$", 1)).alias("stem"), F.col("value").alias("text"))
+    """(path, stem, text): whole files to the last byte, recursively."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return files.select("path", F.lower(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)).alias("stem"), F.col("content").cast("string").alias("text"))
 
 
 def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from detlake.functions import keys as k
-from detlake.operators import components, grouping, quality, reconcile, sampling, summary
+from detlake.operators import components, grouping, ordered, quality, reconcile, sampling, summary
 from detlake.session import norm
 from detlake.sources import files
 
@@ -79,7 +79,7 @@ def test_half_even_quantiles(spark):
 )
 def test_voc_boxes(spark, box, flags, half_open):
     df = spark.createDataFrame([box], "a string, b string, c string, d string")
-    r = df.select(quality.voc_box(*(F.col(x) for x in "abcd"), F.lit(100), F.lit(100), tiny=0.0).alias("b")).first().b
+    r = quality.voc_boxes(df, list("abcd"), F.lit(100), F.lit(100), tiny=0.0).first()
     assert r.flags == flags and r.half_open == half_open
 
 
@@ -188,3 +188,21 @@ def test_voc_xml(spark):
 def test_norm(spark):
     df = spark.createDataFrame([(" \tA b\n",), (None,), ("",)], "x string")
     assert [r[0] for r in df.select(norm("x")).collect()] == ["a b", None, ""]
+
+
+def test_runs_and_numbers_over_blocks(spark):
+    rng = random.Random(6)
+    rows = sorted({(rng.choice(("a", "b", None)), rng.randrange(400)) for _ in range(150)}, key=str)
+    df = spark.createDataFrame(rows, "k string, t long")
+    want, number = {}, {}
+    for key in {r[0] for r in rows}:
+        run, start, before = -1, None, None
+        for n, t in enumerate(sorted(t for k_, t in rows if k_ == key)):
+            if before is None or t - before > 5:
+                run, start = run + 1, t
+            before = t
+            want[key, t], number[key, t] = (run, start), n + 1
+    for block in (3, 7, 1000):
+        got = ordered.runs(df, ["k"], "t", [], lambda p, q: q - p > 5, block).collect()
+        assert {(r.k, r.t): (r.run, r.run_start) for r in got} == want
+        assert {(r.k, r.t): r.n for r in ordered.numbered(df, ["k"], "t", [], block).collect()} == number
