@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,7 +194,8 @@ def _values(keys: list[str], metrics: list[str], weight: str | None):
 
 
 def _rows(keys: list[str], values: list[list], metric, packed: list[bytes]) -> pa.RecordBatch:
-    salt = [zlib.crc32(c) % SALTS for c in packed]
+    # by task, not by content: what a repeated task sends to a salt doesn't depend on how its rows came in batches
+    salt = [TaskContext.get().partitionId() % SALTS] * len(packed)
     columns = [pa.array([v[i] for v in values]) for i in range(len(keys))]
     return pa.RecordBatch.from_arrays([*columns, pa.array([metric] * len(packed) if isinstance(metric, str) else metric), pa.array(salt, pa.int32()), pa.array(packed, pa.binary())], names=[*keys, "metric", "salt", "cells"])
 
