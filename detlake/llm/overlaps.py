@@ -8,7 +8,9 @@ symbols, and each search starts at a seed:
 * a 64-bit perceptual hash within two bits of another agrees with it in at least two of four 16-bit words, so it has six
   seeds, one a pair of words. A seed's string holds the other two words, the two words of the seed and the seed's own
   closing symbol. Backward search reads closing symbol and seed first, which leaves exactly the evaluation hashes that
-  share it, and then runs on as far as it can: the maximal match.
+  share it, and then runs on as far as it can: the maximal match. A seed that more than HOT_SEED evaluation hashes share
+  (flat images) is refined: of the four other bytes at least two agree as well, so six longer seeds of 48 bits take its
+  place, and one of those can't have more than 65,536 distinct hashes.
 
 Records are sent to the shard of their seed, so training isn't replicated over shards, and a shard stays as small as its
 share of seeds. Copies are collapsed to distinct values first: a hash that a third of all records share is one string.
@@ -30,8 +32,9 @@ from detlake.session import cut, norm
 SEEDS = tuple(itertools.combinations(range(4), 2))
 WORDS = tuple((a, b, *(w for w in range(4) if w not in (a, b))) for a, b in SEEDS)
 MAX_BITS = 2
-#: The exact hash's symbol; perceptual seeds have 1 to 6.
+#: The exact hash's symbol; perceptual seeds have 1 to 6, refined ones 7 to 42.
 EXACT = 0
+HOT_SEED = 10_000
 #: Every how many text positions the suffix array is kept.
 SAMPLE = 4
 #: Symbols of a shard's index at most; a longer shard gets several indexes, each of which every pattern passes.
@@ -142,17 +145,47 @@ def _slots(rank: np.ndarray, which: np.ndarray) -> np.ndarray:
     return starts[mine] + within
 
 
+def _layouts() -> np.ndarray:
+    """Order of a hash's bytes (most significant first) in the strings of each kind."""
+    word = lambda w: (2 * w, 2 * w + 1)
+    out = [tuple(range(8))]
+    out += [(*word(c), *word(d), *word(a), *word(b)) for a, b, c, d in WORDS]
+    for a, b, c, d in WORDS:
+        other = (*word(c), *word(d))
+        out += [(*(other[i] for i in range(4) if i not in (p, q)), *word(a), *word(b), other[p], other[q]) for p, q in SEEDS]
+    return np.array(out)
+
+
+LAYOUTS = _layouts()
+
+
 def _strings(kind: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Nine symbols a row: for a perceptual seed the two other words, the seed's words and the closing symbol 256 + seed."""
-    bits = value.astype(np.uint64)
-    parts = np.stack([(bits >> np.uint64(48 - 16 * w)) & np.uint64(0xFFFF) for w in range(4)], axis=1)
-    layout = np.array([(0, 1, 2, 3), *((c, d, a, b) for a, b, c, d in WORDS)])
-    laid = np.take_along_axis(parts, layout[kind], axis=1)
+    """Nine symbols a row: what isn't in the seed, the seed and the closing symbol 256 + kind."""
+    parts = value.astype(">i8").view(np.uint8).reshape(-1, 8)
     out = np.empty((len(value), 9), np.int64)
-    out[:, 0:8:2], out[:, 1:8:2], out[:, 8] = laid >> np.uint64(8), laid & np.uint64(0xFF), 256 + kind
+    out[:, :8], out[:, 8] = np.take_along_axis(parts, LAYOUTS[kind], axis=1), 256 + kind
     return out
 
 
+def _depth(kind: np.ndarray) -> np.ndarray:
+    """Symbols that a search must match: all of an exact hash, four or six bytes of a perceptual one."""
+    return np.where(kind == EXACT, 9, np.where(kind <= len(SEEDS), 5, 7))
+
+
+def _first_kind(differ: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a pair's kind is the first that it agrees in (pairs agree in several; one reports them)."""
+    same = differ.astype(">u8").view(np.uint8).reshape(-1, 8) == 0
+    words = same[:, 0::2] & same[:, 1::2]
+    first = np.argmax(np.stack([words[:, a] & words[:, b] for a, b in SEEDS], axis=1), axis=1)
+    fine = kind > len(SEEDS)
+    ok = np.where(fine, (kind - 1 - len(SEEDS)) // len(SEEDS), kind - 1) == first
+    if fine.any():
+        rest = np.take_along_axis(same, LAYOUTS[first + 1][:, :4], axis=1)
+        sub = np.argmax(np.stack([rest[:, p] & rest[:, q] for p, q in SEEDS], axis=1), axis=1)
+        ok &= ~fine | ((kind - 1 - len(SEEDS)) % len(SEEDS) == sub)
+    return ok
+
+
 def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.astype(np.uint64))
 
@@ -176,7 +209,7 @@ def _shard(batches, max_bits: int, index_symbols: int):
     def build():
         kind, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (kinds, values))
         rows = max(1, index_symbols // 9)
-        return [(FullTextIndex(_strings(kind[i : i + rows], value[i : i + rows]).ravel(), 263), value[i : i + rows]) for i in range(0, len(kind), rows)]
+        return [(FullTextIndex(_strings(kind[i : i + rows], value[i : i + rows]).ravel(), 256 + len(LAYOUTS)), value[i : i + rows]) for i in range(0, len(kind), rows)]
 
     for batch in batches:
         train, kind, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -190,22 +223,17 @@ def _shard(batches, max_bits: int, index_symbols: int):
         kind, value = kind[train].astype(np.int64), value[train]
         patterns = _strings(kind, value)
         for index, there in indexes:
-            # the exact kind is searched to its full nine symbols, a perceptual hash to its seed of five
-            for exact in (True, False):
-                mine = np.flatnonzero((kind == EXACT) == exact)
-                if not len(mine):
-                    continue
-                low, high, _ = index.search(patterns[mine], 9 if exact else 5)
+            depth = _depth(kind)
+            for need in np.unique(depth):
+                mine = np.flatnonzero(depth == need)
+                low, high, _ = index.search(patterns[mine], int(need))
                 hit = high > low
                 for who, places in _unfold(mine[hit], low[hit], high[hit]):
                     other = there[index.locate(places) // 9]
-                    if not exact:
+                    if need < 9:
                         differ = value[who].view(np.uint64) ^ other.view(np.uint64)
-                        ok = _bits(differ) <= max_bits
-                        # a pair that agrees in several seeds is reported by the first of them only
-                        agree = np.stack([(differ >> np.uint64(48 - 16 * w)) & np.uint64(0xFFFF) for w in range(4)], axis=1) == 0
-                        first = np.argmax(np.stack([agree[:, a] & agree[:, b] for a, b in SEEDS], axis=1), axis=1) + 1
-                        ok &= first == kind[who]
+                        ok = np.flatnonzero(_bits(differ) <= max_bits)
+                        ok = ok[_first_kind(differ[ok], kind[who[ok]])]
                         who, other = who[ok], other[ok]
                     if len(who):
                         yield pa.RecordBatch.from_arrays([pa.array(kind[who].astype(np.int32)), pa.array(value[who]), pa.array(other)], names=["kind", "train_value", "eval_value"])
@@ -242,15 +270,22 @@ def records(images: DataFrame, entries: DataFrame) -> DataFrame:
     return image.where("coalesce(sha, '') <> '' OR dhash IS NOT NULL").join(entry, "id").distinct()
 
 
-def value_pairs(rec: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs of distinct hash values across train and evaluation: (kind 0 exact / 1..6 perceptual, train_value, eval_value)."""
+def value_pairs(rec: DataFrame, max_bits: int = MAX_BITS, hot_seed: int | None = None) -> DataFrame:
+    """Pairs of distinct hash values across train and evaluation: (kind 0 exact, else perceptual; train_value, eval_value)."""
+    hot_seed = HOT_SEED if hot_seed is None else hot_seed
     if not 0 <= max_bits <= 2:
         raise ValueError("two words of four agree only up to two differing bits")
     exact = rec.where("coalesce(sha, '') <> ''").select("train", F.lit(EXACT).alias("kind"), F.xxhash64("sha").alias("value")).distinct().withColumn("seed", F.col("value"))
     near = rec.where("dhash IS NOT NULL").select("train", F.col("dhash").alias("value")).distinct()
     word = lambda w: F.shiftrightunsigned("value", 48 - 16 * w).bitwiseAND(F.lit(0xFFFF))
-    seeds = F.array(*(F.struct(F.lit(k + 1).alias("kind"), (F.shiftleft(word(a), 16) + word(b)).alias("seed")) for k, (a, b) in enumerate(SEEDS)))
-    near = near.select("train", "value", F.explode(seeds).alias("s")).select("train", "s.kind", "value", "s.seed")
+    two = lambda a, b: F.shiftleft(word(a), 16).bitwiseOR(word(b))
+    seeds = F.array(*(F.struct(F.lit(k + 1).alias("kind"), two(a, b).alias("seed"), two(c, d).alias("rest")) for k, (a, b, c, d) in enumerate(WORDS)))
+    near = near.select("train", "value", F.explode(seeds).alias("s")).select("train", "s.kind", "value", "s.seed", "s.rest")
+    hot = near.where("NOT train").groupBy("kind", "seed").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_seed).select("kind", "seed", F.lit(True).alias("_hot"))
+    byte = lambda i: F.shiftrightunsigned("rest", 24 - 8 * i).bitwiseAND(F.lit(0xFF))
+    fine = F.array(*(F.struct((F.lit(len(SEEDS) + 1 + j) + (F.col("kind") - 1) * len(SEEDS)).alias("kind"), F.shiftleft("seed", 16).bitwiseOR(F.shiftleft(byte(p), 8)).bitwiseOR(byte(q)).alias("seed")) for j, (p, q) in enumerate(SEEDS)))
+    own = F.array(F.struct(F.col("kind"), F.col("seed")))
+    near = near.join(hot, ["kind", "seed"], "left").select("train", "value", F.explode(F.when(F.col("_hot"), fine).otherwise(own)).alias("s")).select("train", "s.kind", "value", "s.seed")
     return _searched(exact.select("train", "kind", "value", "seed").unionByName(near), max_bits)
 
 
