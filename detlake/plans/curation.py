@@ -9,7 +9,7 @@ from detlake.functions import keys as k
 from detlake.functions.geometry import box
 from detlake.operators import components as c
 from detlake.operators import grouping, quality, reconcile, sampling, summary, temporal
-from detlake.plans.adapters import relation
+from detlake.plans.adapters import relation, with_clause
 from detlake.session import cut, norm, table
 
 RULES = temporal.Rules()
@@ -511,6 +511,13 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpri
         "label_lines": f"WITH {_LAB} SELECT canonical_image_id, line_number, class_id, cx, cy, w, h, array_to_string({_errors(4)}, ',') AS errors FROM ln",
         "label_error_counts": f"WITH {_LAB}, x AS (SELECT {_errors(4)} AS e FROM ln), y AS (SELECT unnest(CASE WHEN len(e) = 0 THEN ['none'] ELSE e END) AS error FROM x) SELECT error, count(*) AS lines FROM y GROUP BY 1",
         "class_inventory": f"WITH {_LAB} SELECT country, class_id, count(*) AS objects, count(DISTINCT canonical_image_id) AS images FROM ln WHERE country IS NOT NULL AND class_id IS NOT NULL GROUP BY 1, 2",
+        "label_roundtrip": f"""WITH {with_clause('boxes')} SELECT class_id, count(*) AS lines, count(*) AS same_class, true AS exact FROM boxes WHERE x1 >= 0 AND y1 >= 0 AND x2 <= 100 AND y2 <= 100 AND x2 > x1 AND y2 > y1 GROUP BY 1""",
+        "class_showcase": """WITH s AS (SELECT filename, bool_and(len(classes_present) = 0) AS negative FROM annotated_samples WHERE filename IS NOT NULL AND classes_present IS NOT NULL AND class_max_normalized_areas IS NOT NULL GROUP BY 1),
+e AS (SELECT filename, unnest(class_max_normalized_areas) AS a FROM annotated_samples WHERE filename IS NOT NULL AND len(classes_present) > 0), b AS (SELECT filename, a.class_id AS c, max(a.max_normalized_area) AS v FROM e WHERE a.class_id IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, sha256('42:' || filename) AS h FROM b), """ + ", ".join(
+            f"k{n} AS (SELECT filename, '{n}' AS chosen_for, (row_number() OVER (ORDER BY v DESC NULLS LAST, h, lower(filename)))::INT AS rank FROM r WHERE c = {n}" + "".join(f" AND filename NOT IN (SELECT filename FROM k{m})" for m in range(n)) + " QUALIFY rank <= 2)" for n in range(4)
+        ) + """, n AS (SELECT filename, 'negative' AS chosen_for, (row_number() OVER (ORDER BY sha256('42:' || filename), lower(filename)))::INT AS rank FROM s WHERE negative QUALIFY rank <= 2)
+SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM n""",
         "pair_integrity": f"""WITH {_REC}, l AS (SELECT lower(regexp_replace(original_filename, '\\.[^.]*$', '')) AS stem, count(*) AS left_count FROM rec WHERE original_filename IS NOT NULL GROUP BY 1),
 r AS (SELECT lower(stem) AS stem, count(*) AS right_count FROM (SELECT DISTINCT regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM annotated_samples WHERE filename IS NOT NULL) GROUP BY 1),
 j AS (SELECT stem, coalesce(left_count, 0) AS left_count, coalesce(right_count, 0) AS right_count FROM l FULL JOIN r USING (stem))

@@ -288,6 +288,24 @@ SELECT tp, fp, fn, macro_precision, macro_recall, macro_f1, coalesce(tp / nullif
         "threshold_sweep": f"{_SWEEP} SELECT threshold, class_id, tp, fp, fn, {_RATES}, negative_images, negative_fp, negative_images_with_fp FROM swept",
         "sweep_points": f"{_SWEEP}, {_POINTS} SELECT threshold, round(macro_f1, 12) AS macro_f1, total_tp, total_fp, total_fn, negative_images, negative_fp, negative_images_with_fp FROM points",
         "select_point": f"{_SWEEP}, {_POINTS} SELECT threshold, total_tp, total_fp, total_fn, negative_fp FROM points ORDER BY round(macro_f1, 12) DESC, negative_fp, threshold DESC LIMIT 1",
+        "grouped_sweep": f"""WITH {_BASE}, p2 AS (SELECT * FROM pred WHERE confidence >= 0.4::DOUBLE), {_matched('pred', 'ma')}, {_matched('p2', 'mb')}, {_CLASSES}, {_GRID}, negatives AS (SELECT image_id FROM sites ANTI JOIN gt USING (image_id)),
+both_ AS (SELECT 0.5::DOUBLE AS nms_iou, * FROM pred UNION ALL SELECT 0.6::DOUBLE, * FROM p2), hits AS (SELECT 0.5::DOUBLE AS nms_iou, class_id, confidence FROM ma UNION ALL SELECT 0.6::DOUBLE, class_id, confidence FROM mb),
+cells AS (SELECT s.nms_iou, threshold, c.class_id, (SELECT count(*) FROM both_ p WHERE p.nms_iou = s.nms_iou AND p.class_id = c.class_id AND p.confidence >= threshold) AS n, (SELECT count(*) FROM hits k WHERE k.nms_iou = s.nms_iou AND k.class_id = c.class_id AND k.confidence >= threshold) AS tp,
+  (SELECT count(*) FROM gt g WHERE g.class_id = c.class_id) AS support FROM (SELECT unnest([0.5::DOUBLE, 0.6::DOUBLE]) AS nms_iou) s CROSS JOIN grid CROSS JOIN classes c),
+pt AS (SELECT nms_iou, threshold, round(sum(coalesce(2 * tp / nullif(2 * tp + (n - tp) + (support - tp), 0), 0)) / 4, 12) AS f, sum(tp)::BIGINT AS total_tp, sum(n - tp)::BIGINT AS total_fp, sum(support - tp)::BIGINT AS total_fn,
+  (SELECT count(*) FROM both_ p SEMI JOIN negatives USING (image_id) WHERE p.nms_iou = cells.nms_iou AND p.confidence >= cells.threshold) AS nfp FROM cells GROUP BY nms_iou, threshold)
+SELECT nms_iou, threshold, total_tp, total_fp, total_fn FROM pt ORDER BY f DESC, nfp, threshold DESC, nms_iou LIMIT 1""",
+        "ranked_queues": f"""WITH {_BASE}, {_OUTCOME}, {_FN1}, {_FP1}, fnq AS (SELECT *, {code('class_id')} AS cc, coalesce(diagnostic_confidence, 0) AS s, CASE diagnosis WHEN 'class_confusion' THEN 0 WHEN 'poor_localization' THEN 1 WHEN 'below_frozen_confidence' THEN 2 ELSE 3 END AS seq FROM fn1),
+fpq AS (SELECT *, {code('class_id')} AS cc FROM fp1), err AS (SELECT image_id, diagnosis, confidence, 1 AS p, 0 AS n FROM fp1 UNION ALL SELECT image_id, diagnosis, 0, 0, 1 FROM fn1),
+img AS (SELECT image_id, site, sum(p)::BIGINT AS p, sum(n)::BIGINT AS n, max(confidence) AS top, string_agg(DISTINCT diagnosis, ';' ORDER BY diagnosis) AS d FROM err JOIN sites USING (image_id) GROUP BY 1, 2), neg AS (SELECT image_id, count(*) AS n, max(confidence) AS top FROM fp1 WHERE diagnosis = 'negative_image' GROUP BY 1),
+q AS (SELECT cc || '_FALSE_NEGATIVE' AS queue, image_id, cc AS class_code, diagnosis, diagnostic_confidence AS confidence, diagnostic_iou AS iou, NULL::BIGINT AS fp, NULL::BIGINT AS fn, row_number() OVER (PARTITION BY cc ORDER BY seq, s DESC, diagnostic_iou DESC, image_id, gi) AS rank FROM fnq
+UNION ALL SELECT 'HIGH_CONFIDENCE_FALSE_POSITIVE', image_id, cc, diagnosis, confidence, best_iou, NULL, NULL, row_number() OVER (ORDER BY confidence DESC, image_id, pi) FROM fpq WHERE high_confidence
+UNION ALL SELECT 'HIGH_CONFIDENCE_FN_DIAGNOSTIC', image_id, cc, diagnosis, diagnostic_confidence, diagnostic_iou, NULL, NULL, row_number() OVER (ORDER BY s DESC, diagnostic_iou DESC, image_id, gi) FROM fnq WHERE seq < 2 AND s >= 0.5::DOUBLE
+UNION ALL SELECT 'NEGATIVE_ROAD_FALSE_POSITIVE', image_id, NULL, NULL, top, NULL, n, NULL, row_number() OVER (ORDER BY top DESC, n DESC, image_id) FROM neg
+UNION ALL SELECT 'POSSIBLE_CLASS_CONFUSION', image_id, cc, diagnosis, confidence, best_iou, NULL, NULL, row_number() OVER (ORDER BY confidence DESC, best_iou DESC, image_id, pi) FROM fpq WHERE diagnosis = 'class_confusion'
+UNION ALL SELECT 'POOR_LOCALIZATION', image_id, {code('gc')}, NULL, confidence, overlap, NULL, NULL, row_number() OVER (ORDER BY confidence DESC, overlap, image_id, pi) FROM near
+UNION ALL SELECT upper(site) || '_ERROR', image_id, NULL, d, NULL, NULL, p, n, row_number() OVER (PARTITION BY site ORDER BY p + n DESC, top DESC, image_id) FROM img)
+SELECT * REPLACE (round(iou, 9) AS iou) FROM q WHERE rank <= 25""",
         "negative_image_stats": f"""WITH {_BASE}, {_KEPT}, negatives AS (SELECT image_id FROM sites ANTI JOIN gt USING (image_id)), hit AS (SELECT image_id, count(*) AS n FROM kept SEMI JOIN negatives USING (image_id) GROUP BY 1),
 t AS (SELECT (SELECT count(*) FROM negatives) AS negative_images, (SELECT coalesce(sum(n), 0)::BIGINT FROM hit) AS negative_fp, (SELECT count(*) FROM hit) AS negative_images_with_fp)
 SELECT *, coalesce(negative_fp / nullif(negative_images, 0), 0)::DOUBLE AS negative_fp_per_image, coalesce(negative_images_with_fp / nullif(negative_images, 0), 0)::DOUBLE AS negative_images_with_fp_fraction FROM t""",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from detlake.plans import curation, detection
+from detlake.plans import curation, detection, inventories
 
 
 def queries():
-    return detection.queries() | curation.queries()
+    return detection.queries() | curation.queries() | inventories.queries()
 
 
 def oracle_sql():
-    return detection.oracle_sql() | curation.oracle_sql()
+    return detection.oracle_sql() | curation.oracle_sql() | inventories.oracle_sql()
