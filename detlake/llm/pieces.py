@@ -17,13 +17,14 @@ takes the last of them), and pieces put end to end (less the overlap) are the te
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detlake.llm.tokens import VOCABULARY, encoder, portions
+from detlake.llm.tokens import KEPT, KEPT_LENGTH, VOCABULARY, encoder, portions
 from detlake.session import spread
 
 LIMIT, OVERLAP = 1024, 64
@@ -54,33 +55,60 @@ def _kind(piece: str, after: str, tail: str, head: str) -> str:
     return "W" if space else "c"
 
 
+def _inside(piece: str, enc) -> tuple[str, tuple[int, ...]]:
+    """Letters and character ends of a pre-token's tokens but for the letter of the last."""
+    letters, ends, done, data = [], [], 0, piece.encode()
+    if len(data) == len(piece):
+        for t in enc.lookup(piece)[:-1]:
+            done += len(enc.bytes[t])
+            letters.append("c")
+            ends.append(done)
+    else:
+        char = np.cumsum([(b & 0xC0) != 0x80 for b in data])  # characters begun up to each byte
+        for t in enc.lookup(piece)[:-1]:
+            done += len(enc.bytes[t])
+            letters.append("c" if (data[done] & 0xC0) != 0x80 else "x")
+            ends.append(int(char[done]) - 1)
+    return "".join(letters), (*ends, len(piece))
+
+
+class _Marks(dict):
+    """(pre-token, first character of the next) -> letters and ends; pre-tokens with line breaks depend on more."""
+
+    def __init__(self, enc):
+        self.enc = enc
+
+    def __missing__(self, key: tuple[str, str]):
+        inner, ends = _inside(key[0], self.enc)
+        found = (inner + _kind(*key, "", ""), ends)
+        if len(key[0]) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.clear()
+            self[key] = found
+        return found
+
+
+_marks: dict[int, _Marks] = {}
+
+
 def _letters(text: str, enc, least: int) -> tuple[str, np.ndarray] | None:
     """Letters and character ends of a text's tokens, None for a text of at most ``least`` tokens."""
     pieces = enc.pieces(text)
-    ids = list(map(enc.lookup, pieces))
-    if sum(map(len, ids)) <= least:
+    if sum(map(len, map(enc.lookup, pieces))) <= least:
         return None
-    out, ends, at = [], [], 0
-    for i, (piece, tokens) in enumerate(zip(pieces, ids)):
-        begin, at = at, at + len(piece)
-        following = pieces[i + 1] if i + 1 < len(pieces) else ""
-        if len(tokens) > 1:
-            data, done = piece.encode(), 0
-            if len(data) == len(piece):
-                for t in tokens[:-1]:
-                    done += len(enc.bytes[t])
-                    out.append("c")
-                    ends.append(begin + done)
-            else:
-                char = np.cumsum([(b & 0xC0) != 0x80 for b in data])  # characters begun up to each byte
-                for t in tokens[:-1]:
-                    done += len(enc.bytes[t])
-                    whole = (data[done] & 0xC0) != 0x80
-                    out.append("c" if whole else "x")
-                    ends.append(begin + int(char[done]) - 1)
-        out.append(_kind(piece, following, text[max(0, at - 8) : at], text[at : at + 12]))
-        ends.append(at)
-    return "".join(out), np.array(ends, np.int32)
+    marks = _marks.setdefault(id(enc), _Marks(enc))
+    starts = np.r_[0, np.cumsum([len(p) for p in pieces])]
+    found = []
+    for i, key in enumerate(zip(pieces, [*(p[0] for p in pieces[1:]), ""])):
+        if "\n" in key[0]:
+            inner, ends = _inside(key[0], enc)
+            at = int(starts[i + 1])
+            found.append((inner + _kind(*key, text[max(0, at - 8) : at], text[at : at + 12]), ends))
+        else:
+            found.append(marks[key])
+    flat = np.fromiter(chain.from_iterable(e for _, e in found), np.int64)
+    begin = np.repeat(starts[:-1], [len(e) for _, e in found])
+    return "".join(m for m, _ in found), (flat + begin).astype(np.int32)
 
 
 def _pattern(limit: int, overlap: int) -> str:
@@ -103,7 +131,7 @@ def split_documents(
     """
     if limit < 2 * (overlap + _SLACK + 4):
         raise ValueError("the limit must be over twice the overlap")
-    rows = documents.select(documents[id_column].alias("doc_id"), documents[text_column].alias("text")).where(F.length("text") > F.lit(limit) / F.lit(4))
+    rows = documents.select(documents[id_column].alias("doc_id"), documents[text_column].alias("text")).where(F.octet_length("text") > limit)  # a token has a byte at least
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -27,6 +27,21 @@ def test_ids_equal_a_public_encoder(reference):
         assert e.encode(t) == (reference.encode_ordinary(t) if t else [])
 
 
+def test_splitters_equal_the_pattern():
+    regex = pytest.importorskip("regex")
+    want, (plain, mixed) = regex.compile(tokens.PATTERN).findall, tokens._splitters()
+    rng = random.Random(8)
+    ascii_ = "".join(map(chr, range(128)))
+    some = ascii_ + "ab1 '''''  sstrvmld" * 6 + "\u00e9\u00df\u00c5\u00bd\u00b2\u0663\u65e5\u672c\u0915\u093f\u0301\u00a0\u2028\u3000\x85\U0001f44d\U0001d7d8\U00010400"
+    for n in range(30_000):
+        t = "".join(rng.choice(ascii_ if n % 3 == 0 else some) for _ in range(rng.randrange(14)))
+        assert mixed(t) == want(t)
+        assert not t.isascii() or plain(t) == want(t)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for t in ("".join(every), " ".join(every), "a".join(every[:70_000]), "1".join(every[:70_000]), ".".join(every[:70_000])):
+        assert mixed(t) == want(t)
+
+
 def test_queue_on_any_vocabulary():
     """Ranks in any order, so a merge may enable one of lower rank: against the plain rule."""
     rng = random.Random(5)
