@@ -435,7 +435,7 @@ cand AS (SELECT DISTINCT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INT AS
 _LAB = """lab AS (SELECT canonical_image_id, max(label_text) AS label_text, max(country) AS country FROM export_entries WHERE canonical_image_id IS NOT NULL GROUP BY 1),
 ln0 AS (SELECT canonical_image_id, country, unnest(str_split_regex(label_text, '\\r?\\n')) AS line, generate_subscripts(str_split_regex(label_text, '\\r?\\n'), 1) AS line_number FROM lab),
 ln1 AS (SELECT *, str_split_regex(trim(line), '\\s+') AS p FROM ln0 WHERE trim(line) <> ''),
-ln AS (SELECT canonical_image_id, country, line, line_number, len(p) AS fields, TRY_CAST(p[1] AS INT) AS class_id, TRY_CAST(p[2] AS DOUBLE) AS cx, TRY_CAST(p[3] AS DOUBLE) AS cy, TRY_CAST(p[4] AS DOUBLE) AS w, TRY_CAST(p[5] AS DOUBLE) AS h FROM ln1)"""
+ln AS (SELECT canonical_image_id, country, line, line_number::INT AS line_number, len(p) AS fields, TRY_CAST(p[1] AS INT) AS class_id, TRY_CAST(p[2] AS DOUBLE) AS cx, TRY_CAST(p[3] AS DOUBLE) AS cy, TRY_CAST(p[4] AS DOUBLE) AS w, TRY_CAST(p[5] AS DOUBLE) AS h FROM ln1)"""
 
 
 def _errors(places: int | None) -> str:
@@ -453,10 +453,10 @@ def _errors(places: int | None) -> str:
 
 
 _FRAMES = "frames AS (SELECT video_id, frame_index // 100 AS second, round(max(confidence), 6) AS sharpness, max(area) AS contrast, count(*) AS change FROM obs GROUP BY 1, 2)"
-_BINS = """bins AS (SELECT *, ((i + 1) * 6 - 1) // n + 1 AS bin FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY second) - 1 AS i FROM frames)),
+_BINS = """bins AS (SELECT *, (((i + 1) * 6 - 1) // n + 1)::INT AS bin FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY second) - 1 AS i FROM frames)),
 binned AS (SELECT *, count(*) OVER (PARTITION BY video_id, bin) AS bin_size FROM bins)"""
 _VID = "vid AS (SELECT video_id, max(fps) AS fps, max(frame_count) AS frame_count FROM video_runs WHERE video_id IS NOT NULL GROUP BY 1)"
-_EPO = """epo AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY m) AS epoch, (n * 37 % 101) / 100.0::DOUBLE AS fitness FROM (SELECT o_orderpriority AS run, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2))"""
+_EPO = """epo AS (SELECT run, (row_number() OVER (PARTITION BY run ORDER BY m))::INT AS epoch, (n * 37 % 101) / 100.0::DOUBLE AS fitness FROM (SELECT o_orderpriority AS run, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2))"""
 _JOB = "job AS (SELECT user_id, event_id, ['queued', 'running', 'completed', 'running', 'failed'][event_id % 5 + 1] AS status FROM events)"
 
 
@@ -534,7 +534,7 @@ FROM r WHERE class_id IS NOT NULL AND a >= 0 AND NOT isnan(a) GROUP BY 1, 2""",
 FROM rec WHERE inclusion_status IS NOT NULL GROUP BY 1""",
         "hash_sample": f"WITH {_REC} SELECT canonical_image_id, sha256('42:review:' || canonical_image_id) AS rank_key FROM rec ORDER BY 2, 1 LIMIT 100",
         "stratified_sample": f"""WITH {_REC}, r AS (SELECT coalesce(country, 'unknown') AS country, coalesce(image_category, 'unknown') AS image_category, canonical_image_id FROM rec),
-k AS (SELECT *, row_number() OVER (PARTITION BY country, image_category ORDER BY sha256('42:' || canonical_image_id), canonical_image_id) AS rank FROM r) SELECT country, image_category, rank, canonical_image_id FROM k WHERE rank <= 5""",
+k AS (SELECT *, row_number() OVER (PARTITION BY country, image_category ORDER BY sha256('42:' || canonical_image_id), canonical_image_id) AS rank FROM r) SELECT country, image_category, rank::INT AS rank, canonical_image_id FROM k WHERE rank <= 5""",
         "temporal_bins": f"WITH {_OBS}, {_FRAMES}, {_BINS} SELECT video_id, second, bin, bin_size FROM binned",
         "representatives": f"""WITH {_OBS}, {_FRAMES}, {_BINS}, s AS (SELECT *, ({_rank('sharpness')}) * 0.5::DOUBLE + ({_rank('contrast')}) * 0.25::DOUBLE + ({_rank('change')}) * 0.25::DOUBLE AS score FROM binned),
 b AS (SELECT *, row_number() OVER (PARTITION BY video_id, bin ORDER BY score DESC, second) AS k FROM s) SELECT video_id, bin, second, round(score, 9) AS score FROM b WHERE k = 1""",

@@ -305,7 +305,7 @@ UNION ALL SELECT 'NEGATIVE_ROAD_FALSE_POSITIVE', image_id, NULL, NULL, top, NULL
 UNION ALL SELECT 'POSSIBLE_CLASS_CONFUSION', image_id, cc, diagnosis, confidence, best_iou, NULL, NULL, row_number() OVER (ORDER BY confidence DESC, best_iou DESC, image_id, pi) FROM fpq WHERE diagnosis = 'class_confusion'
 UNION ALL SELECT 'POOR_LOCALIZATION', image_id, {code('gc')}, NULL, confidence, overlap, NULL, NULL, row_number() OVER (ORDER BY confidence DESC, overlap, image_id, pi) FROM near
 UNION ALL SELECT upper(site) || '_ERROR', image_id, NULL, d, NULL, NULL, p, n, row_number() OVER (PARTITION BY site ORDER BY p + n DESC, top DESC, image_id) FROM img)
-SELECT * REPLACE (round(iou, 9) AS iou) FROM q WHERE rank <= 25""",
+SELECT * REPLACE (round(iou, 9) AS iou, rank::INT AS rank) FROM q WHERE rank <= 25""",
         "negative_image_stats": f"""WITH {_BASE}, {_KEPT}, negatives AS (SELECT image_id FROM sites ANTI JOIN gt USING (image_id)), hit AS (SELECT image_id, count(*) AS n FROM kept SEMI JOIN negatives USING (image_id) GROUP BY 1),
 t AS (SELECT (SELECT count(*) FROM negatives) AS negative_images, (SELECT coalesce(sum(n), 0)::BIGINT FROM hit) AS negative_fp, (SELECT count(*) FROM hit) AS negative_images_with_fp)
 SELECT *, coalesce(negative_fp / nullif(negative_images, 0), 0)::DOUBLE AS negative_fp_per_image, coalesce(negative_images_with_fp / nullif(negative_images, 0), 0)::DOUBLE AS negative_images_with_fp_fraction FROM t""",

@@ -170,7 +170,7 @@ SELECT detection_id, greatest(0, least(confidence, 1)) AS confidence, greatest(0
         "repeated_filenames": f"WITH {c._REC} SELECT lower(original_filename) AS name, count(*) AS count FROM rec WHERE original_filename IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
         "extreme_boxes": """WITH r AS (SELECT detection_id, min(class_id) AS class_id, min(bbox_relative_area) AS area FROM detections WHERE class_id IS NOT NULL GROUP BY 1), f AS (SELECT * FROM r WHERE isfinite(area) AND area BETWEEN 0 AND 1),
 x AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY area, detection_id) AS a, row_number() OVER (PARTITION BY class_id ORDER BY area DESC, detection_id) AS b FROM f)
-SELECT class_id, 'smallest' AS "end", a AS rank, detection_id, area FROM x WHERE a <= 3 UNION ALL SELECT class_id, 'largest', b, detection_id, area FROM x WHERE b <= 3""",
+SELECT class_id, 'smallest' AS "end", a::INT AS rank, detection_id, area FROM x WHERE a <= 3 UNION ALL SELECT class_id, 'largest', b::INT, detection_id, area FROM x WHERE b <= 3""",
         "cache_violations": f"WITH {with_clause('boxes')}, x AS (SELECT image_id, idx, concat_ws(',', CASE WHEN class_id NOT BETWEEN 0 AND 3 THEN 'class' END, CASE WHEN confidence <= 0.05::DOUBLE THEN 'confidence' END, CASE WHEN NOT (x2 > x1 AND y2 > y1) THEN 'area' END, CASE WHEN NOT (x2 <= 40 AND y2 <= 100) THEN 'bounds' END) AS broken FROM boxes) SELECT * FROM x WHERE broken <> ''",
         "support_counts": f"WITH {with_clause('gt', 'sites')}, n AS (SELECT image_id, count(*) AS t FROM gt GROUP BY 1) SELECT site, count(*) AS images, count(t) AS positive, count(*) - count(t) AS negative, coalesce(sum(t), 0)::BIGINT AS targets FROM sites LEFT JOIN n USING (image_id) GROUP BY 1",
         "event_violations": "SELECT '' AS event_id, '' AS video_id, '' AS broken WHERE false",
