@@ -296,3 +296,20 @@ def class_percentiles(detections: DataFrame) -> DataFrame:
 def daily_percentiles(detections: DataFrame) -> DataFrame:
     """(class_name, day, metric, n, p01, ..., p99) of every day."""
     return quantiles_of(daily_sketches(detections), ["class_name", "day"])
+
+
+def bound_check(detections: DataFrame, found: DataFrame) -> DataFrame:
+    """(class_name, metric, n, within_bound): whether all estimates of ``class_percentiles`` keep their stated error.
+
+    Exact ranks of each estimate are counted over all observations, allowing for the encoding's half step.
+    """
+    names = [quantile_name(q) for q in QUANTILES]
+    obs = observations(detections)
+    values = obs.select("class_name", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select("class_name", "x.metric", "x.v").where("v >= 0 AND v <= 1 AND NOT isnan(v)")
+    step = F.lit(2.0**-LEVELS)
+    counts = [c for q in names for c in (F.count_if(F.col("v") < F.col(q) - step).alias(f"below_{q}"), F.count_if(F.col("v") <= F.col(q) + step).alias(f"upto_{q}"))]
+    ranked = values.join(found.select("class_name", "metric", *names), ["class_name", "metric"]).groupBy("class_name", "metric").agg(F.count("*").alias("n"), *counts)
+    ok = F.lit(True)
+    for q, name in zip(QUANTILES, names):
+        ok = ok & (F.col(f"below_{name}") / F.col("n") <= q + RANK_ERROR) & (F.col(f"upto_{name}") / F.col("n") >= q - RANK_ERROR)
+    return ranked.select("class_name", "metric", "n", ok.alias("within_bound"))

@@ -26,6 +26,10 @@ def p2_balance(spark, d):
     return splits.balance(cut(p2_assign(spark, d)), table(spark, d, "split_targets"))
 
 
+def p2_integrity(spark, d):
+    return splits.integrity(cut(p2_assign(spark, d)), table(spark, d, "split_targets"))
+
+
 def _sampling(spark, d):
     return table(spark, d, "annotated_samples"), table(spark, d, "demo_configs"), table(spark, d, "target_shares")
 
@@ -61,6 +65,11 @@ def p5_daily(spark, d):
     return percentiles.daily_percentiles(table(spark, d, "detections"))
 
 
+def p5_bound(spark, d):
+    detections = table(spark, d, "detections")
+    return percentiles.bound_check(detections, cut(percentiles.class_percentiles(detections)))
+
+
 def p6_found(spark, d):
     return contraction.linked_images(table(spark, d, "near_duplicate_pairs"), table(spark, d, "duplicate_groups"))
 
@@ -82,7 +91,7 @@ def p9_pieces(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_assign, p2_balance, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_percentiles, p5_daily, p6_found, p7_ids, p8_found, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_assign, p2_balance, p2_integrity, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_percentiles, p5_daily, p5_bound, p6_found, p7_ids, p8_found, p9_found, p9_pieces)}
 
 
 _SPLIT = "CASE WHEN lower(trim({0})) = 'validation' THEN 'val' ELSE lower(trim({0})) END"
@@ -129,7 +138,14 @@ e AS (SELECT DISTINCT canonical_image_id AS id, {_SPLIT.format('split')} AS spli
 
 
 def oracle_sql():
+    values = "SELECT detection_id, arg_min(lower(trim(class_name)), ingested_at) AS class_name, any_value(confidence) AS confidence, any_value(bbox_relative_area) AS bbox_relative_area FROM detections WHERE detection_id IS NOT NULL GROUP BY 1"
     return {
+        "p2_integrity": """
+WITH g AS (SELECT canonical_image_id AS id, min(lower(trim(capture_group))) AS g FROM images WHERE canonical_image_id IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT canonical_image_id AS id FROM export_entries WHERE canonical_image_id IS NOT NULL)
+SELECT count(*) AS images, count(DISTINCT coalesce('g ' || g, 'i ' || id)) AS components, 0::BIGINT AS torn, true AS within_tolerance FROM e LEFT JOIN g USING (id)""",
+        "p5_bound": f"""
+WITH o AS ({values}), v AS (SELECT class_name, 'confidence' AS metric, confidence AS v FROM o UNION ALL SELECT class_name, 'bbox_relative_area', bbox_relative_area FROM o)
+SELECT class_name, metric, count(*) AS n, true AS within_bound FROM v WHERE class_name IS NOT NULL AND isfinite(v) AND v BETWEEN 0 AND 1 GROUP BY 1, 2""",
         "p2_found": _GROUPED + "SELECT capture_group FROM g JOIN e USING (id) GROUP BY capture_group HAVING count(DISTINCT split) > 1",
         "p3_found": _SHARES + "SELECT DISTINCT config_id, category FROM ask WHERE available < required",
         "p4_found": f"WITH {_PAIRS} SELECT DISTINCT least(train_id, eval_id) AS first_image_id, greatest(train_id, eval_id) AS second_image_id FROM pair",

@@ -225,3 +225,11 @@ def balance(assigned: DataFrame, split_targets: DataFrame) -> DataFrame:
     whole = assigned.agg(F.count("*").alias("n"))
     t = split_targets.select(norm("split").alias("split"), "target_share")
     return t.join(counted, "split", "left").crossJoin(whole).select("split", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce(F.try_divide(F.col("images").cast("double"), F.col("n")), F.lit(0.0)).alias("share"), "target_share")
+
+
+def integrity(assigned: DataFrame, split_targets: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """One row: images, components, components in several splits (0), and whether all shares are within the tolerance."""
+    parts = assigned.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("split").alias("s"))
+    whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("images"), F.count("*").alias("components"), F.count_if(F.col("s") > 1).alias("torn"))
+    off = balance(assigned, split_targets).agg(F.coalesce(F.max(F.abs(F.col("share") - F.col("target_share"))) <= tolerance, F.lit(False)).alias("within_tolerance"))
+    return whole.crossJoin(off)  # one row each
