@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from detlake.functions import keys as k
 from detlake.operators import ordered
 from detlake.operators.components import components
-from detlake.session import norm
+from detlake.session import cut, norm
 
 SPLITS = ("train", "val", "test")
 
@@ -193,6 +193,105 @@ def plan_split(features: DataFrame, ratios: dict[str, float] = RATIOS, seed: int
     return ordered.select("component", "features").mapInPandas(run, "component string, split string")
 
 
+#: Weights of the refinement's objective, in squared percentage points, transitions and guarded images.
+REFINEMENT = {"ratio": 4.0, "country": 4.0, "class": 0.25, "polarity": 0.5, "transition": 1.0, "guard": 0.1, "violation": 1000.0}
+
+
+def boundary_edges(grouped: DataFrame, member: DataFrame, seconds: int = 10) -> DataFrame:
+    """(a, b, guards): components of neighbouring timestamp groups, and the images that a boundary between them would cost.
+
+    ``grouped`` is the result of ``capture_groups``, ``member`` (canonical_image_id, component).
+    """
+    rows = grouped.where("method = 'timestamp'").join(member, "canonical_image_id").select("sequence_key", "sequence_index", "capture_group", "component", "ts_ms")
+    groups = rows.groupBy("sequence_key", "sequence_index", "capture_group").agg(F.min("component").alias("a"), F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
+    w = W.partitionBy("sequence_key").orderBy("sequence_index", "capture_group")
+    pairs = groups.select("capture_group", "a", "hi", *(F.lead(c).over(w).alias(f"n_{c}") for c in ("sequence_index", "capture_group", "a", "lo")), "sequence_index")
+    pairs = pairs.where("n_sequence_index = sequence_index + 1 AND a <> n_a")
+    ends = F.array(F.struct(F.col("capture_group").alias("g"), F.lit(True).alias("below"), (F.col("hi") - seconds * 1000).alias("limit")), F.struct(F.col("n_capture_group").alias("g"), F.lit(False).alias("below"), (F.col("n_lo") + seconds * 1000).alias("limit")))
+    sides = pairs.select(F.col("a"), F.col("n_a").alias("b"), F.col("capture_group").alias("edge"), F.explode(ends).alias("e")).select("a", "b", "edge", F.col("e.g").alias("capture_group"), "e.below", "e.limit")
+    near = F.when(F.col("below"), F.col("ts_ms") >= F.col("limit")).otherwise(F.col("ts_ms") <= F.col("limit"))
+    return rows.select("capture_group", "ts_ms").join(sides, "capture_group").where(near).groupBy("a", "b", "edge").agg(F.count("*").alias("guards")).drop("edge")
+
+
+def _parts(counts: dict[str, float], split: str, totals: dict[str, float], ratios: dict[str, float], tolerance: tuple[float, float]) -> float:
+    """One split's share of the objective."""
+    w, images = REFINEMENT, counts.get("images", 0)
+    off = 100.0 * images / totals["images"] - 100.0 * ratios[split]
+    score, excess = w["ratio"] * off * off, max(0.0, abs(off) - tolerance[0]) ** 2
+    countries = sorted(f for f in totals if f.startswith("country:"))
+    for f in countries[:-1]:  # the last one's share follows from the others
+        gap = (100.0 * counts.get(f, 0) / images if images else 0.0) - 100.0 * totals[f] / totals["images"]
+        score, excess = score + w["country"] * gap * gap, excess + max(0.0, abs(gap) - tolerance[1]) ** 2
+    for f, total in totals.items():
+        kind = f.split(":")[0]
+        if kind in ("class", "polarity") and total > 0:
+            score += w[kind] * (100.0 * counts.get(f, 0) / total - 100.0 * ratios[split]) ** 2
+    return score + w["violation"] * excess
+
+
+def refine_split(features: DataFrame, assigned: DataFrame, edges: DataFrame, ratios: dict[str, float] = RATIOS, passes: int = 8, tolerance: tuple[float, float] = (2.0, 5.0)) -> DataFrame:
+    """(component, split) after at most ``passes`` passes of local search, each accepted only if the objective falls.
+
+    A pass is one ordered stream: it holds the splits' counters and moves a component wherever that lowers the
+    objective. The splits of a component's neighbours over boundary edges are those of the pass before.
+    """
+    totals = {r["f"]: float(r["n"]) for r in features.select(F.explode("features").alias("f", "n")).groupBy("f").agg(F.sum("n").alias("n")).collect()}  # one row a feature
+    links = cut(edges.select("a", "b", "guards").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "guards")))
+
+    def counters(now: DataFrame) -> dict[str, dict[str, float]]:
+        out: dict[str, dict[str, float]] = {s: {} for s in ratios}
+        for r in split_balance(now.join(features, "component").select("split", "features")).collect():  # splits times features
+            out[r["split"]][r["feature"]] = float(r["n"])
+        return out
+
+    def objective(now: DataFrame) -> tuple[float, dict]:
+        counts = counters(now)
+        side = lambda c: now.select(F.col("component").alias(c), F.col("split").alias(f"{c}_s"))
+        crossing = links.where("a < b").join(side("a"), "a").join(side("b"), "b").where("a_s <> b_s").agg(F.count("*").alias("t"), F.coalesce(F.sum("guards"), F.lit(0)).alias("g")).first()
+        return sum(_parts(counts[s], s, totals, ratios, tolerance) for s in ratios) + REFINEMENT["transition"] * crossing["t"] + REFINEMENT["guard"] * crossing["g"], counts
+
+    best = cut(assigned.select("component", "split"))
+    if not totals:
+        return best
+    score, counts = objective(best)
+    for _ in range(passes):
+        near = links.join(best.select(F.col("component").alias("b"), "split"), "b").groupBy(F.col("a").alias("component"), "split").agg((REFINEMENT["transition"] * F.count("*") + REFINEMENT["guard"] * F.sum("guards")).alias("cost"))
+        near = near.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("split", "cost"))).alias("near"))
+        start = counts
+
+        def run(batches, start=start):
+            now = {s: dict(c) for s, c in start.items()}
+            parts = {s: _parts(c, s, totals, ratios, tolerance) for s, c in now.items()}
+            for pdf in batches:
+                out = []
+                for own, split, neighbours in zip(pdf["features"], pdf["split"], pdf["near"]):
+                    own, beside = dict(own), dict(neighbours) if neighbours is not None else {}
+                    shifted = lambda s, sign, own=own: now[s] | {f: now[s].get(f, 0) + sign * n for f, n in own.items()}
+                    left = shifted(split, -1)
+                    left_score, choice = _parts(left, split, totals, ratios, tolerance), None
+                    for s in ratios:
+                        if s != split:
+                            there = shifted(s, 1)
+                            there_score = _parts(there, s, totals, ratios, tolerance)
+                            change = left_score + there_score - parts[split] - parts[s] + beside.get(split, 0.0) - beside.get(s, 0.0)
+                            if change < -1e-9 and (choice is None or change < choice[0]):
+                                choice = (change, s, there, there_score)
+                    if choice:
+                        _, s, there, there_score = choice
+                        now[s], parts[s], now[split], parts[split] = there, there_score, left, left_score
+                        split = s
+                    out.append(split)
+                yield pd.DataFrame({"component": pdf["component"], "split": out})
+
+        rows = features.join(best, "component").join(near, "component", "left").select("component", "features", "split", "near")
+        tried = cut(rows.repartition(1).sortWithinPartitions("component").mapInPandas(run, "component string, split string"))
+        new_score, new_counts = objective(tried)
+        if new_score >= score - 1e-9:
+            break
+        best, score, counts = tried, new_score, new_counts
+    return best
+
+
 def split_balance(assigned: DataFrame) -> DataFrame:
     """(split, feature, n, share of the feature's total) from (split, features map)."""
     long = assigned.select("split", F.explode("features").alias("feature", "n")).groupBy("split", "feature").agg(F.sum("n").alias("n"))

@@ -138,6 +138,13 @@ def grouped_split(s, d):
     return comp.join(grouping.plan_split(features), "component").select("canonical_image_id", "component", "split")
 
 
+def grouped_split_refined(s, d):
+    """The greedy plan after local search that also avoids boundaries between neighbouring capture groups."""
+    comp, features = _planned(s, d)
+    edges = grouping.boundary_edges(_captures(s, d), comp, seconds=120)
+    return comp.join(grouping.refine_split(features, grouping.plan_split(features), edges), "component").select("canonical_image_id", "component", "split")
+
+
 def grouped_split_balance(s, d):
     _, features = _planned(s, d)
     return grouping.split_balance(features.join(grouping.plan_split(features), "component"))
@@ -394,7 +401,7 @@ def table_digest(s, d):
 def queries():
     named = (
         event_summary, event_associations, event_status_counts, event_reconciliation, valid_observations, gap_sessions, running_counts, capture_groups, capture_group_sizes, boundary_guard, exact_duplicates,
-        near_duplicates, near_duplicate_groups, component_roots, grouped_split, grouped_split_balance, split_conflicts, pair_conflicts, country_shares, image_summary, voc_boxes, label_lines, label_error_counts,
+        near_duplicates, near_duplicate_groups, component_roots, grouped_split, grouped_split_refined, grouped_split_balance, split_conflicts, pair_conflicts, country_shares, image_summary, voc_boxes, label_lines, label_error_counts,
         class_inventory, label_roundtrip, pair_integrity, image_categories, area_histogram, disposition_matrix, hash_sample, stratified_sample, class_showcase, covering_sample, temporal_bins, representatives,
         interval_frames, distributed_frames, candidate_frames, frame_differences, quality_summary, best_epoch, history_gaps, clock_codes, stable_ids, missing_exports, repeated_images, field_differences,
         observation_violations, unknown_videos, job_transitions, job_status, split_digests, table_digest,

@@ -64,6 +64,21 @@ def test_grouped_split_keeps_components(spark):
     assert abs(share["train"] - 0.7) < 0.05 and abs(share["val"] - 0.15) < 0.05
 
 
+def test_refinement_lowers_the_objective(spark):
+    rng = random.Random(2)
+    rows = [(f"i{n}", f"c{n // 6:03d}", rng.choice(("India", "Japan")), rng.random() < 0.5, {"D00": rng.randrange(3)}, 600, 600) for n in range(600)]
+    features = grouping.component_features(spark.createDataFrame(rows, "canonical_image_id string, component string, country string, is_positive boolean, class_counts map<string,long>, width int, height int")).cache()
+    poor = features.select("component", F.when(F.substring("component", 4, 1) < "5", "train").otherwise("val").alias("split"))
+    edges = spark.createDataFrame([(f"c{n:03d}", f"c{n + 1:03d}", 2) for n in range(0, 98, 2)], "a string, b string, guards long")
+    got = grouping.refine_split(features, poor, edges, passes=3)
+    assert got.count() == 100 and {tuple(r) for r in got.collect()} == {tuple(r) for r in grouping.refine_split(features.repartition(3), poor, edges, passes=3).collect()}
+    share = {r.split: r.share for r in grouping.split_balance(features.join(got, "component")).where("feature = 'images'").collect()}
+    assert abs(share["train"] - 0.7) < 0.03 and abs(share["test"] - 0.15) < 0.03
+    torn = lambda df: edges.join(df.select(F.col("component").alias("a"), F.col("split").alias("x")), "a").join(df.select(F.col("component").alias("b"), F.col("split").alias("y")), "b").where("x <> y").count()
+    assert torn(got) < 49 * 0.6
+    assert grouping.refine_split(features.limit(0), poor.limit(0), edges).count() == 0
+
+
 def test_half_even_quantiles(spark):
     df = spark.createDataFrame([(v,) for v in (1, 1, 2, 3, 9)], "v long")
     r = grouping.half_even_quantiles(df, "v").first()
