@@ -161,6 +161,16 @@ def test_flight_chances():
     assert np.abs(hits / 4000 - 0.37).max() < 0.03
 
 
+@pytest.mark.parametrize("required, exact", [((0, 500, 0, 0, 500), (False, True, False, False, True)), ((400, 400, 400, 400, 400), (True,) * 5), ((0, 0, 0, 0, 0), (False,) * 5)])
+def test_probabilities_fill_the_size(required, exact):
+    counts = np.zeros(64)
+    counts[[1, 2, 4, 5, 8, 16, 32]] = 900, 20, 900, 50, 400, 1200, 60
+    p = sampling.probabilities(counts, 1000, np.array(required, float), np.array(exact))
+    assert ((p >= 0) & (p <= 1)).all() and abs((p * counts).sum() - 1000) < 1e-3
+    assert p[2] > 0.999 or not any(required)  # the rare class gives all it has
+    assert sampling.probabilities(counts, 10_000, np.array(required, float), np.array(exact)) @ counts <= counts.sum() + 1e-6
+
+
 def test_cube_lands_close():
     rng = np.random.default_rng(3)
     for _ in range(50):
