@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from detlake.functions.geometry import ratio
+from detlake.functions.keys import require
 from detlake.operators.matching import match
 
 CLASSES = (0, 1, 2, 3)
@@ -18,6 +19,10 @@ CODES = ("D00", "D10", "D20", "D40")
 NAMES = ("D00_longitudinal_crack", "D10_transverse_crack", "D20_alligator_crack", "D40_pothole")
 
 
+#: Settings that one sweep compares at most.
+MOST_SETTINGS = 100
+
+
 def code(class_id: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, CODES)), class_id + 1)
 
@@ -75,8 +80,11 @@ def sweep(images: DataFrame, gt: DataFrame, pred: DataFrame, grid: list[float],
     by = [group] if group else []
     floor = pred.where(F.col("confidence") >= F.lit(float(grid[0])))
     if group:  # the group is part of the image's identity while matching
-        settings = pred.select(group).distinct()
-        wide = gt.crossJoin(F.broadcast(settings))
+        found = [r[0] for r in pred.select(group).distinct().limit(MOST_SETTINGS + 1).collect()]
+        require(len(found) <= MOST_SETTINGS, f"a sweep takes at most {MOST_SETTINGS} settings")
+        kind = pred.schema[group].dataType
+        settings = spark.createDataFrame([(v,) for v in found], T.StructType([T.StructField(group, kind)]))
+        wide = gt.withColumn(group, F.explode(F.array(*(F.lit(v).cast(kind) for v in found)).cast(T.ArrayType(kind))))
         ident = F.struct("image_id", group)
         m = match(wide.withColumn("image_id", ident), floor.withColumn("image_id", ident), min_overlap)
         m = m.select(F.col(f"image_id.{group}").alias(group), F.col("image_id.image_id").alias("image_id"), "pi")
