@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,12 +86,66 @@ def gray_difference(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x) / (F.lit(255.0) * F.size(a))
 
 
-def near_duplicate_candidates(hashes: DataFrame, max_distance: int = 6, bucket_limit: int = 200, neighbours: int = 20) -> DataFrame:
-    """(a, b, distance): pairs of ids that share a 16-bit band of a 64-bit hash and differ in at most ``max_distance`` bits.
+#: A bucket of more distinct hashes is refined: its other 48 bits are cut into eight blocks of six, of which two hashes within six bits agree in two at least.
+HOT_BUCKET = 1_000
+FINE_BLOCKS, FINE_BITS = 8, 6
 
-    ``hashes`` is (id, hash as long). A bucket of more than ``bucket_limit`` ids pairs each id only with the next
-    ``neighbours`` in id order, which is the operator's stated semantics (use the cross-split search for an exhaustive one).
+
+def close_hashes(values: DataFrame, max_distance: int = 6, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """(ha, hb, distance): all pairs of distinct hashes, ha < hb, that share a 16-bit band and differ in at most ``max_distance`` bits.
+
+    ``values`` is (hash as long). Large buckets are refined by further bits, which loses no pair; a distance over six
+    bits leaves fewer blocks equal, so buckets are then compared whole.
+    """
+
+    def rest(b: int) -> Column:
+        low = F.col("hash").bitwiseAND(F.lit((1 << 16 * b) - 1))
+        return low if b == 3 else low.bitwiseOR(F.shiftleft(F.shiftrightunsigned("hash", 16 * (b + 1)), 16 * b))
+
+    bands = F.array(*(F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("hash", 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("value"), rest(b).alias("rest")) for b in range(4)))
+    rows = values.select("hash").distinct().select("hash", F.explode(bands).alias("k")).select("hash", "k.*")
+    whole = F.struct(F.lit(-1).alias("blocks"), F.lit(0).cast("long").alias("fine"))
+    if max_distance <= FINE_BLOCKS - 2:
+        hot = rows.groupBy("band", "value").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_bucket).select("band", "value", F.lit(True).alias("_hot"))
+        block = lambda i: F.shiftrightunsigned("rest", FINE_BITS * i).bitwiseAND(F.lit((1 << FINE_BITS) - 1))
+        fine = F.array(*(F.struct(F.lit(n).alias("blocks"), F.shiftleft(block(i), FINE_BITS).bitwiseOR(block(j)).alias("fine")) for n, (i, j) in enumerate(itertools.combinations(range(FINE_BLOCKS), 2))))
+        rows = rows.join(hot, ["band", "value"], "left").select("hash", "band", "value", F.explode(F.when(F.col("_hot"), fine).otherwise(F.array(whole))).alias("k"))
+    else:
+        rows = rows.select("hash", "band", "value", whole.alias("k"))
+    rows = rows.select("band", "value", "k.blocks", "k.fine", F.col("hash").alias("ha"))
+    pairs = rows.join(rows.withColumnRenamed("ha", "hb"), ["band", "value", "blocks", "fine"]).where("ha < hb")
+    return pairs.select("ha", "hb", k.hamming(F.col("ha"), F.col("hb")).cast("int").alias("distance")).where(F.col("distance") <= max_distance).distinct()
+
+
+def near_duplicate_candidates(hashes: DataFrame, max_distance: int = 6, bucket_limit: int | None = None, neighbours: int = 20) -> DataFrame:
+    """(a, b, distance): all pairs of ids that share a 16-bit band of a 64-bit hash and differ in at most ``max_distance`` bits.
+
+    ``hashes`` is (id, hash as long). Ids are collapsed to distinct hashes, and close hashes are spread to ids again. Only
+    with a ``bucket_limit`` (128 in the original) are pairs left out: a bucket of more ids pairs each id only with the next
+    ``neighbours`` in id order.
+    """
+    if bucket_limit is not None:
+        return _windowed_candidates(hashes, max_distance, bucket_limit, neighbours)
+    rows = cut(hashes.select("id", "hash").distinct())
+    side = lambda i, h: rows.select(F.col("id").alias(i), F.col("hash").alias(h))
+    same = side("a", "h").join(side("b", "h"), "h").where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    close = close_hashes(rows, max_distance).join(side("x", "ha"), "ha").join(side("y", "hb"), "hb").where("x <> y")
+    return same.unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")).distinct()
+
+
+def near_duplicate_links(hashes: DataFrame, max_distance: int = 6) -> DataFrame:
+    """(a, b): links that connect the same ids as all pairs of ``near_duplicate_candidates``.
+
+    One link an id, to the first of its hash, and one a pair of close hashes, so copies of a hash don't cost their square.
     """
+    rows = cut(hashes.select("id", "hash").distinct())
+    first = cut(rows.groupBy("hash").agg(F.min("id").alias("first")))
+    side = lambda i, h: first.select(F.col("first").alias(i), F.col("hash").alias(h))
+    close = close_hashes(first, max_distance).join(side("a", "ha"), "ha").join(side("b", "hb"), "hb").select("a", "b")
+    return rows.join(first, "hash").select(F.col("first").alias("a"), F.col("id").alias("b")).unionByName(close).where("a <> b")
+
+
+def _windowed_candidates(hashes: DataFrame, max_distance: int, bucket_limit: int, neighbours: int) -> DataFrame:
     bands = F.array(*(F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("hash", 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("value")) for b in range(4)))
     rows = hashes.select("id", "hash").distinct().select("id", "hash", F.explode(bands).alias("k")).select("id", "hash", "k.band", "k.value")
     sizes = rows.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")

@@ -101,16 +101,13 @@ def _hashes(s, d):
     return _records(s, d).select(F.col("canonical_image_id").alias("id"), h.alias("hash"), F.col("image_sha256").alias("sha"), F.col("decoded_width").alias("width"), F.col("decoded_height").alias("height")).where(~F.col("hash").isin(0, -1))
 
 
-def _candidates(s, d):
-    return grouping.near_duplicate_candidates(_hashes(s, d).select("id", "hash"))
-
-
 def near_duplicates(s, d):
-    return grouping.relations(_candidates(s, d), _hashes(s, d)).select("a", "b", "distance", "relationship", "hard_split_constraint")
+    hashes = cut(_hashes(s, d))
+    return grouping.relations(grouping.near_duplicate_candidates(hashes), hashes).select("a", "b", "distance", "relationship", "hard_split_constraint")
 
 
 def near_duplicate_groups(s, d):
-    return grouping.duplicate_components(_candidates(s, d)).select("duplicate_group", "member_count", F.array_join("members", ",").alias("members"))
+    return grouping.duplicate_components(grouping.near_duplicate_links(_hashes(s, d))).select("duplicate_group", "member_count", F.array_join("members", ",").alias("members"))
 
 
 def component_roots(s, d):

@@ -47,6 +47,26 @@ def test_identical_hashes_give_all_pairs_and_big_buckets_a_window(spark):
     assert grouping.near_duplicate_candidates(df, bucket_limit=5, neighbours=2).count() == 9 + 8
 
 
+def test_big_buckets_give_all_pairs(spark):
+    rng = random.Random(4)
+    flip = lambda h, most: h ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(most))})
+    hashes = [flip(0x0123456789ABCDEF, 9) for _ in range(400)] + [0x7FFF0000FFFF1234] * 230
+    rows = [(f"i{n:03d}", h - (1 << 64) if h >> 63 else h) for n, h in enumerate(hashes)] + [("i000", hashes[-1])]
+    near = lambda x: bin(x).count("1") <= 6 and any(x >> 16 * b & 0xFFFF == 0 for b in range(4))
+    unsigned = [(i, h % (1 << 64)) for i, h in rows]
+    want = {(i, j, bin(x ^ y).count("1")) for i, x in unsigned for j, y in unsigned if i < j and near(x ^ y)}
+    df = spark.createDataFrame(rows, "id string, hash long")
+    linked = lambda pairs: {(r.members, r.member_count) for r in grouping.duplicate_components(pairs).select(F.array_join("members", ",").alias("members"), "member_count").collect()}
+    whole = linked(spark.createDataFrame([w[:2] for w in want], "a string, b string"))
+    assert max(sum(h >> 48 == 0x0123 for h in hashes), 230) > 200 and len(whole) == 1
+    assert sorted(map(tuple, grouping.near_duplicate_candidates(df).collect())) == sorted(want)
+    close = {(x, y) for x in {h for _, h in rows} for y in {h for _, h in rows} if x < y and near((x ^ y) % (1 << 64))}
+    for hot in (20, 10_000):  # refined and whole buckets
+        got = [(r.ha, r.hb) for r in grouping.close_hashes(df, hot_bucket=hot).collect()]
+        assert len(got) == len(close) and set(got) == close
+    assert linked(grouping.near_duplicate_links(df)) == whole
+
+
 def test_gray_difference(spark):
     df = spark.createDataFrame([([0, 255], [255, 255])], "a array<int>, b array<int>")
     assert df.select(grouping.gray_difference(F.col("a"), F.col("b"))).first()[0] == 0.5
