@@ -310,7 +310,9 @@ def frame_differences(s, d):
 
 
 def quality_summary(s, d):
-    rows = table(s, d, "detections").groupBy("detection_id").agg(F.min("class_id").alias("class_id"), *(F.min(x).alias(x) for x in ("confidence", "bbox_relative_area"))).where("class_id IS NOT NULL AND abs(coalesce(confidence, 0)) < 1e300 AND abs(coalesce(bbox_relative_area, 0)) < 1e300")
+    """Confidence and area of each class; a metric that isn't finite is left out, the other one of its detection stays."""
+    finite = lambda x: F.when(F.abs(x) < F.lit(float("inf")), F.col(x))
+    rows = table(s, d, "detections").groupBy("detection_id").agg(F.min("class_id").alias("class_id"), *(F.min(finite(x)).alias(x) for x in ("confidence", "bbox_relative_area"))).where("class_id IS NOT NULL")
     return summary.metric_summary(rows, ["confidence", "bbox_relative_area"], ["class_id"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from detlake.functions import keys as k
 from detlake.operators import components, grouping, ordered, quality, reconcile, sampling, summary
+from detlake.plans import curation
 from detlake.session import norm
 from detlake.sources import files
 
@@ -67,6 +68,14 @@ def test_big_buckets_give_all_pairs(spark):
     assert linked(grouping.near_duplicate_links(df)) == whole
 
 
+def test_a_metric_stays_where_the_other_is_not_finite(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, 0.5, nan), (2, 0, inf, 0.25), (3, 0, -inf, 0.75), (4, 0, None, inf), (5, 0, 0.7, -inf), (5, 0, 0.7, 0.5), (6, None, 0.1, 0.1)]
+    spark.createDataFrame(rows, "detection_id long, class_id int, confidence double, bbox_relative_area double").write.parquet(f"{tmp_path}/detections.parquet")
+    got = {r.metric: (r["count"], r.minimum, r.maximum, r["mean"], r["median"]) for r in curation.quality_summary(spark, str(tmp_path)).collect()}
+    assert got == {"confidence": (2, 0.5, 0.7, 0.6, 0.6), "bbox_relative_area": (3, 0.25, 0.75, 0.5, 0.5)}
+
+
 def test_gray_difference(spark):
     df = spark.createDataFrame([([0, 255], [255, 255])], "a array<int>, b array<int>")
     assert df.select(grouping.gray_difference(F.col("a"), F.col("b"))).first()[0] == 0.5
