@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from detlake.functions import keys as k
 from detlake.operators import components, grouping, ordered, quality, reconcile, sampling, summary
-from detlake.plans import curation
+from detlake.plans import curation, inventories
 from detlake.session import norm
 from detlake.sources import files
 
@@ -76,6 +76,16 @@ def test_a_metric_stays_where_the_other_is_not_finite(spark, tmp_path):
     assert got == {"confidence": (2, 0.5, 0.7, 0.6, 0.6), "bbox_relative_area": (3, 0.25, 0.75, 0.5, 0.5)}
 
 
+def test_events_that_run_backwards_are_reported(spark, tmp_path):
+    box = [0.1, 0.1, 0.4, 0.4]
+    rows = [(n, v, 0, n % 10, 0, ms, 0.9, 0.09, 100.0, box, n) for n, (v, ms) in enumerate([("back", 2000), ("back", 1000)])] + [(10 + n, "on", 0, n, 0, 1000 + n, 0.9, 0.09, 100.0, box, n) for n in range(2)]
+    spark.createDataFrame(
+        rows, "detection_id long, video_id string, class_id int, frame_index long, detection_index int, timestamp_ms long, confidence double, bbox_relative_area double, bbox_area_pixels double, bbox_xyxy_normalized array<double>, ingested_at long"
+    ).write.parquet(f"{tmp_path}/detections.parquet")
+    spark.createDataFrame([("back", 10.0, 2), ("on", 10.0, 2)], "video_id string, fps double, frame_count long").write.parquet(f"{tmp_path}/video_runs.parquet")
+    assert {(r.video_id, r.broken) for r in inventories.event_violations(spark, str(tmp_path)).collect()} == {("back", "extent")}
+
+
 def test_gray_difference(spark):
     df = spark.createDataFrame([([0, 255], [255, 255])], "a array<int>, b array<int>")
     assert df.select(grouping.gray_difference(F.col("a"), F.col("b"))).first()[0] == 0.5
