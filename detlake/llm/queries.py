@@ -27,7 +27,7 @@ def p2_balance(spark, d):
 
 
 def p2_integrity(spark, d):
-    return splits.integrity(cut(p2_assign(spark, d)), table(spark, d, "split_targets"))
+    return splits.integrity(cut(p2_assign(spark, d)), table(spark, d, "images"), table(spark, d, "split_targets"))
 
 
 def _sampling(spark, d):

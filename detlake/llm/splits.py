@@ -1,6 +1,6 @@
 """Splits that keep related records together (problem 2), by min-cost flow over bundles of like components.
 
-Components are the capture groups (an image without a group is one of its own). They are bundled by identical size and
+Components are the capture groups, united where an image's rows name several (an image without a group is one of its own). They are bundled by identical size and
 label profile; sizes over EXACT_SIZE are bundled by powers of 2^(1/8), so the number of bundles is bounded by the sizes'
 logarithm and not by the data. A min-cost flow sends the bundles' images to the splits: within a label profile's quota of a
 split for nothing, beyond it at a cost, beyond the split's own quota at a higher one. Flows are rounded to whole components,
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from detlake.llm.contraction import consolidate
 from detlake.session import cut, norm
 
 EXACT_SIZE, BUCKETS = 64, 1024
@@ -34,10 +35,14 @@ def split_name(column):
 def grouped_entries(images: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per exported image: id, its component, whether it shows a target, and the splits it stands in now.
 
-    Component: the smallest normalised capture group of the image's rows, else the image itself (prefix ``g:`` or
-    ``i:``). Entries without an id are left out; a null is_positive counts as false.
+    Component: the smallest normalised capture group of those connected with the image's own by images whose rows name
+    several groups, else the image itself (prefix ``g:`` or ``i:``). Entries without an id are left out; a null is_positive counts as false.
     """
-    groups = images.where("canonical_image_id IS NOT NULL").groupBy(F.col("canonical_image_id").alias("id")).agg(F.min(norm("capture_group")).alias("g"))
+    named = images.where("canonical_image_id IS NOT NULL").groupBy(F.col("canonical_image_id").alias("id")).agg(F.collect_set(norm("capture_group")).alias("gs"))
+    named = cut(named.where(F.size("gs") > 0).select("id", F.array_min("gs").alias("first"), "gs"))
+    links = named.where(F.size("gs") > 1).select("first", F.explode("gs").alias("other"))
+    united = consolidate(links, "first", "other", "first", "united")
+    groups = named.select("id", "first").join(united, "first", "left").select("id", F.coalesce("united", "first").alias("g"))
     exported = (
         entries.where("canonical_image_id IS NOT NULL")
         .groupBy(F.col("canonical_image_id").alias("id"))
@@ -227,9 +232,13 @@ def balance(assigned: DataFrame, split_targets: DataFrame) -> DataFrame:
     return t.join(counted, "split", "left").crossJoin(whole).select("split", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce(F.try_divide(F.col("images").cast("double"), F.col("n")), F.lit(0.0)).alias("share"), "target_share")
 
 
-def integrity(assigned: DataFrame, split_targets: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """One row: images, components, components in several splits (0), and whether all shares are within the tolerance."""
-    parts = assigned.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("split").alias("s"))
-    whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("images"), F.count("*").alias("components"), F.count_if(F.col("s") > 1).alias("torn"))
+def integrity(assigned: DataFrame, images: DataFrame, split_targets: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """One row: images, components, torn (0), and whether all shares are within the tolerance.
+
+    Torn are capture groups, as the images' rows name them, and images without one that stand in several splits.
+    """
+    whole = assigned.agg(F.count("*").alias("images"), F.count_distinct("component").alias("components"))
+    named = images.where("canonical_image_id IS NOT NULL AND capture_group IS NOT NULL").select("canonical_image_id", norm("capture_group").alias("g")).distinct()
+    parts = assigned.join(named, "canonical_image_id", "left").groupBy(F.coalesce(F.concat(F.lit("g:"), "g"), F.concat(F.lit("i:"), "canonical_image_id")).alias("g")).agg(F.count_distinct("split").alias("s"))
     off = balance(assigned, split_targets).agg(F.coalesce(F.max(F.abs(F.col("share") - F.col("target_share"))) <= tolerance, F.lit(False)).alias("within_tolerance"))
-    return whole.crossJoin(off)  # one row each
+    return whole.crossJoin(parts.agg(F.count_if(F.col("s") > 1).alias("torn"))).crossJoin(off)  # one row each

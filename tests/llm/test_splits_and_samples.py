@@ -66,6 +66,20 @@ def test_conflicts(spark):
     assert sorted(got) == sorted(g for g, s in where.items() if len(s) > 1)
 
 
+def test_groups_that_share_an_image_are_united(spark):
+    images = [(f"{g}{n}", g, "x", "y", 1) for g in "abcd" for n in range(25)] + [("ab", "A ", "x", "y", 1), ("ab", "b", "x", "y", 1), ("bc", "c", "x", "y", 1), ("bc", "B", "x", "y", 1)]
+    i = spark.createDataFrame(images, IMAGES)
+    e = spark.createDataFrame([(x, "train", True, "c") for x in {x[0] for x in images}], ENTRIES)
+    t = spark.createDataFrame(TARGETS, "split string, target_share double")
+    rows = splits.assign(i, e, t)
+    got = {r.canonical_image_id: (r.component, r.split) for r in rows.collect()}
+    assert {c for x, (c, _) in got.items() if x[0] != "d"} == {"g:a"} and got["d1"][0] == "g:d"
+    assert len({s for x, (_, s) in got.items() if x[0] != "d"}) == 1
+    assert splits.integrity(rows, i, t).first().torn == 0
+    apart = spark.createDataFrame([(x, "g:" + x[0], "val" if x[0] == "b" else "train") for x in got], "canonical_image_id string, component string, split string")
+    assert splits.integrity(apart, i, t).first().torn == 2  # ab (train) is in b as well, bc (val) in c
+
+
 def test_empty_splits(spark):
     i, e = spark.createDataFrame([], IMAGES), spark.createDataFrame([], ENTRIES)
     assert splits.assign(i, e, spark.createDataFrame(TARGETS, "split string, target_share double")).count() == 0
