@@ -62,7 +62,7 @@ def p5_percentiles(spark, d):
 
 
 def p5_daily(spark, d):
-    return percentiles.daily_percentiles(table(spark, d, "detections"))
+    return percentiles.quantiles_of(percentiles.daily_sketches(table(spark, d, "detections")), ["class_name", "day"])
 
 
 def p5_bound(spark, d):
@@ -70,6 +70,15 @@ def p5_bound(spark, d):
     return percentiles.bound_check(detections, cut(percentiles.class_percentiles(detections)))
 
 
+#: A column without a known range.
+_FREE = ["bbox_area_pixels"]
+
+
+def p5_free_bound(spark, d):
+    detections = table(spark, d, "detections")
+    return percentiles.bound_check(detections, cut(percentiles.class_percentiles(detections, _FREE, None)), _FREE, None)
+
+
 def p6_found(spark, d):
     return contraction.linked_images(table(spark, d, "near_duplicate_pairs"), table(spark, d, "duplicate_groups"))
 
@@ -91,7 +100,7 @@ def p9_pieces(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_assign, p2_balance, p2_integrity, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_percentiles, p5_daily, p5_bound, p6_found, p7_ids, p8_found, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_assign, p2_balance, p2_integrity, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_percentiles, p5_daily, p5_bound, p5_free_bound, p6_found, p7_ids, p8_found, p9_found, p9_pieces)}
 
 
 _SPLIT = "CASE WHEN lower(trim({0})) = 'validation' THEN 'val' ELSE lower(trim({0})) END"
@@ -138,14 +147,20 @@ e AS (SELECT DISTINCT canonical_image_id AS id, {_SPLIT.format('split')} AS spli
 
 
 def oracle_sql():
-    values = "SELECT detection_id, arg_min(lower(trim(class_name)), ingested_at) AS class_name, any_value(confidence) AS confidence, any_value(bbox_relative_area) AS bbox_relative_area FROM detections WHERE detection_id IS NOT NULL GROUP BY 1"
+    # first delivery of an observation, a null time last; a day's row and one over all days (day null)
+    once = """SELECT * FROM (SELECT detection_id, lower(trim(class_name)) AS class_name, coalesce(CAST(ingested_at AS DATE), DATE '0001-01-01') AS day, confidence, bbox_relative_area, bbox_area_pixels,
+  row_number() OVER (PARTITION BY detection_id ORDER BY ingested_at NULLS LAST, class_name NULLS FIRST) AS nth FROM detections WHERE detection_id IS NOT NULL) WHERE nth = 1 AND class_name IS NOT NULL"""
+
+    def bound(metrics, ok):
+        each = " UNION ALL ".join(f"SELECT class_name, {day} AS day, '{m}' AS metric, {m} AS v FROM o" for m in metrics for day in ("day", "NULL::DATE"))
+        return f"WITH o AS ({once}), v AS ({each}) SELECT class_name, day, metric, count(*) FILTER (WHERE {ok}) AS n, count(*) FILTER (WHERE ({ok}) IS NOT TRUE) AS set_aside, true AS within_bound FROM v GROUP BY class_name, day, metric"
+
     return {
         "p2_integrity": """
 WITH g AS (SELECT canonical_image_id AS id, min(lower(trim(capture_group))) AS g FROM images WHERE canonical_image_id IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT canonical_image_id AS id FROM export_entries WHERE canonical_image_id IS NOT NULL)
 SELECT count(*) AS images, count(DISTINCT coalesce('g ' || g, 'i ' || id)) AS components, 0::BIGINT AS torn, true AS within_tolerance FROM e LEFT JOIN g USING (id)""",
-        "p5_bound": f"""
-WITH o AS ({values}), v AS (SELECT class_name, 'confidence' AS metric, confidence AS v FROM o UNION ALL SELECT class_name, 'bbox_relative_area', bbox_relative_area FROM o)
-SELECT class_name, metric, count(*) AS n, true AS within_bound FROM v WHERE class_name IS NOT NULL AND isfinite(v) AND v BETWEEN 0 AND 1 GROUP BY 1, 2""",
+        "p5_bound": bound(percentiles.METRICS, "NOT isnan(v) AND v BETWEEN 0 AND 1"),
+        "p5_free_bound": bound(_FREE, "NOT isnan(v)"),
         "p2_found": _GROUPED + "SELECT capture_group FROM g JOIN e USING (id) GROUP BY capture_group HAVING count(DISTINCT split) > 1",
         "p3_found": _SHARES + "SELECT DISTINCT config_id, category FROM ask WHERE available < required",
         "p4_found": f"WITH {_PAIRS} SELECT DISTINCT least(train_id, eval_id) AS first_image_id, greatest(train_id, eval_id) AS second_image_id FROM pair",
