@@ -9,7 +9,10 @@ boundary its end is, so that a bounded quantifier over the letters counts tokens
 
 One regular expression with the alternatives in order of boundary strength, the bounded quantifier consuming up to the
 limit, the character as the fallback, extracts the pieces; SQL array functions turn their lengths into token offsets and
-look back by the overlap. Tokens never reach over pre-tokens and any stretch of whole tokens of a pre-token encodes to
+look back by the overlap. A boundary in the second half of what a piece may hold comes before one in the first half, whatever
+their kinds, so that pieces don't get short; a character is cut only where there is no boundary at all. Texts, letters and
+character ends are arrays of blocks, so that a piece is cut out of the blocks that it touches: the work grows in
+proportion to a text's length. Tokens never reach over pre-tokens and any stretch of whole tokens of a pre-token encodes to
 itself, so a piece has as many tokens as letters (or fewer: blanks that end a piece may be merged, as no word follows that
 takes the last of them), and pieces put end to end (less the overlap) are the text.
 """
@@ -30,6 +33,8 @@ from detlake.session import spread
 LIMIT, OVERLAP = 1024, 64
 #: A character has four bytes and so four tokens at most: the overlap may begin up to three tokens earlier.
 _SLACK = 3
+#: Characters in a block of a text.
+BLOCK = 4096
 
 _SENTENCE = re.compile(r"[.!?…。！？．।॥]['\"”’»)\]）」』]*$")
 _CLAUSE = re.compile(r"[,;:،、，；：—–]['\"”’)\]）」』]*$")
@@ -115,7 +120,8 @@ def _pattern(limit: int, overlap: int) -> str:
     def one(most: int) -> str:
         low = most // 2
         strong = "|".join(f".{{{low},{most - 1}}}{kind}" for kind in "PLSCW")
-        return f".{{1,{most}}}\\z|{strong}|.{{0,{most - 1}}}[^x]"
+        early = "|".join(f".{{0,{low - 1}}}{kind}" for kind in "PLSCW")
+        return f".{{1,{most}}}\\z|{strong}|{early}|.{{0,{most - 1}}}[^x]"
 
     return f"\\A(?:{one(limit)})|(?:{one(limit - overlap - _SLACK)})"
 
@@ -141,24 +147,37 @@ def split_documents(
                 for i, text in enumerate(texts):
                     if text and (found := _letters(text, enc, limit)):
                         letters, ends = found
+                        cut_up = lambda t: pa.array([[t[k : k + BLOCK] for k in range(0, len(t), BLOCK)]])
                         offsets = pa.array([0, len(ends)], pa.int32())
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).slice(begin + i, 1), pa.array([text]), pa.array([letters]), pa.ListArray.from_arrays(offsets, pa.array(ends))], names=["doc_id", "text", "letters", "ends"]
+                            [batch.column(0).slice(begin + i, 1), cut_up(text), pa.array([letters]), cut_up(letters), pa.ListArray.from_arrays(offsets, pa.array(ends))], names=["doc_id", "blocks", "letters", "letter_blocks", "ends"]
                         )
 
-    long = spread(rows).mapInArrow(run, f"doc_id {kind}, text string, letters string, ends array<int>")
+    long = spread(rows).mapInArrow(run, f"doc_id {kind}, blocks array<string>, letters string, letter_blocks array<string>, ends array<int>")
     sizes = F.transform(F.regexp_extract_all("letters", F.lit(_pattern(limit, overlap)), F.lit(0)), lambda s: F.length(s))
     stops = F.aggregate("sizes", F.array(F.lit(0)), lambda done, size: F.array_append(done, F.element_at(done, -1) + size))
-    cuts = long.withColumn("sizes", sizes).withColumn("stops", stops).select("doc_id", "text", "letters", "ends", F.posexplode(F.slice("stops", 2, F.size("sizes"))).alias("piece", "stop"), "stops")
-    back = F.element_at("stops", F.col("piece") + 1) - F.lit(overlap)
-    inside = F.length(F.regexp_extract(F.substring(F.col("letters"), F.greatest(back - 2, F.lit(1)), F.lit(3)), "x*$", 0))
-    begin = F.when(F.col("piece") == 0, F.lit(0)).otherwise(back - inside)
-    first = F.when(F.col("begin") == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest("begin", F.lit(1))))
-    return (
-        cuts.withColumn("begin", begin)
-        .withColumn("first", first)
-        .select("doc_id", "piece", (F.col("stop") - F.col("begin")).alias("tokens"), "begin", F.substring(F.col("text"), F.col("first") + 1, F.element_at("ends", F.col("stop")) - F.col("first")).alias("text"))
-    )
+    stopped = long.withColumn("sizes", sizes).select("doc_id", "blocks", "letter_blocks", "ends", stops.alias("stops"))
+
+    def piece(stop, n):
+        back = F.element_at("stops", n + 1) - F.lit(overlap)
+        inside = F.length(F.regexp_extract(_stretch("letter_blocks", F.greatest(back - 3, F.lit(0)), F.greatest(back, F.lit(0))), "x*$", 0))
+        begin = F.when(n == 0, F.lit(0)).otherwise(back - inside)
+        return F.struct(n.alias("piece"), stop.alias("stop"), begin.alias("begin"))
+
+    def written(p):
+        first = F.when(p["begin"] == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(p["begin"], F.lit(1))))
+        return F.struct(p["piece"].alias("piece"), (p["stop"] - p["begin"]).alias("tokens"), p["begin"].alias("begin"), _stretch("blocks", first, F.element_at("ends", p["stop"])).alias("text"))
+
+    # all pieces of a text are made in its own row: what is exploded carries the piece alone
+    pieces = F.transform(F.transform(F.slice("stops", 2, F.size("stops") - 1), piece), written)
+    return stopped.select("doc_id", F.explode(pieces).alias("p")).select("doc_id", "p.*")
+
+
+def _stretch(blocks: str, begin, end):
+    """Characters begin..end of a text in blocks, read from the blocks that they touch."""
+    first = F.floor(begin / BLOCK).cast("int")
+    touched = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.substring(touched, begin - first * BLOCK + 1, end - begin)
 
 
 def split_found(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -34,19 +34,26 @@ def _sampling(spark, d):
     return table(spark, d, "annotated_samples"), table(spark, d, "demo_configs"), table(spark, d, "target_shares")
 
 
+def _drawn(spark, d):
+    samples, configs, shares = _sampling(spark, d)
+    pop = cut(sampling.population(samples))
+    return sampling.draw(pop, configs, shares), pop, configs, shares
+
+
 def p3_found(spark, d):
-    return sampling.unmet(*_sampling(spark, d))
+    return sampling.unmet(*_drawn(spark, d))
 
 
 def p3_sample(spark, d):
-    samples, configs, shares = _sampling(spark, d)
-    return sampling.draw(cut(sampling.population(samples)), configs, shares)
+    return _drawn(spark, d)[0]
 
 
 def p3_report(spark, d):
-    samples, configs, shares = _sampling(spark, d)
-    pop = cut(sampling.population(samples))
-    return sampling.report(sampling.draw(pop, configs, shares), pop, configs, shares)
+    return sampling.report(*_drawn(spark, d))
+
+
+def p3_integrity(spark, d):
+    return sampling.integrity(*_drawn(spark, d)[:3])
 
 
 def p4_found(spark, d):
@@ -91,6 +98,10 @@ def p8_found(spark, d):
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_spans(spark, d):
+    return leaks.spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark, d):
     return pieces.split_found(table(spark, d, "documents"))
 
@@ -100,7 +111,7 @@ def p9_pieces(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_assign, p2_balance, p2_integrity, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_percentiles, p5_daily, p5_bound, p5_free_bound, p6_found, p7_ids, p8_found, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_assign, p2_balance, p2_integrity, p3_found, p3_sample, p3_report, p3_integrity, p4_found, p4_report, p5_percentiles, p5_daily, p5_bound, p5_free_bound, p6_found, p7_ids, p8_found, p8_spans, p9_found, p9_pieces)}
 
 
 _SPLIT = "CASE WHEN lower(trim({0})) = 'validation' THEN 'val' ELSE lower(trim({0})) END"
@@ -163,6 +174,7 @@ SELECT count(*) AS images, count(DISTINCT coalesce('g ' || g, 'i ' || id)) AS co
         "p5_free_bound": bound(_FREE, "NOT isnan(v)"),
         "p2_found": _GROUPED + "SELECT capture_group FROM g JOIN e USING (id) GROUP BY capture_group HAVING count(DISTINCT split) > 1",
         "p3_found": _SHARES + "SELECT DISTINCT config_id, category FROM ask WHERE available < required",
+        "p3_integrity": "SELECT DISTINCT config_id, 0::BIGINT AS repeated, 0::BIGINT AS \"foreign\", 0::BIGINT AS minima_short, true AS size_met FROM demo_configs WHERE config_id IS NOT NULL",
         "p4_found": f"WITH {_PAIRS} SELECT DISTINCT least(train_id, eval_id) AS first_image_id, greatest(train_id, eval_id) AS second_image_id FROM pair",
         "p4_report": f"WITH {_PAIRS} SELECT split, country, count(DISTINCT eval_id) AS images, count(DISTINCT eval_id) FILTER (WHERE exact) AS exact_images, count(DISTINCT (train_id, eval_id)) AS pairs FROM pair GROUP BY split, country",
         "p6_found": """

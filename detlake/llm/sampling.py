@@ -2,13 +2,15 @@
 
 A sample's balancing variables are its category indicators and the constant 1 (the size), so samples with the same set of
 categories are interchangeable and there are at most 2^6 kinds. From the kinds' counts (all that reaches the driver) each
-request gets inclusion probabilities, raked until the expected category totals and the size are met as far as they can be.
+request gets inclusion probabilities by bounded least squares over the kinds: minima come first, then the size, then the
+least deviation from the wanted shares, and what that leaves open goes as near to equal chances as it can.
 
 Flight. In every partition, records of one kind fly against each other: a step that raises one and lowers another of the
 same kind keeps every balance exactly, so a kind with expected total t ends with floor(t) records chosen and one unresolved
 record with the rest, in a hash order seeded by the request. The unresolved records, at most one a kind, partition and
 request, merge upward in two levels and fly again, at the last level also along null-space directions of the indicator
-matrix across kinds. Landing resolves the at most six that remain. The report gives what was asked, available and drawn.
+matrix across kinds. Landing resolves the at most six that remain, by the same order of aims. The report gives what was asked,
+available and drawn, and the residual imbalance.
 """
 
 from __future__ import annotations
@@ -65,50 +67,67 @@ def requirements(pop: DataFrame, configs: DataFrame, shares: DataFrame) -> DataF
     return asked.join(there, "bit", "left").select("config_id", "category", "target_share", "required", F.coalesce("available", F.lit(0)).alias("available")).distinct()
 
 
-def unmet(samples: DataFrame, configs: DataFrame, shares: DataFrame) -> DataFrame:
-    """(config_id, category) of the requirements that too few samples can meet."""
-    return requirements(population(samples), configs, shares).where("available < required").select("config_id", "category").distinct()
+def unmet(drawn: DataFrame, pop: DataFrame, configs: DataFrame, shares: DataFrame) -> DataFrame:
+    """(config_id, category) of the report on a sample whose requirement is more than there is to draw from."""
+    return report(drawn, pop, configs, shares).where("available < required").select("config_id", "category").distinct()
 
 
-def probabilities(counts: np.ndarray, size: float, required: np.ndarray, exact: np.ndarray, rounds: int = 400) -> np.ndarray:
+#: Weights of the aims: minima, size, shares, equal chances.
+_AIMS = (1e5, 1e3, 1.0, 1e-2)
+
+
+def bounded_least_squares(a: np.ndarray, b: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The x in 0..high with the least |a x - b|, by active sets: bounds are released by gradient, steps stop at bounds."""
+    n = a.shape[1]
+    x, free = np.zeros(n), np.zeros(n, bool)
+    for _ in range(20 * n):
+        pull = a.T @ (b - a @ x)
+        gain = np.where(free, 0.0, np.where(x <= 0, pull, np.where(x >= high, -pull, 0.0)))
+        best = int(np.argmax(gain))
+        if gain[best] <= 1e-10 * max(1.0, float(np.abs(pull).max())):
+            break
+        free[best] = True
+        while free.any():
+            at = np.flatnonzero(free)
+            fixed = np.where(free, 0.0, x)
+            y = np.linalg.lstsq(a[:, at], b - a @ fixed, rcond=None)[0]
+            if ((y >= 0) & (y <= high[at])).all():
+                x[at] = y
+                break
+            move = y - x[at]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                room = np.where(y < 0, -x[at] / move, np.where(y > high[at], (high[at] - x[at]) / move, np.inf))
+            step = int(np.argmin(room))
+            x[at] = np.clip(x[at] + max(0.0, room[step]) * move, 0, high[at])
+            x[at[step]] = 0.0 if y[step] < 0 else high[at[step]]
+            free[at[step]] = False
+            if at[step] == best and room[step] <= 0:
+                return x  # the release gains nothing beyond rounding
+    return x
+
+
+def probabilities(counts: np.ndarray, size: float, minima: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Inclusion probability of each of the 64 kinds.
 
-    required: per category; exact: whether it is a share to be met or only a minimum. Raking: each category in turn scales
-    its kinds, then all scale to the size; probabilities stay in 0..1. The size comes first: where rare kinds can't give
-    their part, others fill up, and where minima ask for more than the size they fall short. Both show in the report.
+    minima: per category, at least so many (all there are, if fewer); wanted: per category the total that its share asks
+    for, NaN where none does. Minima are kept even if they ask for more than the size; the size (all there are, if fewer) is kept even if
+    shares ask for something else.
     """
-    real = (counts > 0) & (np.arange(64) > 0)
+    real = np.flatnonzero((counts > 0) & (np.arange(64) > 0))
+    p = np.zeros(64)
     total = counts[real].sum()
-    p = np.where(real, min(1.0, size / total) if total else 0.0, 0.0)
+    if not len(real):
+        return p
+    n, v = counts[real], _VECTORS[real]
     size = min(size, total)
-    for _ in range(rounds):
-        old = p.copy()
-        for c in range(5):
-            mine = real & (_VECTORS[:, c] > 0)
-            now = (p * counts)[mine].sum()
-            if now > 0 and (exact[c] or now < required[c]):
-                p[mine] = np.minimum(p[mine] * required[c] / now, 1.0)
-        free = real & (p < 1)
-        now, fixed = (p * counts)[free].sum(), (p * counts)[real & ~free].sum()
-        if now > 0 and size > fixed:
-            p[free] = np.minimum(p[free] * (size - fixed) / now, 1.0)
-        if np.abs(p - old).max() < 1e-12:
-            break
-    # minima are kept even where scaling to the size has lowered them
-    for c in range(5):
-        mine = real & (_VECTORS[:, c] > 0)
-        for _ in range(20):
-            now = (p * counts)[mine].sum()
-            if now <= 0 or now >= min(required[c], counts[mine].sum()) - 1e-9 or exact[c]:
-                break
-            p[mine] = np.minimum(p[mine] * required[c] / now, 1.0)
-    # where categories fall short, what is left fills the sample up to its size
-    for _ in range(200):
-        free = real & (p < 1)
-        now, fixed = (p * counts)[free].sum(), (p * counts)[real & ~free].sum()
-        if now <= 0 or now + fixed >= size - 1e-9:
-            break
-        p[free] = np.minimum(p[free] * (size - fixed) / now, 1.0)
+    minima = np.minimum(minima, (n[:, None] * v[:, :5]).sum(axis=0))
+    has = np.flatnonzero(~np.isnan(wanted))
+    scale = max(size, minima.sum(), 1.0)
+    k, slack = len(real), 5
+    rows = [np.c_[(n[:, None] * v[:, :5]).T, -np.eye(slack) * scale] / scale, np.r_[n, np.zeros(slack)][None] / scale, np.c_[(n[:, None] * v[:, has]).T, np.zeros((len(has), slack))] / scale, np.c_[np.diag(np.sqrt(n / total)), np.zeros((k, slack))]]
+    ends = [minima / scale, np.array([size / scale]), wanted[has] / scale, np.sqrt(n / total) * (size / total)]
+    x = bounded_least_squares(np.vstack([w * r for w, r in zip(_AIMS, rows)]), np.concatenate([w * e for w, e in zip(_AIMS, ends)]), np.r_[np.ones(k), np.full(slack, np.inf)])
+    p[real] = np.where(x[:k] > 1 - 1e-9, 1.0, np.where(x[:k] < 1e-12, 0.0, x[:k]))
     return p
 
 
@@ -149,8 +168,12 @@ def same_kind_flight(kind: np.ndarray, p: np.ndarray, order: np.ndarray) -> np.n
     return out
 
 
-def cube(kind: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flight along null-space directions of the indicators, then landing on the nearest balance: zeros and ones."""
+def cube(kind: np.ndarray, p: np.ndarray, rng: np.random.Generator, expected: np.ndarray, minima: np.ndarray, size: float, wanted: np.ndarray) -> np.ndarray:
+    """Flight along null-space directions of the indicators, then landing: zeros and ones.
+
+    expected: totals of the whole sample (categories and size), these records' probabilities included. Of all ways to land
+    the one with the least shortfall of minima is taken, then the nearest size, then the least deviation from the wanted totals.
+    """
     p = p.copy()
     while True:
         free = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))[:12]
@@ -170,9 +193,11 @@ def cube(kind: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarra
     free = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
     if len(free):
         choices = np.array(list(itertools.product((0.0, 1.0), repeat=len(free))))
-        gap = (choices - p[free]) @ _VECTORS[kind[free]]
-        # the size weighs most, and a shortfall more than an excess, as minima must hold; a small term prefers likely records, so that ties don't favour one choice
-        cost = (np.where(gap[:, :5] < -1e-6, 4, 1) * gap[:, :5] ** 2).sum(axis=1) + 4 * gap[:, 5] ** 2 + 0.01 * ((choices - p[free]) ** 2).sum(axis=1)
+        total = expected + (choices - p[free]) @ _VECTORS[kind[free]]
+        short = np.maximum(minima - total[:, :5] - 1e-6, 0).sum(axis=1)
+        off = np.where(np.isnan(wanted), 0.0, total[:, :5] - wanted)
+        # a small term prefers likely records, so that ties don't favour one choice
+        cost = 1e6 * short + 1e3 * np.abs(total[:, 5] - size) + (np.where(off < -1e-6, 2, 1) * off**2).sum(axis=1) + 0.01 * ((choices - p[free]) ** 2).sum(axis=1)
         p[free] = choices[int(np.argmin(cost))]
     return np.round(p)
 
@@ -193,14 +218,17 @@ def draw(pop: DataFrame, configs: DataFrame, shares: DataFrame) -> DataFrame:
     for r in requirements(pop, configs, shares).collect():  # five rows a request
         asked.setdefault(r["config_id"], []).append(r)
     names = {c.lower(): i for i, c in enumerate(CATEGORIES)}
-    plan: dict[int, tuple[int, np.ndarray]] = {}
+    plan: dict[int, tuple] = {}
     for c in configs.where("config_id IS NOT NULL").distinct().collect():
-        required, exact = np.zeros(5), np.zeros(5, bool)
-        required[:4], required[NEGATIVE] = c["images_per_class"] or 0, c["negative_images"] or 0
+        size = float(c["sample_size"] or 0)
+        minima, wanted = np.full(5, float(c["images_per_class"] or 0)), np.full(5, np.nan)
+        minima[NEGATIVE] = c["negative_images"] or 0
         for r in asked.get(c["config_id"], []):
-            if (i := names.get(r["category"].strip().lower())) is not None:
-                required[i], exact[i] = r["required"], r["target_share"] is not None
-        plan[c["config_id"]] = ((c["sample_seed"] or 0), probabilities(counts, float(c["sample_size"] or 0), required, exact))
+            if (i := names.get(r["category"].strip().lower())) is not None and r["target_share"] is not None:
+                wanted[i] = r["target_share"] * size
+        p = probabilities(counts, size, minima, wanted)
+        there = (counts[1:, None] * _VECTORS[1:]).sum(axis=0)
+        plan[c["config_id"]] = ((c["sample_seed"] or 0), p, ((p * counts) @ _VECTORS, np.minimum(minima, there[:5]), min(size, there[5]), wanted))
     sent = pop.sparkSession.sparkContext.broadcast(plan)
 
     def fly(batches):
@@ -217,7 +245,7 @@ def draw(pop: DataFrame, configs: DataFrame, shares: DataFrame) -> DataFrame:
 
     def leave(names_, masks, hashes):
         name, mask, h = pa.concat_arrays(names_), np.concatenate(masks), np.concatenate(hashes)
-        for config, (seed, p) in sent.value.items():
+        for config, (seed, p, _) in sent.value.items():
             order = _random(h, seed)
             q = same_kind_flight(mask, p[mask], order)
             take = np.flatnonzero(q > 0)
@@ -235,8 +263,8 @@ def draw(pop: DataFrame, configs: DataFrame, shares: DataFrame) -> DataFrame:
 
     def land(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = again(key, pdf).reset_index(drop=True)
-        seed = sent.value[int(key[0])][0]
-        p = cube(pdf["mask"].to_numpy(), pdf["p"].to_numpy(), np.random.default_rng(seed))
+        seed, _, aims = sent.value[int(key[0])]
+        p = cube(pdf["mask"].to_numpy(), pdf["p"].to_numpy(), np.random.default_rng(seed), *aims)
         return pdf.assign(p=p)[p > 0.5]
 
     one = cut(pop.where("mask > 0").select("filename", F.col("mask").cast("int").alias("mask"), F.xxhash64("filename").alias("h")).mapInArrow(fly, _DRAWN))
@@ -247,10 +275,33 @@ def draw(pop: DataFrame, configs: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def report(drawn: DataFrame, pop: DataFrame, configs: DataFrame, shares: DataFrame) -> DataFrame:
-    """(config_id, category, required, available, selected, met): one row per named category of a request."""
+    """(config_id, category, target_share, required, available, selected, residual, met): a row a named category of a request.
+
+    residual is selected - required, with its sign; met says that it isn't negative. Categories that nobody knows have nothing.
+    """
     asked = requirements(pop, configs, shares)
     kinds = drawn.groupBy("config_id", "mask").agg(F.count("*").alias("n"))
     each = kinds.select("config_id", "n", F.explode(F.array(*(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) > 0, F.lit(c.lower())) for i, c in enumerate(CATEGORIES)))).alias("key")).where("key IS NOT NULL")
     got = each.groupBy("config_id", "key").agg(F.sum("n").alias("selected"))
-    out = asked.withColumn("key", norm("category")).join(got, ["config_id", "key"], "left")
-    return out.select("config_id", "category", "required", "available", F.coalesce("selected", F.lit(0)).alias("selected"), (F.coalesce("selected", F.lit(0)) >= F.floor("required")).alias("met"))
+    out = asked.withColumn("key", norm("category")).join(got, ["config_id", "key"], "left").withColumn("selected", F.coalesce("selected", F.lit(0)))
+    return out.select("config_id", "category", "target_share", "required", "available", "selected", (F.col("selected") - F.col("required")).alias("residual"), (F.col("selected") >= F.col("required")).alias("met"))
+
+
+def integrity(drawn: DataFrame, pop: DataFrame, configs: DataFrame) -> DataFrame:
+    """(config_id, repeated, foreign, minima_short, size_met): one row a request, what must hold of any sample.
+
+    repeated: names drawn twice; foreign: names that aren't in the population with these categories; minima_short: classes,
+    negatives included, of which fewer than the minimum (or than all there are) were drawn; size_met: the size (or all there
+    are) was drawn, or no less than it where minima ask for more.
+    """
+    asked = configs.where("config_id IS NOT NULL").select("config_id", F.coalesce("sample_size", F.lit(0)).alias("sample_size"), *(F.coalesce("negative_images" if i == NEGATIVE else "images_per_class", F.lit(0)).cast("long").alias(f"m{i}") for i in range(5))).distinct()
+    has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) > 0
+    there = pop.where("mask > 0").agg(F.count("*").alias("all"), *(F.count_if(has(i)).alias(f"a{i}") for i in range(5)))
+    checked = drawn.join(pop.withColumnRenamed("mask", "_mask"), "filename", "left")
+    per_name = checked.groupBy("config_id", "filename").agg(F.count("*").alias("times"), F.max("mask").alias("mask"), F.max((F.col("_mask").isNull() | (F.col("_mask") != F.col("mask"))).cast("int")).alias("foreign"))
+    got = per_name.groupBy("config_id").agg(F.count_if(F.col("times") > 1).alias("repeated"), F.sum("foreign").alias("foreign"), F.count("*").alias("n"), *(F.count_if(has(i)).alias(f"g{i}") for i in range(5)))
+    row = asked.join(got, "config_id", "left").crossJoin(there).na.fill(0)  # one row of counts
+    short = sum((F.col(f"g{i}") < F.least(f"m{i}", f"a{i}")).cast("long") for i in range(5))
+    least = F.least("sample_size", "all")
+    tight = sum((F.least(f"m{i}", f"a{i}") for i in range(1, 5)), F.least("m0", "a0")) > F.col("sample_size")
+    return row.select("config_id", "repeated", "foreign", short.alias("minima_short"), ((F.col("n") == least) | (tight & (F.col("n") >= least))).alias("size_met"))

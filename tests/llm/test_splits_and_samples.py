@@ -128,7 +128,7 @@ def test_samples_follow_the_targets(spark):
     have = lambda k, bit: sum(bool(r.mask & bit) for r in rows if r.config_id == k)
     for bit, want in ((1, 200), (4, 400), (8, 100), (16, 300)):
         assert abs(have(1, bit) - want) <= 3
-    assert have(1, 2) >= 5 and have(2, 2) >= min(30, pop.where("mask & 2 > 0").count()) - 1
+    assert have(1, 2) >= 5 and have(2, 2) >= min(30, pop.where("mask & 2 > 0").count())
     report = {(r.config_id, r.category): r for r in sampling.report(sampling.draw(pop, c, t), pop, c, t).collect()}
     assert report[(1, "negative")].selected == have(1, 16) and not report[(2, "unknown")].met
 
@@ -147,13 +147,16 @@ def test_unmet_requirements(spark):
                 need = max((neg if cat.strip().lower() == "negative" else per) or 0, 0 if share is None or share != share else share * (size or 0))
                 if sum(cat.strip().lower() in m for m in masks.values()) < need:
                     want.add((k, cat))
-    assert {tuple(r) for r in sampling.unmet(s, c, t).collect()} == want
+    pop = sampling.population(s)
+    assert {tuple(r) for r in sampling.unmet(sampling.draw(pop, c, t), pop, c, t).collect()} == want
 
 
 def test_empty_samples(spark):
     s, c, t = frames(spark, [])
-    assert sampling.draw(sampling.population(s), c, t).count() == 0
-    assert (1, "negative") in {tuple(r) for r in sampling.unmet(s, c, t).collect()}
+    pop = sampling.population(s)
+    drawn = sampling.draw(pop, c, t)
+    assert drawn.count() == 0
+    assert (1, "negative") in {tuple(r) for r in sampling.unmet(drawn, pop, c, t).collect()}
 
 
 def test_flight_keeps_totals():
@@ -175,20 +178,53 @@ def test_flight_chances():
     assert np.abs(hits / 4000 - 0.37).max() < 0.03
 
 
-@pytest.mark.parametrize("required, exact", [((0, 500, 0, 0, 500), (False, True, False, False, True)), ((400, 400, 400, 400, 400), (True,) * 5), ((0, 0, 0, 0, 0), (False,) * 5)])
-def test_probabilities_fill_the_size(required, exact):
+NONE = float("nan")
+
+
+@pytest.mark.parametrize("minima, wanted", [((0, 0, 0, 0, 0), (NONE, 500, NONE, NONE, 500)), ((0, 0, 0, 0, 0), (400,) * 5), ((5, 15, 5, 5, 0), (NONE,) * 5), ((300, 20, 300, 50, 350), (0, 0, 900, NONE, 10))])
+def test_probabilities_keep_minima_and_size(minima, wanted):
     counts = np.zeros(64)
     counts[[1, 2, 4, 5, 8, 16, 32]] = 900, 20, 900, 50, 400, 1200, 60
-    p = sampling.probabilities(counts, 1000, np.array(required, float), np.array(exact))
-    assert ((p >= 0) & (p <= 1)).all() and abs((p * counts).sum() - 1000) < 1e-3
-    assert p[2] > 0.999 or not any(required)  # the rare class gives all it has
-    assert sampling.probabilities(counts, 10_000, np.array(required, float), np.array(exact)) @ counts <= counts.sum() + 1e-6
+    p = sampling.probabilities(counts, 1000, np.array(minima, float), np.array(wanted, float))
+    got = (p * counts) @ sampling._VECTORS
+    assert ((p >= 0) & (p <= 1)).all() and abs(got[5] - 1000) < 1e-2 and (got[:5] >= np.array(minima) - 1e-2).all()
+    assert sampling.probabilities(counts, 10_000, np.array(minima, float), np.array(wanted, float)) @ counts == pytest.approx(counts.sum())
+
+
+def test_rare_categories_give_all_and_minima_beat_the_size():
+    counts = np.zeros(64)
+    counts[[1, 2, 16]] = 100, 20, 100
+    p = sampling.probabilities(counts, 60, np.zeros(5), np.array([NONE, 50, NONE, NONE, 0.0]))
+    assert p[2] > 0.99 and abs(p @ counts - 60) < 0.1
+    p = sampling.probabilities(counts, 30, np.array([20, 20, 0, 0, 20.0]), np.full(5, NONE))
+    assert np.allclose((p * counts)[[1, 2, 16]], 20, atol=0.05)
+
+
+def test_bounded_least_squares_against_a_grid():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b, high = rng.normal(size=(4, 2)), rng.normal(size=4), rng.random(2) + 0.1
+        x = sampling.bounded_least_squares(a, b, high)
+        grid = np.stack(np.meshgrid(*(np.linspace(0, h, 201) for h in high)), -1).reshape(-1, 2)
+        assert ((a @ x - b) ** 2).sum() <= ((grid @ a.T - b) ** 2).sum(axis=1).min() + 1e-9
 
 
 def test_cube_lands_close():
     rng = np.random.default_rng(3)
     for _ in range(50):
         kind, p = rng.integers(1, 32, 24), rng.random(24)
-        q = sampling.cube(kind, p, rng)
-        assert set(q) <= {0.0, 1.0}
-        assert np.abs((q - p) @ sampling._VECTORS[kind]).max() < 2.5
+        expected = p @ sampling._VECTORS[kind]
+        q = sampling.cube(kind, p, rng, expected, np.floor(expected[:5]), expected[5], np.full(5, NONE))
+        got = q @ sampling._VECTORS[kind]
+        assert set(q) <= {0.0, 1.0} and (got[:5] >= np.floor(expected[:5])).all() and np.abs(got - expected).max() < 4
+
+
+def test_integrity_of_a_draw(spark):
+    s, c, t = frames(spark, samples(spark))
+    pop = sampling.population(s)
+    rows = sampling.integrity(sampling.draw(pop, c, t), pop, c).collect()
+    assert {r.config_id for r in rows} == {1, 2, 3, 4, 5}
+    assert all(r.repeated == r.foreign == r.minima_short == 0 and r.size_met for r in rows)
+    bad = spark.createDataFrame([(1, "f1", 63), (1, "f1", 63), (1, "nowhere", 1)], "config_id int, filename string, mask int")
+    (row,) = sampling.integrity(bad, pop, c).where("config_id = 1").collect()
+    assert row.repeated == 1 and row.foreign == 2 and row.minima_short == 5 and not row.size_met

@@ -119,7 +119,7 @@ def brute(docs, items):
     return out
 
 
-def test_leaks_against_brute_force(spark, monkeypatch):
+def test_leaks_against_brute_force(spark):
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(40)}"
     items = [(n, " ".join(word() for _ in range(rng.choice((1, 2, 3, 5, 8, 11, 12, 13, 30))))) for n in range(60)] + [(60, ""), (61, "..."), (62, None), (63, "ﬁne Café ＡＢＣ１２")]
@@ -137,16 +137,36 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert (202, 63) in want
     got = [tuple(r) for r in leaks.leaked(d, i).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 100)  # many blocks of items
-    assert {tuple(r) for r in leaks.leaked(d, i).collect()} == want
+    assert {tuple(r) for r in leaks.leaked(d, i, filter_bits=6).collect()} == want  # a full map lets all pass, the join decides
+    texts, passages = {n: leaks.words_of(t) for n, t in docs}, {n: leaks.words_of(t) for n, t in items}
+    spans = leaks.spans(d, i).collect()
+    assert {(r.doc_id, r.item_id) for r in spans} == want
+    for r in spans:  # equal and maximal
+        a, b, n = texts[r.doc_id], passages[r.item_id], r.words
+        assert n >= min(12, len(b)) and a[r.doc_begin : r.doc_begin + n] == b[r.item_begin : r.item_begin + n]
+        assert r.doc_begin == 0 or r.item_begin == 0 or a[r.doc_begin - 1] != b[r.item_begin - 1]
+        assert a[r.doc_begin + n : r.doc_begin + n + 1] != b[r.item_begin + n : r.item_begin + n + 1] or r.doc_begin + n == len(a)
     assert leaks.leaked(d, i.limit(0)).count() == 0 and leaks.leaked(d.limit(0), i).count() == 0
 
 
 def test_every_shared_span_has_a_common_fingerprint():
     rng = random.Random(9)
-    need, k, window = leaks.plan(30)
+    need, (k, window) = leaks.SPAN, leaks.plan(leaks.SPAN)
     for _ in range(200):
         span = [f"s{rng.randrange(9)}" for _ in range(need)]
         a = leaks.number([*(f"a{n}" for n in range(rng.randrange(9))), *span, "tail"])
         b = leaks.number([*(f"b{n}" for n in range(rng.randrange(9))), *span])
         assert set(leaks.winnow(leaks.grams(a, k), window)) & set(leaks.winnow(leaks.grams(b, k), window))
+
+
+@pytest.mark.parametrize("alphabet, joint", [("道路点検記録縦断亀裂横断穴補修写真区間国県", ""), ("ひびわれてんけんきろくどうろしゃしん", ""), ("กขคงจฉชซฌญฎ", ""), ("abcdefgh", " "), ("सड़कदरारमरम", " ")])
+def test_partial_leaks_are_found_in_every_script(spark, alphabet, joint):
+    """Half of a passage inside other text of its script, without blanks where the script has none."""
+    rng = random.Random(11)
+    text = lambda n: joint.join(rng.choice(alphabet) * (1 if not joint else rng.randrange(1, 4)) for _ in range(n))
+    items = [(n, text(44)) for n in range(20)]
+    half = lambda t: joint.join(t.split(joint)[10:32]) if joint else t[10:32]
+    docs = [(n, joint.join((text(30), half(t), text(30)))) for n, t in items]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    found = {(r.doc_id, r.item_id) for r in leaks.spans(d, i).collect()}
+    assert {(n, n) for n, _ in items} <= found
