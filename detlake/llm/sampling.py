@@ -197,8 +197,8 @@ def cube(kind: np.ndarray, p: np.ndarray, rng: np.random.Generator, expected: np
         short = np.maximum(minima - total[:, :5] - 1e-6, 0).sum(axis=1)
         off = np.where(np.isnan(wanted), 0.0, total[:, :5] - wanted)
         # a small term prefers likely records, so that ties don't favour one choice
-        cost = 1e6 * short + 1e3 * np.abs(total[:, 5] - size) + (np.where(off < -1e-6, 2, 1) * off**2).sum(axis=1) + 0.01 * ((choices - p[free]) ** 2).sum(axis=1)
-        p[free] = choices[int(np.argmin(cost))]
+        spread = (np.where(off < -1e-6, 2, 1) * off**2).sum(axis=1) + 0.01 * ((choices - p[free]) ** 2).sum(axis=1)
+        p[free] = choices[np.lexsort((spread, np.round(np.abs(total[:, 5] - size), 3), np.round(short, 3)))[0]]
     return np.round(p)
 
 
