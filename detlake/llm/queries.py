@@ -7,15 +7,16 @@ from detlake.session import cut, table
 
 
 def p1_found(spark, d):
-    return runs.repeated_events(table(spark, d, "detections"), least=2).select("video_id", "first_detection_id", "last_detection_id")
+    return runs.repeated_events(table(spark, d, "detections"), least=2, settle=True).select("video_id", "first_detection_id", "last_detection_id")
 
 
 def p1_runs(spark, d):
-    return runs.repeated_events(table(spark, d, "detections"))
+    return runs.repeated_events(table(spark, d, "detections"), settle=True)
 
 
 def p2_found(spark, d):
-    return splits.conflicts(table(spark, d, "images"), table(spark, d, "export_entries"))
+    images = table(spark, d, "images")
+    return splits.conflicts(splits.plan(images, table(spark, d, "export_entries"), table(spark, d, "split_targets")), images)
 
 
 def p2_assign(spark, d):
@@ -169,7 +170,7 @@ def oracle_sql():
     return {
         "p2_integrity": """
 WITH g AS (SELECT canonical_image_id AS id, min(lower(trim(capture_group))) AS g FROM images WHERE canonical_image_id IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT canonical_image_id AS id FROM export_entries WHERE canonical_image_id IS NOT NULL)
-SELECT count(*) AS images, count(DISTINCT coalesce('g ' || g, 'i ' || id)) AS components, 0::BIGINT AS torn, true AS within_tolerance FROM e LEFT JOIN g USING (id)""",
+SELECT count(*) AS images, count(DISTINCT coalesce('g ' || g, 'i ' || id)) AS components, 0::BIGINT AS torn, true AS within_one_component FROM e LEFT JOIN g USING (id)""",
         "p5_bound": bound(percentiles.METRICS, "NOT isnan(v) AND v BETWEEN 0 AND 1"),
         "p5_free_bound": bound(_FREE, "NOT isnan(v)"),
         "p2_found": _GROUPED + "SELECT capture_group FROM g JOIN e USING (id) GROUP BY capture_group HAVING count(DISTINCT split) > 1",

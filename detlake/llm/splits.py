@@ -1,11 +1,15 @@
 """Splits that keep related records together (problem 2), by min-cost flow over bundles of like components.
 
-Components are the capture groups, united where an image's rows name several (an image without a group is one of its own). They are bundled by identical size and
-label profile; sizes over EXACT_SIZE are bundled by powers of 2^(1/8), so the number of bundles is bounded by the sizes'
-logarithm and not by the data. A min-cost flow sends the bundles' images to the splits: within a label profile's quota of a
-split for nothing, beyond it at a cost, beyond the split's own quota at a higher one. Flows are rounded to whole components,
-large components first and each remainder to the split that is furthest behind, and a bundle's members are dealt to its
-counts in the order of their hash.
+Components are the capture groups, united where an image's rows name several (an image without a group is one of its own).
+They are bundled by identical size and identical label profile: the set of image categories that a component shows, and its
+share of images with a target in quarters. Sizes are exact, so all components of a bundle are interchangeable; as sizes
+add up to the number of images, N images have at most sqrt(2 N) of them. A min-cost flow sends the bundles' images to the
+splits: within a label profile's quota of a split for nothing, beyond it at a cost, beyond the split's own quota at a higher
+one. All components go through the flow, whatever their size. Flows are rounded to whole components, large components first
+and each remainder to the split that is furthest behind, and a bundle's members are dealt to its counts in the order of
+their hash.
+
+A component that stands in several splits now costs moves in whatever split it lands; these are the conflicts.
 
 Only bundle counts reach the driver. Members are ranked by hash within (bundle, hash bucket), with bucket offsets from
 pre-aggregated counts, so a bundle that holds most components isn't ordered in one task.
@@ -23,9 +27,11 @@ from pyspark.sql import functions as F
 from detlake.llm.contraction import consolidate
 from detlake.session import cut, norm
 
-EXACT_SIZE, BUCKETS = 64, 1024
+BUCKETS = 1024
 #: Costs of an image beyond its profile's quota of a split, and beyond the split's quota.
 PROFILE_COST, SPLIT_COST = 1, 10
+#: Label profiles that are told apart; the rarest beyond share one.
+MOST_PROFILES = 1000
 
 
 def split_name(column):
@@ -33,7 +39,7 @@ def split_name(column):
 
 
 def grouped_entries(images: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per exported image: id, its component, whether it shows a target, and the splits it stands in now.
+    """One row per exported image: id, its component, whether it shows a target, its category, and the splits it stands in now.
 
     Component: the smallest normalised capture group of those connected with the image's own by images whose rows name
     several groups, else the image itself (prefix ``g:`` or ``i:``). Entries without an id are left out; a null is_positive counts as false.
@@ -43,40 +49,37 @@ def grouped_entries(images: DataFrame, entries: DataFrame) -> DataFrame:
     links = named.where(F.size("gs") > 1).select("first", F.explode("gs").alias("other"))
     united = consolidate(links, "first", "other", "first", "united")
     groups = named.select("id", "first").join(united, "first", "left").select("id", F.coalesce("united", "first").alias("g"))
+    category = F.col("image_category") if "image_category" in entries.columns else F.lit(None).cast("string")
     exported = (
         entries.where("canonical_image_id IS NOT NULL")
         .groupBy(F.col("canonical_image_id").alias("id"))
-        .agg(F.max(F.coalesce("is_positive", F.lit(False))).alias("positive"), F.collect_set(split_name("split")).alias("splits"))
+        .agg(F.max(F.coalesce("is_positive", F.lit(False))).alias("positive"), F.min(norm(category)).alias("category"), F.collect_set(split_name("split")).alias("splits"))
     )
-    return exported.join(groups, "id", "left").select("id", F.coalesce(F.concat(F.lit("g:"), "g"), F.concat(F.lit("i:"), "id")).alias("component"), "positive", "splits")
+    return exported.join(groups, "id", "left").select("id", F.coalesce(F.concat(F.lit("g:"), "g"), F.concat(F.lit("i:"), "id")).alias("component"), "positive", "category", "splits")
 
 
 def components(grouped: DataFrame) -> DataFrame:
-    """(component, size, positives, splits now) with one row per component, pre-aggregated map-side."""
-    flag = lambda s: F.bool_or(F.array_contains("splits", s)).alias(f"in_{s}")
-    other = F.array_except("splits", F.array(*map(F.lit, ("train", "val", "test"))))
-    return grouped.groupBy("component").agg(
-        F.count("*").alias("size"), F.sum(F.col("positive").cast("long")).alias("positives"), *map(flag, ("train", "val", "test")),
-        F.min(F.array_min(other)).alias("other_min"), F.max(F.array_max(other)).alias("other_max"),
-    )
+    """(component, size, profile), one row per component, pre-aggregated map-side.
+
+    profile: the categories that its images have, and the share of those with a target in quarters.
+    """
+    parts = grouped.groupBy("component").agg(F.count("*").alias("size"), F.sum(F.col("positive").cast("long")).alias("positives"), F.collect_set("category").alias("categories"))
+    profile = F.concat_ws("|", F.ceil(F.lit(4) * F.col("positives") / F.col("size")).cast("string"), F.array_sort("categories"))
+    return parts.select("component", "size", profile.alias("profile"))
 
 
-def conflicts(images: DataFrame, entries: DataFrame) -> DataFrame:
+def conflicts(planned: DataFrame, images: DataFrame) -> DataFrame:
     """(capture_group): groups whose exported images stand in more than one split now.
 
+    ``planned`` is the result of ``plan``: whatever split a group's component is given, such a group has images to move.
     An image whose rows name several groups counts in each of them, one whose entries name several splits in each.
     """
     named = images.where("canonical_image_id IS NOT NULL AND capture_group IS NOT NULL").select(F.col("canonical_image_id").alias("id"), norm("capture_group").alias("capture_group")).distinct()
-    now = entries.where("canonical_image_id IS NOT NULL AND split IS NOT NULL").groupBy(F.col("canonical_image_id").alias("id")).agg(F.collect_set(split_name("split")).alias("splits"), F.max(F.coalesce("is_positive", F.lit(False))).alias("positive"))
-    profiled = components(now.join(named, "id").select("id", F.col("capture_group").alias("component"), "positive", "splits"))
-    many = sum((F.coalesce(F.col(f"in_{s}"), F.lit(False)).cast("int") for s in ("train", "val", "test")), F.when(F.col("other_min").isNull(), 0).when(F.col("other_min") < F.col("other_max"), 2).otherwise(1))
-    return profiled.where(many > 1).select(F.col("component").alias("capture_group"))
-
-
-def _bundle(size, positives):
-    """Bundle of a component: its size (exact or by eighths of powers of two) and its share of positives in quarters."""
-    large = F.floor(F.log2(size) * 8).cast("long") + 100_000
-    return F.when(size <= EXACT_SIZE, size).otherwise(large).alias("size_class"), F.ceil(F.lit(4) * positives / size).cast("int").alias("profile")
+    stands = planned.withColumnRenamed("canonical_image_id", "id").join(named, "id").select("capture_group", F.col("split").alias("new"), F.explode("splits").alias("now"))
+    cells = stands.groupBy("capture_group", "new", "now").agg(F.count("*").alias("n"))
+    # moves into any one split: all places but those there already; the least over splits is 0 where one split holds all
+    least = cells.groupBy("capture_group").agg((F.sum("n") - F.max("n")).alias("moves"))
+    return least.where("moves > 0").select("capture_group")
 
 
 class Flow:
@@ -132,72 +135,54 @@ def quotas(total: int, targets: list[tuple[str, float]]) -> dict[str, int]:
 
 
 def allocate(bundles: list[dict], targets: list[tuple[str, float]]) -> dict[tuple, dict[str, int]]:
-    """Components of each bundle (size_class, profile) for each split.
-
-    bundles: dicts of size_class, profile, n (components) and images. Components that alone hold over a twentieth
-    of all images are dealt first, largest first, to the split furthest behind its quotas; the flow places the rest.
-    """
+    """Components of each bundle (size, profile) for each split; bundles: dicts of size, profile and n (components)."""
     splits = [s for s, _ in targets]
-    total = sum(b["images"] for b in bundles)
+    images = lambda b: b["size"] * b["n"]
+    total = sum(map(images, bundles))
     left = quotas(total, targets)
-    profiles = sorted({b["profile"] for b in bundles})
-    need = {p: quotas(sum(b["images"] for b in bundles if b["profile"] == p), targets) for p in profiles}
-    out: dict[tuple, dict[str, int]] = {}
-
-    def deal(b: dict, counts: dict[str, int]):
-        mean = b["images"] / b["n"]
-        out[(b["size_class"], b["profile"])] = counts
-        for s, c in counts.items():
-            left[s] -= c * mean
-            need[b["profile"]][s] -= c * mean
-
-    rest = []
-    for b in sorted(bundles, key=lambda b: -b["images"] / b["n"]):
-        mean = b["images"] / b["n"]
-        if mean * 20 > total:
-            counts = dict.fromkeys(splits, 0)
-            room = {s: left[s] + need[b["profile"]][s] for s in splits}
-            for _ in range(b["n"]):  # under twenty components are so large
-                s = max(splits, key=lambda s: (room[s], s))
-                counts[s] += 1
-                room[s] -= 2 * mean
-            deal(b, counts)
-        else:
-            rest.append(b)
-
-    first, middle = 1 + len(rest), {}
+    sums: dict = {}
+    for b in bundles:
+        sums[b["profile"]] = sums.get(b["profile"], 0) + images(b)
+    profiles = sorted(sums)
+    need = {p: quotas(n, targets) for p, n in sums.items()}
+    # a profile's bundles have the same costs to every split, so they enter the flow as one node and share what it sends
+    first = 1 + len(profiles)
     flow = Flow(first + len(profiles) * len(splits) + len(splits) + 1)
-    sink = flow.n - 1
-    ways = []
-    for x, b in enumerate(rest):
-        flow.add(0, 1 + x, b["images"], 0)
+    sink, ways = flow.n - 1, {}
     for s_at, s in enumerate(splits):
         gate = first + len(profiles) * len(splits) + s_at
-        flow.add(gate, sink, max(0, round(left[s])), 0)
+        flow.add(gate, sink, left[s], 0)
         flow.add(gate, sink, total, SPLIT_COST)
         for p_at, p in enumerate(profiles):
-            middle[p, s] = first + p_at * len(splits) + s_at
-            flow.add(middle[p, s], gate, max(0, round(need[p][s])), 0)
-            flow.add(middle[p, s], gate, total, PROFILE_COST)
-    for x, b in enumerate(rest):
-        ways.append({s: flow.add(1 + x, middle[b["profile"], s], b["images"], 0) for s in splits})
+            middle = first + p_at * len(splits) + s_at
+            flow.add(middle, gate, need[p][s], 0)
+            flow.add(middle, gate, total, PROFILE_COST)
+            ways[p, s] = flow.add(1 + p_at, middle, sums[p], 0)
+    for p_at, p in enumerate(profiles):
+        flow.add(0, 1 + p_at, sums[p], 0)
     flow.run(0, sink)
+    sent = {way: flow.edges[e ^ 1][1] for way, e in ways.items()}
 
-    for b, way in zip(rest, ways):  # largest components first, so small ones even out what rounding leaves
-        mean = b["images"] / b["n"]
-        exact = {s: flow.edges[e ^ 1][1] / mean for s, e in way.items()}
-        counts = {s: int(x + 1e-9) for s, x in exact.items()}
-        room = {s: left[s] - counts[s] * mean for s in splits}
-        for _ in range(b["n"] - sum(counts.values())):
-            s = max(splits, key=lambda s: (room[s], s))
-            counts[s] += 1
-            room[s] -= mean
-        deal(b, counts)
+    out: dict[tuple, dict[str, int]] = {}
+    behind = dict.fromkeys(splits, 0.0)  # images that whole components have kept from each split so far
+    mine = {way: 0.0 for way in ways}  # the same of each profile
+    for b in sorted(bundles, key=lambda b: (-b["size"], b["profile"])):  # largest components first, so small ones even out what rounding leaves
+        size, p, n = b["size"], b["profile"], b["n"]
+        share = {s: n * sent[p, s] / sums[p] for s in splits}
+        want = {s: max(0.0, share[s] + behind[s] / size) for s in splits}
+        scale = n / sum(want.values())
+        counts = {s: int(w * scale) for s, w in want.items()}
+        for _ in range(n - sum(counts.values())):  # fewer than there are splits
+            counts[max(splits, key=lambda s: (want[s] * scale - counts[s] + mine[p, s] / size / 8, s))] += 1
+        for s in splits:
+            behind[s] += (share[s] - counts[s]) * size
+            mine[p, s] += (share[s] - counts[s]) * size
+        out[(size, p)] = counts
     return out
 
 
-def assign(images: DataFrame, entries: DataFrame, split_targets: DataFrame, seed: int = 17) -> DataFrame:
-    """(canonical_image_id, component, split): one new split per exported image, the same for all of a component.
+def plan(images: DataFrame, entries: DataFrame, split_targets: DataFrame, seed: int = 17) -> DataFrame:
+    """(canonical_image_id, component, split, splits): the new split of every exported image, and where it stands now.
 
     Repeated entries come out once. Proportions hold as closely as whole components allow. Empty tables give an empty
     result; targets that are null or not positive are ignored, and at least one must remain.
@@ -207,21 +192,28 @@ def assign(images: DataFrame, entries: DataFrame, split_targets: DataFrame, seed
     if not targets:
         raise ValueError("split_targets names no split")
     grouped = cut(grouped_entries(images, entries))
-    parts = grouped.groupBy("component").agg(F.count("*").alias("size"), F.sum(F.col("positive").cast("long")).alias("positives"))
-    parts = cut(parts.select("component", "size", *_bundle(F.col("size"), F.col("positives")), F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(1 << 40)).alias("h")))
-    bundles = [r.asDict() for r in parts.groupBy("size_class", "profile").agg(F.count("*").alias("n"), F.sum("size").alias("images")).collect()]
+    parts = components(grouped)
+    common = parts.groupBy("profile").agg(F.sum("size").alias("_n")).orderBy(F.desc("_n"), "profile").limit(MOST_PROFILES).select("profile", F.col("profile").alias("_known"))
+    parts = parts.join(F.broadcast(common), "profile", "left").withColumn("profile", F.coalesce("_known", F.lit("others"))).drop("_known")
+    parts = cut(parts.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(1 << 40))))
+    bundles = [r.asDict() for r in parts.groupBy("size", "profile").agg(F.count("*").alias("n")).collect()]
     counts = allocate(bundles, targets) if bundles else {}
-    rows = [(int(size), int(profile), s, sum(c[t] for t, _ in targets[:k]), sum(c[t] for t, _ in targets[: k + 1])) for (size, profile), c in counts.items() for k, (s, _) in enumerate(targets)]
-    plan = spark.createDataFrame(rows, "size_class long, profile int, split string, low long, high long")
+    rows = [(int(size), profile, s, sum(c[t] for t, _ in targets[:k]), sum(c[t] for t, _ in targets[: k + 1])) for (size, profile), c in counts.items() for k, (s, _) in enumerate(targets) if c[s]]
+    dealt = spark.createDataFrame(rows, "size long, profile string, split string, low long, high long")
 
     bucket = F.floor(F.col("h") / F.lit((1 << 40) // BUCKETS)).alias("bucket")
     placed = parts.withColumn("bucket", bucket)
-    sizes = placed.groupBy("size_class", "profile", "bucket").agg(F.count("*").alias("m"))
-    before = sizes.withColumn("offset", F.sum("m").over(W.partitionBy("size_class", "profile").orderBy("bucket")) - F.col("m")).drop("m")
-    ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("size_class", "profile", "bucket").orderBy("h", "component")))
-    numbered = ranked.join(before, ["size_class", "profile", "bucket"]).withColumn("r", F.col("r") + F.col("offset") - 1)
-    chosen = numbered.join(F.broadcast(plan), ["size_class", "profile"]).where("r >= low AND r < high").select("component", "split")
-    return grouped.join(chosen, "component").select(F.col("id").alias("canonical_image_id"), "component", "split")
+    sizes = placed.groupBy("size", "profile", "bucket").agg(F.count("*").alias("m"))
+    before = sizes.withColumn("offset", F.sum("m").over(W.partitionBy("size", "profile").orderBy("bucket")) - F.col("m")).drop("m")
+    ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("size", "profile", "bucket").orderBy("h", "component")))
+    numbered = ranked.join(before, ["size", "profile", "bucket"]).withColumn("r", F.col("r") + F.col("offset") - 1)
+    chosen = numbered.join(dealt, ["size", "profile"]).where("r >= low AND r < high").select("component", "split")
+    return grouped.join(chosen, "component").select(F.col("id").alias("canonical_image_id"), "component", "split", "splits")
+
+
+def assign(images: DataFrame, entries: DataFrame, split_targets: DataFrame, seed: int = 17) -> DataFrame:
+    """(canonical_image_id, component, split): one new split per exported image, the same for all of a component."""
+    return plan(images, entries, split_targets, seed).drop("splits")
 
 
 def balance(assigned: DataFrame, split_targets: DataFrame) -> DataFrame:
@@ -232,13 +224,16 @@ def balance(assigned: DataFrame, split_targets: DataFrame) -> DataFrame:
     return t.join(counted, "split", "left").crossJoin(whole).select("split", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce(F.try_divide(F.col("images").cast("double"), F.col("n")), F.lit(0.0)).alias("share"), "target_share")
 
 
-def integrity(assigned: DataFrame, images: DataFrame, split_targets: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """One row: images, components, torn (0), and whether all shares are within the tolerance.
+def integrity(assigned: DataFrame, images: DataFrame, split_targets: DataFrame) -> DataFrame:
+    """One row: images, components, torn (0), and whether all splits' sizes are within one component of their share.
 
-    Torn are capture groups, as the images' rows name them, and images without one that stand in several splits.
+    Torn are capture groups, as the images' rows name them, and images without one that stand in several splits. The
+    component is the largest one.
     """
     whole = assigned.agg(F.count("*").alias("images"), F.count_distinct("component").alias("components"))
     named = images.where("canonical_image_id IS NOT NULL AND capture_group IS NOT NULL").select("canonical_image_id", norm("capture_group").alias("g")).distinct()
     parts = assigned.join(named, "canonical_image_id", "left").groupBy(F.coalesce(F.concat(F.lit("g:"), "g"), F.concat(F.lit("i:"), "canonical_image_id")).alias("g")).agg(F.count_distinct("split").alias("s"))
-    off = balance(assigned, split_targets).agg(F.coalesce(F.max(F.abs(F.col("share") - F.col("target_share"))) <= tolerance, F.lit(False)).alias("within_tolerance"))
-    return whole.crossJoin(parts.agg(F.count_if(F.col("s") > 1).alias("torn"))).crossJoin(off)  # one row each
+    largest = assigned.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"))
+    off = balance(assigned, split_targets).crossJoin(whole.select(F.col("images").alias("_all"))).agg(F.max(F.abs(F.col("images") - F.col("target_share") * F.col("_all"))).alias("off"))
+    checked = whole.crossJoin(parts.agg(F.count_if(F.col("s") > 1).alias("torn"))).crossJoin(off).crossJoin(largest)  # one row each
+    return checked.select("images", "components", "torn", F.coalesce(F.col("off") <= F.greatest("largest", F.lit(1)), F.lit(False)).alias("within_one_component"))

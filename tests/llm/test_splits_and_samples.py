@@ -37,7 +37,7 @@ def test_groups_stay_together_in_proportion(spark, hot):
     group = {x[0]: x[1].strip().lower() for x in images if x[1]}
     assert all(r.component == ("g:" + group[r.canonical_image_id] if r.canonical_image_id in group else "i:" + r.canonical_image_id) for r in rows)
     for s, x in TARGETS:
-        assert abs(sum(r.split == s for r in rows) / len(rows) - x) < 0.005
+        assert abs(sum(r.split == s for r in rows) - x * len(rows)) <= 2
     again = splits.assign(i.repartition(7), e.repartition(3), t).collect()
     assert {tuple(r) for r in again} == {tuple(r) for r in rows}
 
@@ -62,7 +62,8 @@ def test_conflicts(spark):
     for i, s, *_ in entries:
         for g in group.get(i, ()):
             where.setdefault(g, set()).add({"validation": "val"}.get(s.strip().lower(), s.strip().lower()))
-    got = [r[0] for r in splits.conflicts(spark.createDataFrame(images, IMAGES), spark.createDataFrame(entries, ENTRIES)).collect()]
+    i = spark.createDataFrame(images, IMAGES)
+    got = [r[0] for r in splits.conflicts(splits.plan(i, spark.createDataFrame(entries, ENTRIES), spark.createDataFrame(TARGETS, "split string, target_share double")), i).collect()]
     assert sorted(got) == sorted(g for g, s in where.items() if len(s) > 1)
 
 
@@ -83,15 +84,25 @@ def test_groups_that_share_an_image_are_united(spark):
 def test_empty_splits(spark):
     i, e = spark.createDataFrame([], IMAGES), spark.createDataFrame([], ENTRIES)
     assert splits.assign(i, e, spark.createDataFrame(TARGETS, "split string, target_share double")).count() == 0
-    assert splits.conflicts(i, e).count() == 0
+    assert splits.conflicts(splits.plan(i, e, spark.createDataFrame(TARGETS, "split string, target_share double")), i).count() == 0
     with pytest.raises(ValueError):
         splits.assign(i, e, spark.createDataFrame([], "split string, target_share double"))
 
 
 def test_flow_is_cheapest():
-    bundles = [{"size_class": 1, "profile": 0, "n": 100, "images": 100}, {"size_class": 5, "profile": 4, "n": 20, "images": 100}]
+    bundles = [{"size": 1, "profile": "0", "n": 100}, {"size": 5, "profile": "4", "n": 20}]
+    got = splits.allocate(bundles, TARGETS)
+    assert got[(1, "0")] == {"train": 70, "val": 15, "test": 15} and got[(5, "4")] == {"train": 14, "val": 3, "test": 3}
+
+
+def test_large_components_go_through_the_flow():
+    """A component of a third of all images lands in the split that can hold it, and the others fill the quotas."""
+    bundles = [{"size": 1000, "profile": "2", "n": 1}, {"size": 151, "profile": "4", "n": 2}, {"size": 7, "profile": "0", "n": 150}, {"size": 1, "profile": "0", "n": 648}]
+    total = sum(b["size"] * b["n"] for b in bundles)
     got = splits.allocate(bundles, TARGETS)
-    assert got[(1, 0)] == {"train": 70, "val": 15, "test": 15} and got[(5, 4)] == {"train": 14, "val": 3, "test": 3}
+    assert got[(1000, "2")]["train"] == 1
+    for s, share in TARGETS:
+        assert abs(sum(size * c[s] for (size, _), c in got.items()) - share * total) <= 1
 
 
 SAMPLES = "filename string, classes_present array<int>, mask int, config_id int, category string"
