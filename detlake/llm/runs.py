@@ -174,24 +174,25 @@ def repeated_events(
 
     Rows without video, class, frame or id, and rows whose box is null, has other than four coordinates or a null or NaN
     coordinate, are set aside. Rows that repeat a detection_id are one observation; with ``settle`` the earliest
-    delivery (ingested_at) wins where deliveries differ in more than that, at the price of one more shuffle. Ties at the
+    delivery (ingested_at, a null last) wins where deliveries differ in more than that, at the price of one more shuffle. Ties at the
     first or last frame go to the smaller or larger detection_id. ``least`` drops shorter runs. duration_ms is null
     where an end has no timestamp. Infinite coordinates overlap nothing. An empty table gives an empty result.
     """
     if block_frames < 2 * gap:
         raise ValueError("a block must hold at least twice the gap")
     box = F.col("bbox_xyxy_normalized")
-    rows = detections.select("detection_id", "video_id", "frame_index", "timestamp_ms", "class_id", "bbox_xyxy_normalized", *(["ingested_at"] if settle else []))
-    rows = rows.where(F.col("detection_id").isNotNull() & F.col("video_id").isNotNull() & F.col("frame_index").isNotNull())
-    if settle:
-        rest = [c for c in rows.columns if c not in ("detection_id", "ingested_at")]
-        rows = rows.groupBy("detection_id").agg(F.min_by(F.struct(*rest), F.struct("ingested_at", *rest)).alias("_r")).select("detection_id", "_r.*")
-    rows = rows.where(F.col("class_id").isNotNull() & (F.size(box) == 4)).select(
-        "video_id", F.col("class_id").cast("int").alias("class_id"), F.col("frame_index").cast("long").alias("frame_index"), F.col("detection_id").cast("long").alias("detection_id"),
-        F.col("timestamp_ms").cast("long").alias("timestamp_ms"), *(box[i].cast("double").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))),
+    corners = ("x1", "y1", "x2", "y2")
+    known = F.col("detection_id").isNotNull() & F.col("video_id").isNotNull() & F.col("frame_index").isNotNull() & F.col("class_id").isNotNull() & (F.size(box) == 4)
+    rows = detections.where(known).select(
+        F.col("detection_id").cast("long").alias("detection_id"), "video_id", F.col("class_id").cast("int").alias("class_id"), F.col("frame_index").cast("long").alias("frame_index"), F.col("timestamp_ms").cast("long").alias("timestamp_ms"),
+        *(box[i].cast("double").alias(c) for i, c in enumerate(corners)), *(["ingested_at"] if settle else []),
     )
-    for c in ("x1", "y1", "x2", "y2"):
+    for c in corners:
         rows = rows.where(F.col(c).isNotNull() & ~F.isnan(c))
+    if settle:
+        rest = [c for c in rows.columns if c not in ("detection_id", "ingested_at")]
+        first = F.min(F.struct(F.col("ingested_at").isNull().alias("late"), "ingested_at", *rest))
+        rows = rows.groupBy("detection_id").agg(first.alias("_r")).select("detection_id", *(f"_r.{c}" for c in rest))
     block = F.floor(F.col("frame_index") / F.lit(block_frames))
     laid = rows.repartition("video_id", "class_id", block).sortWithinPartitions("video_id", "class_id", "frame_index", "detection_id")
     local = cut(laid.mapInArrow(_kernel(block_frames, gap, min_iou, least), _LOCAL))
