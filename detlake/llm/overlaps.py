@@ -8,13 +8,15 @@ symbols, and each search starts at a seed:
 * a 64-bit perceptual hash within two bits of another agrees with it in at least two of four 16-bit words, so it has six
   seeds, one a pair of words. A seed's string holds the other two words, the two words of the seed and the seed's own
   closing symbol. Backward search reads closing symbol and seed first, which leaves exactly the evaluation hashes that
-  share it, and then runs on as far as it can: the maximal match. A seed that more than HOT_SEED evaluation hashes share
-  (flat images) is refined: of the four other bytes at least two agree as well, so six longer seeds of 48 bits take its
-  place, and one of those can't have more than 65,536 distinct hashes.
+  share it. A seed that would compare more than HOT_PAIRS pairs of hashes of both sides (flat images) is refined: of the four
+  other bytes at least two agree as well, so six longer seeds of 48 bits take its place, and one of those can't have more
+  than 65,536 distinct hashes.
 
 Records are sent to the shard of their seed, so training isn't replicated over shards, and a shard stays as small as its
 share of seeds. Copies are collapsed to distinct values first: a hash that a third of all records share is one string.
-The pairs of values that hold are spread to records and merged into counts at the end, by joins.
+Records that agree in everything (splits, countries, hashes) are one class with a count. Pairs of values become pairs of
+classes, and the report multiplies the classes' counts instead of pairing their records; only the list of pairs spreads
+them to records, as that is what it lists.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ WORDS = tuple((a, b, *(w for w in range(4) if w not in (a, b))) for a, b in SEED
 MAX_BITS = 2
 #: The exact hash's symbol; perceptual seeds have 1 to 6, refined ones 7 to 42.
 EXACT = 0
-HOT_SEED = 10_000
+HOT_PAIRS = 10_000_000
 #: Every how many text positions the suffix array is kept.
 SAMPLE = 4
 #: Symbols of a shard's index at most; a longer shard gets several indexes, each of which every pattern passes.
@@ -44,6 +46,7 @@ INDEX_SYMBOLS = 4_000_000
 class FullTextIndex:
     """Burrows-Wheeler index of an array of small symbols: sampled suffix array, and the places of each symbol.
 
+    About seven bytes a symbol: two of the transform, four of its inverse, one of the samples and bits that mark them.
     Backward search is done for many patterns at once; every step is one array operation over those still alive.
     """
 
@@ -56,16 +59,25 @@ class FullTextIndex:
         self.before = np.searchsorted(text[suffixes], np.arange(self.alphabet + 1))
         # occurrence counts as sorted positions a symbol: a rank is one binary search
         by_symbol = np.argsort(self.last, kind="stable")
-        self.places = by_symbol.astype(np.int64) + self.last[by_symbol].astype(np.int64) * (n + 1)
+        places = by_symbol.astype(np.int64) + self.last[by_symbol].astype(np.int64) * (n + 1)
+        self.places = places.astype(np.int32) if self.alphabet * (n + 1) < 1 << 31 else places
         self.n = n
         kept = suffixes % SAMPLE == 0
-        self.sampled = kept
-        self.sampled_before = np.r_[0, np.cumsum(kept)]
+        self.marks = np.packbits(kept, bitorder="little")
+        self.marks = np.r_[self.marks, np.zeros(-len(self.marks) % 8 + 8, np.uint8)].view(np.uint64)
+        self.marked_before = np.r_[0, np.cumsum(np.bitwise_count(self.marks))].astype(np.int32)
         self.samples = (suffixes[kept] // SAMPLE).astype(np.int32)
 
     def occurrences(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """How often each symbol occurs in the transform before a place."""
-        return np.searchsorted(self.places, upto + symbol * (self.n + 1)) - self.before[symbol]
+        return np.searchsorted(self.places, (upto + symbol * (self.n + 1)).astype(self.places.dtype)) - self.before[symbol]
+
+    def marked(self, at: np.ndarray) -> np.ndarray:
+        return (self.marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def marks_upto(self, at: np.ndarray) -> np.ndarray:
+        below = self.marks[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.marked_before[at >> 6] + np.bitwise_count(below)
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = self.before[symbol]
@@ -98,9 +110,9 @@ class FullTextIndex:
         open_ = np.arange(len(places))
         while len(open_):
             here = places[open_]
-            hit = self.sampled[here]
+            hit = self.marked(here)
             done = open_[hit]
-            found[done] = self.samples[self.sampled_before[places[done]]].astype(np.int64) * SAMPLE + steps[done]
+            found[done] = self.samples[self.marks_upto(places[done])].astype(np.int64) * SAMPLE + steps[done]
             open_ = open_[~hit]
             symbol = self.last[places[open_]].astype(np.int64)
             places[open_] = self.before[symbol] + self.occurrences(symbol, places[open_])
@@ -270,9 +282,9 @@ def records(images: DataFrame, entries: DataFrame) -> DataFrame:
     return image.where("coalesce(sha, '') <> '' OR dhash IS NOT NULL").join(entry, "id").distinct()
 
 
-def value_pairs(rec: DataFrame, max_bits: int = MAX_BITS, hot_seed: int | None = None) -> DataFrame:
+def value_pairs(rec: DataFrame, max_bits: int = MAX_BITS, hot_pairs: int | None = None) -> DataFrame:
     """Pairs of distinct hash values across train and evaluation: (kind 0 exact, else perceptual; train_value, eval_value)."""
-    hot_seed = HOT_SEED if hot_seed is None else hot_seed
+    hot_pairs = HOT_PAIRS if hot_pairs is None else hot_pairs
     if not 0 <= max_bits <= 2:
         raise ValueError("two words of four agree only up to two differing bits")
     exact = rec.where("coalesce(sha, '') <> ''").select("train", F.lit(EXACT).alias("kind"), F.xxhash64("sha").alias("value")).distinct().withColumn("seed", F.col("value"))
@@ -281,7 +293,8 @@ def value_pairs(rec: DataFrame, max_bits: int = MAX_BITS, hot_seed: int | None =
     two = lambda a, b: F.shiftleft(word(a), 16).bitwiseOR(word(b))
     seeds = F.array(*(F.struct(F.lit(k + 1).alias("kind"), two(a, b).alias("seed"), two(c, d).alias("rest")) for k, (a, b, c, d) in enumerate(WORDS)))
     near = near.select("train", "value", F.explode(seeds).alias("s")).select("train", "s.kind", "value", "s.seed", "s.rest")
-    hot = near.where("NOT train").groupBy("kind", "seed").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_seed).select("kind", "seed", F.lit(True).alias("_hot"))
+    sides = near.groupBy("kind", "seed").agg(F.count_if("train").alias("_t"), F.count_if(~F.col("train")).alias("_e"))
+    hot = sides.where(F.col("_t").cast("double") * F.col("_e") > hot_pairs).select("kind", "seed", F.lit(True).alias("_hot"))
     byte = lambda i: F.shiftrightunsigned("rest", 24 - 8 * i).bitwiseAND(F.lit(0xFF))
     fine = F.array(*(F.struct((F.lit(len(SEEDS) + 1 + j) + (F.col("kind") - 1) * len(SEEDS)).alias("kind"), F.shiftleft("seed", 16).bitwiseOR(F.shiftleft(byte(p), 8)).bitwiseOR(byte(q)).alias("seed")) for j, (p, q) in enumerate(SEEDS)))
     own = F.array(F.struct(F.col("kind"), F.col("seed")))
@@ -289,32 +302,53 @@ def value_pairs(rec: DataFrame, max_bits: int = MAX_BITS, hot_seed: int | None =
     return _searched(exact.select("train", "kind", "value", "seed").unionByName(near), max_bits)
 
 
-def cross_split(images: DataFrame, entries: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs of images of different sides that are the same or nearly: train and evaluation id, split, countries, exact.
+def classes(rec: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records by what they hold: (class, n, train, split, country, sha, dhash) a row a record of a class, and (class, id).
 
-    Null, blank and contentless hashes match nothing, unknown splits take no part, an image that stands on both sides
-    isn't paired with itself. A repeated record changes nothing; an image with several hashes matches by any of them.
+    Ids whose records agree in every column are one class, named by its least id; n is how many they are.
     """
-    rec = cut(records(images, entries))
-    found = cut(value_pairs(rec, max_bits))
+    held = F.array_sort(F.collect_set(F.struct("train", "split", "country", "sha", "dhash"))).alias("held")
+    members = cut(rec.groupBy("id").agg(held).withColumn("what", F.xxhash64("held")))
+    named = members.groupBy("what", "held").agg(F.min("id").alias("class"), F.count("*").alias("n"))
+    named = cut(named)
+    return named.select("class", "n", F.explode("held").alias("h")).select("class", "n", "h.*"), members.join(named, ["what", "held"]).select("class", "id")
+
+
+def class_pairs(of: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(train_class, train_n, eval_class, eval_n, split, country, exact): classes of different sides that are the same or nearly."""
+    found = cut(value_pairs(of.withColumnRenamed("class", "id"), max_bits))
     key = F.xxhash64("sha")
-    train, held = rec.where("train"), rec.where("NOT train")
-    t = lambda value: train.select(value.alias("train_value"), F.col("id").alias("train_id"), F.col("country").alias("train_country"), F.col("sha").alias("_ts")).distinct()
-    e = lambda value: held.select(value.alias("eval_value"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("country").alias("eval_country"), F.col("sha").alias("_es")).distinct()
+    train, held = of.where("train"), of.where("NOT train")
+    t = lambda value: train.select(value.alias("train_value"), F.col("class").alias("train_class"), F.col("n").alias("train_n"), F.col("sha").alias("_ts")).distinct()
+    e = lambda value: held.select(value.alias("eval_value"), F.col("class").alias("eval_class"), F.col("n").alias("eval_n"), "split", "country", F.col("sha").alias("_es")).distinct()
     exact = found.where(F.col("kind") == EXACT).join(t(key), "train_value").join(e(key), "eval_value").where("_ts = _es")
     near = found.where(F.col("kind") > EXACT).join(t(F.col("dhash")), "train_value").join(e(F.col("dhash")), "eval_value")
     both = exact.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False)))
-    return both.where("train_id <> eval_id").select("train_id", "train_country", "eval_id", "eval_split", "eval_country", "exact")
+    # a class that stands on both sides pairs its records with each other, so one record alone has none
+    both = both.where("train_class <> eval_class OR eval_n > 1")
+    return both.groupBy("train_class", "train_n", "eval_class", "eval_n", "split", "country").agg(F.bool_or("exact").alias("exact"))
 
 
 def found_pairs(images: DataFrame, entries: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    pairs = cross_split(images, entries, max_bits)
-    return pairs.select(F.least("train_id", "eval_id").alias("first_image_id"), F.greatest("train_id", "eval_id").alias("second_image_id")).distinct()
+    """(first_image_id, second_image_id): pairs of images of different sides that are the same or nearly, each once.
+
+    Null, blank and contentless hashes match nothing, unknown splits take no part, an image that stands on both sides
+    isn't paired with itself. A repeated record changes nothing; an image with several hashes matches by any of them.
+    """
+    of, members = classes(records(images, entries))
+    pairs = class_pairs(of, max_bits).select(F.least("train_class", "eval_class").alias("a"), F.greatest("train_class", "eval_class").alias("b")).distinct()
+    side = lambda c, i: members.select(F.col("class").alias(c), F.col("id").alias(i))
+    ids = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where("x <> y")
+    # two different classes meet once, so only a class with itself gives a pair in both orders
+    return ids.where("a <> b OR x < y").select(F.least("x", "y").alias("first_image_id"), F.greatest("x", "y").alias("second_image_id"))
 
 
 def report(images: DataFrame, entries: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Per evaluation split and country: evaluation images that overlap train, exactly and at all, and pairs."""
-    pairs = cross_split(images, entries, max_bits).groupBy("train_id", "eval_id", "eval_split", "eval_country").agg(F.bool_or("exact").alias("exact"))
-    return pairs.groupBy(F.col("eval_split").alias("split"), F.col("eval_country").alias("country")).agg(
-        F.count_distinct("eval_id").alias("images"), F.count_distinct(F.when(F.col("exact"), F.col("eval_id"))).alias("exact_images"), F.count_distinct("train_id", "eval_id").alias("pairs")
-    )
+    """Per evaluation split and country: evaluation images that overlap train, exactly and at all, and pairs.
+
+    Counts are products and sums of the classes' counts; no record is paired with another for them.
+    """
+    pairs = class_pairs(classes(records(images, entries))[0], max_bits)
+    n = F.col("train_n") * F.col("eval_n") - F.when(F.col("train_class") == F.col("eval_class"), F.col("eval_n")).otherwise(0)
+    each = pairs.groupBy("split", "country", "eval_class").agg(F.max("eval_n").alias("m"), F.sum(n).alias("pairs"), F.bool_or("exact").alias("exact"))
+    return each.groupBy("split", "country").agg(F.sum("m").alias("images"), F.sum(F.when(F.col("exact"), F.col("m")).otherwise(0)).alias("exact_images"), F.sum("pairs").alias("pairs"))

@@ -32,9 +32,9 @@ def tables(spark, images, entries):
     return i, spark.createDataFrame(entries, "canonical_image_id string, split string, train int")
 
 
-@pytest.mark.parametrize("hot", [10_000, 2])
+@pytest.mark.parametrize("hot", [10_000_000, 1])
 def test_random_hashes_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(overlaps, "HOT_SEED", hot)  # 2: nearly all seeds are refined
+    monkeypatch.setattr(overlaps, "HOT_PAIRS", hot)  # 1: nearly all seeds are refined
     rng = random.Random(4)
     base = [rng.getrandbits(64) & rng.choice((-1, 0xFFFF)) for _ in range(40)]
     images, entries = [], []
@@ -80,6 +80,34 @@ def test_many_copies_and_small_indexes(spark, monkeypatch):
     assert (row.split, row.country, row.images, row.exact_images, row.pairs) == ("test", None, 20, 20, 800)
 
 
+def test_report_counts_as_the_pairs_do(spark):
+    """Images with several hashes, countries and splits, copies of each, and images on both sides."""
+    rng = random.Random(6)
+    images, entries = [], []
+    for n in range(150):
+        for _ in range(rng.choice((1, 1, 2))):
+            images.append((f"i{n}", rng.choice(("India", "Japan", None)), rng.choice(("aa", "bb", None, f"s{n}")), rng.choice(("ff00", "ff01", "abc0000000000000", None)), "x", 1))
+        for s in rng.choice((("train",), ("val",), ("train", "test"), ("test",))):
+            entries.append((f"i{n}", s, 1))
+    pairs, where = set(), {}
+    for i, s, _ in entries:
+        where.setdefault(i, []).append(s)
+    near = lambda a, b: a is not None and b is not None and (int(a, 16) ^ int(b, 16)).bit_count() <= 2
+    for p in images:
+        for q in images:
+            if p[0] != q[0] and "train" in where[p[0]]:
+                exact = p[2] is not None and p[2] == q[2]
+                if exact or near(p[3], q[3]):
+                    pairs |= {(p[0], q[0], s, q[1], exact) for s in where[q[0]] if s != "train"}
+    want = {}
+    for s, c in {x[2:4] for x in pairs}:
+        mine = [x for x in pairs if x[2:4] == (s, c)]
+        want[s, c] = len({x[1] for x in mine}), len({x[1] for x in mine if x[4]}), len({x[:2] for x in mine})
+    i, e = tables(spark, images, entries)
+    assert {(r.split, r.country): (r.images, r.exact_images, r.pairs) for r in overlaps.report(i, e).collect()} == want
+    assert {tuple(r) for r in overlaps.found_pairs(i, e).collect()} == {(min(x[:2]), max(x[:2])) for x in pairs}
+
+
 def test_empty(spark):
     i, e = tables(spark, [], [])
     assert overlaps.found_pairs(i, e).count() == 0
