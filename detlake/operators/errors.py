@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from detlake.functions import geometry as g
 from detlake.operators import matching as m
+from detlake.operators import ordered
 from detlake.operators.metrics import CODES, code, per_class, spine
 from detlake.session import cut
 
@@ -215,15 +216,14 @@ def recall_by(rows: DataFrame, dimension: str, definitions) -> DataFrame:
 def nearest_rank_quantiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, count, minimum, p10, p25, median, p75, p90, maximum, mean) with rank floor(f * (n - 1)), exact.
 
-    Values are counted before they are ordered, so a group costs one row a distinct value.
+    Values are counted before they are ordered, so a group costs one row a distinct value, and no task orders a whole group.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*by).orderBy("_v")
-    ranked = counted.select(*by, "_v", "_c", F.sum("_c").over(w).alias("_upto"), F.sum("_c").over(W.partitionBy(*by)).alias("_n"))
-    pick = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_n") - 1) / 100), F.col("_v")))
+    ranked = ordered.cumulated(counted, by, "_v", ["_c"])
+    pick = lambda p: F.min(F.when(F.col("_c_upto") > F.floor(F.lit(p) * (F.col("_c_of") - 1) / 100), F.col("_v")))
     return ranked.groupBy(*by).agg(
-        F.max("_n").alias("count"), F.min("_v").alias("minimum"), pick(10).alias("p10"), pick(25).alias("p25"), pick(50).alias("median"), pick(75).alias("p75"), pick(90).alias("p90"),
-        F.max("_v").alias("maximum"), (F.sum(F.col("_v") * F.col("_c")) / F.max("_n")).alias("mean"),
+        F.max("_c_of").alias("count"), F.min("_v").alias("minimum"), pick(10).alias("p10"), pick(25).alias("p25"), pick(50).alias("median"), pick(75).alias("p75"), pick(90).alias("p90"),
+        F.max("_v").alias("maximum"), (F.sum(F.col("_v") * F.col("_c")) / F.max("_c_of")).alias("mean"),
     )
 
 

@@ -75,10 +75,13 @@ def boundary_guard(grouped: DataFrame, assigned: DataFrame, numeric: int = 5, se
 
 
 def exact_duplicates(images: DataFrame, key: str = "image_sha256") -> DataFrame:
-    """(duplicate_group, key, member_count, members) of values shared by several images; null and blank values don't count."""
+    """(duplicate_group, key, member_count, canonical_image_id): a row a member of each value that several images share.
+
+    Null and blank values don't count. Members are rows and no list, so a value may have any number of them.
+    """
     rows = images.where(F.col("canonical_image_id").isNotNull()).select("canonical_image_id", norm(key).alias("key")).where("key <> ''").distinct()
-    found = rows.groupBy("key").agg(F.count("*").alias("member_count"), F.array_sort(F.collect_list("canonical_image_id")).alias("members")).where("member_count > 1")
-    return found.select(k.stable_id("exact", F.col("key")).alias("duplicate_group"), "key", "member_count", "members")
+    shared = rows.groupBy("key").agg(F.count("*").alias("member_count")).where("member_count > 1")
+    return rows.join(shared, "key").select(k.stable_id("exact", F.col("key")).alias("duplicate_group"), "key", "member_count", "canonical_image_id")
 
 
 def gray_difference(a: Column, b: Column) -> Column:
@@ -215,37 +218,78 @@ def component_features(members: DataFrame) -> DataFrame:
     return long.groupBy("component").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("f", "n")))).alias("features"))
 
 
+#: Members of a bundle are put in order by hash, in so many hash ranges.
+_HASHES, _RANGES = 1 << 40, 1024
+
+
+def _bundles(features: DataFrame, seed: int) -> DataFrame:
+    """Components with their bundle: alike are those of one size class whose most frequent feature of each kind agrees.
+
+    Sizes are told apart exactly up to 16 and by quarters of powers of two beyond, so bundles grow with the logarithm of the
+    sizes and with the features there are, not with the components.
+    """
+    n = F.coalesce(F.try_element_at("features", F.lit("images")), F.lit(0))
+    size = F.when(n <= 16, n).otherwise(F.floor(F.log2(n) * 4) + 1000).cast("string")
+    most = lambda kind: F.array_max(F.transform(F.filter(F.map_entries("features"), lambda e: e["key"].startswith(kind)), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("f"))))["f"]
+    kinds = [F.coalesce(most(f"{kind}:"), F.lit("")) for kind in WEIGHTS if kind != "images"]
+    return features.select("component", "features", F.concat_ws("|", size, *kinds).alias("bundle"), F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(_HASHES)).alias("h"))
+
+
+def _shares(grow: list[float], steep: list[float], many: int, ties: list[str]) -> list[int]:
+    """How many of ``many`` like members each split gets so that the sum of grow * c + steep * c^2 is least."""
+    # the least of a convex sum has one level of marginal cost for all splits that get anything
+    if min(steep) <= 0:
+        real = [0.0] * len(grow)
+        real[min(range(len(grow)), key=lambda i: (grow[i], ties[i]))] = float(many)
+    else:
+        order, width, base = sorted(range(len(grow)), key=grow.__getitem__), 0.0, 0.0
+        for n, i in enumerate(order):
+            width, base = width + 1 / steep[i], base + grow[i] / steep[i]
+            level = (2 * many + base) / width
+            if n + 1 == len(order) or level <= grow[order[n + 1]]:
+                break
+        real = [max(0.0, (level - g) / (2 * a)) for g, a in zip(grow, steep)]
+    out = [int(x + 1e-9) for x in real]
+    for _ in range(many - sum(out)):
+        i = min(range(len(out)), key=lambda i: (grow[i] + steep[i] * (2 * out[i] + 1), ties[i]))
+        out[i] += 1
+    return out
+
+
 def plan_split(features: DataFrame, ratios: dict[str, float] = RATIOS, seed: int = 42) -> DataFrame:
-    """(component, split): components, largest first, each to the split whose weighted squared deviation grows least.
+    """(component, split): splits of components such that the weighted squared relative deviations from the ratios stay least.
 
-    The choice depends on all earlier ones, so it is one pass over one ordered stream that holds three counters and
-    nothing else; totals are aggregated beforehand. Ties fall by seeded hashes.
+    Components are taken in bundles of alike ones, largest first. Growing a split by c members of a bundle costs a quadratic
+    in c, so a whole bundle is shared out in closed form, and its members are dealt to the shares in the order of their
+    hash. Only sums a bundle reach the driver. Ties fall by seeded hashes.
     """
-    totals = {r["f"]: r["n"] for r in features.select(F.explode("features").alias("f", "n")).groupBy("f").agg(F.sum("n").alias("n")).collect()}  # one row a feature
-    ordered = features.select("component", "features", F.try_element_at("features", F.lit("images")).alias("n"), k.seeded_rank(seed, F.col("component")).alias("h")).repartition(1).sortWithinPartitions(F.desc("n"), "h")
-
-    def run(batches):
-        now = {s: dict.fromkeys(totals, 0) for s in ratios}
-        weight = {f: WEIGHTS[f.split(":")[0]] for f in totals}
-        goal = {s: {f: t * r for f, t in totals.items()} for s, r in ratios.items()}
-        for pdf in batches:
-            out = []
-            for component, pairs in zip(pdf["component"], pdf["features"]):
-                own = dict(pairs)
-                scored = []
-                for s in ratios:
-                    score = 0.0
-                    for f, n in own.items():  # features that don't change contribute nothing
-                        over, base = now[s][f] - goal[s][f], max(goal[s][f], 1.0)
-                        score += weight[f] * (((over + n) / base) ** 2 - (over / base) ** 2)
-                    scored.append((score, hashlib.sha256(f"{seed}:{component}:{s}".encode()).hexdigest(), s))
-                best = min(scored)[2]
-                for f, n in own.items():
-                    now[best][f] += n
-                out.append(best)
-            yield pd.DataFrame({"component": pdf["component"], "split": out})
-
-    return ordered.select("component", "features").mapInPandas(run, "component string, split string")
+    spark = features.sparkSession
+    rows = cut(_bundles(features, seed))
+    sums = rows.select("bundle", F.explode("features").alias("f", "n")).groupBy("bundle", "f").agg(F.sum("n").alias("n")).collect()
+    many = {r["bundle"]: r["m"] for r in rows.groupBy("bundle").agg(F.count("*").alias("m")).collect()}
+    held: dict[str, dict[str, int]] = {b: {} for b in many}
+    totals: dict[str, int] = {}
+    for r in sums:
+        held[r["bundle"]][r["f"]] = r["n"]
+        totals[r["f"]] = totals.get(r["f"], 0) + r["n"]
+    goal = {(s, f): t * ratio for s, ratio in ratios.items() for f, t in totals.items()}
+    above = {at: -g for at, g in goal.items()}  # what a split holds less its goal
+    dealt = []
+    for bundle in sorted(many, key=lambda b: (-held[b].get("images", 0) / many[b], b)):
+        m = many[bundle]
+        mean = {f: n / m for f, n in held[bundle].items() if n}
+        factor = {(s, f): WEIGHTS[f.split(":")[0]] / max(goal[s, f], 1.0) ** 2 for s in ratios for f in mean}
+        grow = [sum(2 * factor[s, f] * above[s, f] * v for f, v in mean.items()) for s in ratios]
+        steep = [sum(factor[s, f] * v * v for f, v in mean.items()) for s in ratios]
+        low = 0
+        for s, c in zip(ratios, _shares(grow, steep, m, [hashlib.sha256(f"{seed}:{bundle}:{s}".encode()).hexdigest() for s in ratios])):
+            for f, v in mean.items():
+                above[s, f] += c * v
+            dealt.append((bundle, s, low, low + c))
+            low += c
+    plan = spark.createDataFrame(dealt, "bundle string, split string, low long, high long")
+    placed = ordered.numbered(rows.select("component", "bundle", "h"), ["bundle"], "h", ["component"], _HASHES // _RANGES)
+    return placed.join(plan, "bundle").where("n > low AND n <= high").select("component", "split")
 
 
 #: Weights of the refinement's objective, in squared percentage points, transitions and guarded images.

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from detlake.functions.geometry import ratio
 from detlake.functions.keys import require
+from detlake.operators import ordered
 from detlake.operators.matching import match
 
 CLASSES = (0, 1, 2, 3)
@@ -135,26 +136,31 @@ def exact_macro_f1(counts) -> str:
     return str(sum(f, Fraction(0)) / len(f))
 
 
+def _sortable(fraction: str) -> str:
+    """A fraction of 0..1 by its first 80 decimals: different ones of denominators below 10^40 differ in them."""
+    f = Fraction(fraction)
+    return f"{f.numerator * 10**80 // f.denominator:081d}"
+
+
 def select_point(points: DataFrame, order: list[float] | None = None, group: str | None = None) -> DataFrame:
-    """The best point: exact macro F1, then fewest negative FP, then highest threshold, then the declared group order.
+    """The first point by exact macro F1, fewest negative FP, highest threshold and, if given, the declared group order.
 
-    A sweep has at most a few thousand points, so exact comparison happens on the driver. Columns of the point, and the
-    number of points left after each criterion. Without a group a remaining tie is an error.
+    Columns of the point, and how many points agree with it in the first one, two and three criteria. Without a group order
+    it is an error if all three leave several. Windows are over grid points, of which a sweep has at most a few thousand.
     """
-    rows = [r.asDict() for r in points.collect()]
-    if not rows:
+    criteria = [F.desc("_f1"), F.asc("negative_fp"), F.desc("threshold")]
+    names = ("points_after_f1", "points_after_negative_fp", "points_after_confidence")
+    keyed = points.withColumn("_f1", F.udf(_sortable, "string", useArrow=False)("macro_f1_exact"))
+    ranks = keyed.select("*", *(F.rank().over(W.orderBy(*criteria[: n + 1])).alias(name) for n, name in enumerate(names)))
+    counted = ranks.select(*keyed.columns, *(F.count_if(F.col(name) == 1).over(W.partitionBy()).cast("int").alias(name) for name in names))
+    last = [F.array_position(F.array(*map(F.lit, order)), F.col(group))] if order else []
+    best = counted.orderBy(*criteria, *last).drop("_f1").first()
+    if best is None:
         raise ValueError("no points to select from")
-    for r in rows:
-        r["_f"] = Fraction(r["macro_f1_exact"])
-    after_f1 = [r for r in rows if r["_f"] == max(x["_f"] for x in rows)]
-    after_fp = [r for r in after_f1 if r["negative_fp"] == min(x["negative_fp"] for x in after_f1)]
-    after_conf = [r for r in after_fp if r["threshold"] == max(x["threshold"] for x in after_fp)]
-    if len(after_conf) > 1 and not order:
+    if best[names[-1]] > 1 and not order:
         raise ValueError("the best point is not unique")
-    best = min(after_conf, key=lambda r: order.index(r[group])) if order else after_conf[0]
-    best = {k: v for k, v in best.items() if k != "_f"} | {"points_after_f1": len(after_f1), "points_after_negative_fp": len(after_fp), "points_after_confidence": len(after_conf)}
-    schema = T.StructType([*points.schema, *(T.StructField(c, T.IntegerType()) for c in list(best)[-3:])])
-    return points.sparkSession.createDataFrame([tuple(best.values())], schema)
+    schema = T.StructType([*points.schema, *(T.StructField(name, T.IntegerType()) for name in names)])
+    return points.sparkSession.createDataFrame([tuple(best)], schema)
 
 
 def by_site(images: DataFrame, gt: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
@@ -196,14 +202,14 @@ def profile(images: DataFrame, gt: DataFrame, pred: DataFrame, thresholds: list[
 def interpolated_ap(gt: DataFrame, pred: DataFrame, min_overlap: float = 0.5, steps: int = 100) -> DataFrame:
     """(class_id, ap): average precision with 101 recall levels (an extension, by the published definition).
 
-    Ranks are counted per confidence value, not by a window over all predictions of a class, so a class may hold any
-    share of the rows; predictions of equal confidence enter together.
+    Ranks are counted per confidence value and in ranges of values, so a class may hold any share of the rows;
+    predictions of equal confidence enter together.
     """
     m = match(gt, pred, min_overlap).select("image_id", "pi", F.lit(1).alias("tp"))
     levels = pred.join(m, ["image_id", "pi"], "left").groupBy("class_id", "confidence").agg(F.count("*").alias("n"), F.sum(F.coalesce("tp", F.lit(0))).alias("tp"))
-    w = W.partitionBy("class_id").orderBy(F.col("confidence").desc())
     support = gt.groupBy("class_id").agg(F.count("*").alias("support"))
-    curve = levels.select("class_id", F.sum("tp").over(w).alias("t"), F.sum("n").over(w).alias("k")).join(F.broadcast(support), "class_id").select("class_id", (F.col("t") / F.col("support")).alias("recall"), (F.col("t") / F.col("k")).alias("precision"))
+    downwards = lambda c: F.col(f"{c}_of") - F.col(f"{c}_upto") + F.col(c)
+    curve = ordered.cumulated(levels.where("confidence IS NOT NULL"), ["class_id"], "confidence", ["n", "tp"]).select("class_id", downwards("tp").alias("t"), downwards("n").alias("k")).join(F.broadcast(support), "class_id").select("class_id", (F.col("t") / F.col("support")).alias("recall"), (F.col("t") / F.col("k")).alias("precision"))
     grid = spine(gt.sparkSession).crossJoin(gt.sparkSession.range(steps + 1).select((F.col("id") / steps).alias("level")))
     # envelope: the best precision at a recall of at least the level, from points bucketed by level
     bucketed = curve.withColumn("b", F.floor(F.col("recall") * steps + 1e-9)).groupBy("class_id", "b").agg(F.max("precision").alias("p"))

@@ -54,3 +54,26 @@ def numbered(rows: DataFrame, keys: list[str], at: str, tie: list[str], block: i
     for i, c in enumerate([*keys, "_b"]):
         on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     return rows.join(sizes, on).withColumn(name, F.col("_o") + F.col("_r")).drop("_b", "_r", "_o", *(f"_k{i}" for i in range(len(keys) + 1)))
+
+
+def cumulated(rows: DataFrame, keys: list[str], at: str, sums: list[str], parts: int = 64) -> DataFrame:
+    """Add, for each of ``sums``, its total over the key up to this row's order value (``<c>_upto``) and over all (``<c>_of``).
+
+    Rows must differ in (keys, at), which must not be null. A key is cut at approximate percentiles into ``parts`` ranges that are ordered
+    apart, so that a key that holds most rows is ordered in as many tasks; one row a range carries the totals.
+    """
+    steps = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(F.col(at), steps, F.lit(20 * parts))).alias("_cuts"))
+    same = lambda other: F.lit(True) if not other else other[0] & same(other[1:])
+    named = cuts.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(keys)), "_cuts")
+    ranged = rows.join(named, same([F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(keys)])).drop(*(f"_c{i}" for i in range(len(keys))))
+    ranged = ranged.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(at)))).drop("_cuts")
+    inside = W.partitionBy(*keys, "_b").orderBy(at)
+    ranged = ranged.select("*", *(F.sum(c).over(inside).alias(f"_{c}_in") for c in sums))
+    v = W.partitionBy(*keys)
+    totals = ranged.groupBy(*keys, "_b").agg(*(F.sum(c).alias(f"_{c}_t") for c in sums))
+    before = [(F.sum(f"_{c}_t").over(v.orderBy("_b")) - F.col(f"_{c}_t")).alias(f"_{c}_o") for c in sums]
+    whole = [F.sum(f"_{c}_t").over(v).alias(f"{c}_of") for c in sums]
+    totals = totals.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "_b"])), *before, *whole)
+    joined = ranged.join(totals, same([F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, "_b"])]))
+    return joined.select(*rows.columns, *((F.col(f"_{c}_in") + F.col(f"_{c}_o")).alias(f"{c}_upto") for c in sums), *(f"{c}_of" for c in sums))

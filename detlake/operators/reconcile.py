@@ -102,7 +102,13 @@ def table_digest(rows: DataFrame, columns: list[str], order: list[str], buckets:
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(ordered_digest(F.col("d"), F.col("b")), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
-def group_digests(rows: DataFrame, by: list[str], columns: list[str], order: list[str]) -> DataFrame:
-    """(by, rows, digest) of each group's lines ``a|b|...`` in order; groups are a split's or an image's rows."""
-    line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    return rows.groupBy(*by).agg(F.count("*").alias("rows"), ordered_digest(line, F.struct(*order)).alias("digest"))
+def group_digests(rows: DataFrame, by: list[str], columns: list[str], order: list[str], digits: int = 2) -> DataFrame:
+    """(by, rows, digest) of each group: a digest over the digests of its buckets, each over its lines ``a|b|...`` in order.
+
+    The bucket of a row is the beginning of the SHA-256 of its order columns, ``digits`` hexadecimal digits, so no task orders a whole group;
+    more digits make smaller buckets. Buckets that are empty don't count.
+    """
+    joined = lambda cs: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cs))
+    bucket = F.substring(F.sha2(joined(order), 256), 1, digits)
+    parts = rows.withColumn("_bucket", bucket).groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), ordered_digest(joined(columns), F.struct(*order)).alias("_d"))
+    return parts.groupBy(*by).agg(F.sum("_n").alias("rows"), ordered_digest(F.col("_d"), F.col("_bucket")).alias("digest"))

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from detlake.operators import ordered
+
 
 def metric_summary(rows: DataFrame, metrics: list[str], by: list[str] | None = None, places: int = 4) -> DataFrame:
     """(by, metric, count, minimum, maximum, mean, median): nulls and NaN don't count; values rounded half to even."""
     by = by or []
     long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("x")).select(*by, "x.metric", "x.v").where("v IS NOT NULL AND NOT isnan(v)")
-    # values are counted before they are ordered: a group costs one row a distinct value, and no list of its values is held
+    # values are counted before they are ordered: a group costs one row a distinct value, and no task orders a whole group
     counted = long.groupBy(*by, "metric", "v").agg(F.count("*").alias("c"))
-    w = W.partitionBy(*by, "metric")
-    ranked = counted.select("*", F.sum("c").over(w.orderBy("v")).alias("upto"), F.sum("c").over(w).alias("n"))
-    middle = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))
+    ranked = ordered.cumulated(counted, [*by, "metric"], "v", ["c"]).withColumnRenamed("c_of", "n")
+    middle = lambda i: F.min(F.when(F.col("c_upto") > i, F.col("v")))
     half = (F.col("n") - 1) / 2
     r = lambda c: F.bround(c, places)
     return ranked.groupBy(*by, "metric").agg(F.max("n").alias("count"), r(F.min("v")).alias("minimum"), r(F.max("v")).alias("maximum"), r(F.sum(F.col("v") * F.col("c")) / F.max("n")).alias("mean"), r((middle(F.floor(half)) + middle(F.ceil(half))) / 2).alias("median"))

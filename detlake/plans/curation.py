@@ -35,14 +35,45 @@ def event_status_counts(s, d):
     return temporal.status_counts(temporal.events(_observations(s, d), RULES))
 
 
+def _stored_sessions(s, d):
+    """(observations with their session, stored sessions); every seventh stored count is one too high, every eleventh session is missing.
+
+    The faults are planted, so that the checks below have something to find.
+    """
+    obs = temporal.islands(_observations(s, d), F.lit(5)).select("video_id", "class_id", "island", "frame_index", "confidence")
+    true = obs.groupBy("video_id", "class_id", "island").agg(F.count("*").alias("observation_count"), F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"), F.max("confidence").alias("max_confidence"))
+    stored = true.where("island % 11 <> 0").withColumn("observation_count", F.col("observation_count") + (F.col("island") % 7 == 0).cast("long"))
+    return obs, stored
+
+
 def event_reconciliation(s, d):
-    """Events recomputed from the associations against the event operator's own; must be empty."""
-    obs = _observations(s, d)
-    found = temporal.events(obs, RULES)
-    parts = temporal.associations(obs, RULES).join(obs.select("detection_id", "confidence"), "detection_id")
-    parts = parts.select("video_id", "class_id", F.col("event_first_frame").alias("first_frame_key"), F.col("event_first_index").alias("first_index"), "frame_index", "confidence")
-    stored = found.select("video_id", "class_id", F.col("first_frame").alias("first_frame_key"), "first_index", "observation_count", "first_frame", "last_frame", "max_confidence")
-    return reconcile.event_reconciliation(parts, stored, ["video_id", "class_id", "first_frame_key", "first_index"])
+    """Stored sessions against their observations: those that differ, and those that one side lacks."""
+    return reconcile.event_reconciliation(*_stored_sessions(s, d), ["video_id", "class_id", "island"])
+
+
+def event_totals(s, d):
+    """What the events of a video and class hold together: each valid observation counts in one event."""
+    return temporal.events(_observations(s, d), RULES).groupBy("video_id", "class_id").agg(
+        F.sum("observation_count").alias("observations"), F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"), F.max("max_confidence").alias("max_confidence"), F.max("max_relative_area").alias("max_area"),
+        F.round(F.sum(F.col("mean_confidence") * F.col("observation_count")), 6).alias("confidence"), (F.sum(F.col("iou_matches") + F.col("center_matches") + 1)).alias("associations"),
+    )
+
+
+def grouped_split_integrity(s, d):
+    """(plan, images, torn, off): of the plan and its refinement, components in several splits and splits far from their ratio."""
+    comp, features = _planned(s, d)
+    edges = grouping.boundary_edges(_captures(s, d), comp)
+    plan = cut(grouping.plan_split(features))
+    out = None
+    for name, found in (("plan", plan), ("refined", grouping.refine_split(features, plan, edges))):
+        rows = comp.join(found, "component")
+        torn = rows.groupBy("component").agg(F.count_distinct("split").alias("s")).agg(F.count_if(F.col("s") > 1).alias("torn"))
+        share = rows.groupBy("split").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+        goal = F.create_map(*(x for k_, v in grouping.RATIOS.items() for x in (F.lit(k_), F.lit(v))))
+        off = share.agg(F.sum("n").alias("images"), F.count_if(F.abs(F.col("share") - F.try_element_at(goal, F.col("split"))) > 0.05).alias("off"))
+        row = off.crossJoin(torn).select(F.lit(name).alias("plan"), "images", "torn", "off")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def valid_observations(s, d):
@@ -92,7 +123,7 @@ def boundary_guard(s, d):
 
 
 def exact_duplicates(s, d):
-    return grouping.exact_duplicates(table(s, d, "images")).select("duplicate_group", "key", "member_count", F.array_join("members", ",").alias("members"))
+    return grouping.exact_duplicates(table(s, d, "images"))
 
 
 def _hashes(s, d):
@@ -117,7 +148,7 @@ def component_roots(s, d):
 
 def _planned(s, d):
     r = cut(_records(s, d).where("inclusion_status = 'retained'"))
-    dup = grouping.exact_duplicates(r).select("duplicate_group", F.explode("members").alias("canonical_image_id"))
+    dup = grouping.exact_duplicates(r).select("duplicate_group", "canonical_image_id")
     r = r.join(dup, "canonical_image_id", "left").withColumnRenamed("duplicate_group", "exact_group").withColumn("capture_group", norm("capture_group"))
     p = table(s, d, "near_duplicate_pairs").where("hard_split_constraint").select(norm("first_image_id").alias("a"), norm("second_image_id").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = r.select("canonical_image_id")
@@ -399,7 +430,7 @@ def table_digest(s, d):
 
 def queries():
     named = (
-        event_summary, event_associations, event_status_counts, event_reconciliation, valid_observations, gap_sessions, running_counts, capture_groups, capture_group_sizes, boundary_guard, exact_duplicates,
+        event_summary, event_associations, event_status_counts, event_reconciliation, event_totals, grouped_split_integrity, valid_observations, gap_sessions, running_counts, capture_groups, capture_group_sizes, boundary_guard, exact_duplicates,
         near_duplicates, near_duplicate_groups, component_roots, grouped_split, grouped_split_refined, grouped_split_balance, split_conflicts, pair_conflicts, country_shares, image_summary, voc_boxes, label_lines, label_error_counts,
         class_inventory, label_roundtrip, pair_integrity, image_categories, area_histogram, disposition_matrix, hash_sample, stratified_sample, class_showcase, covering_sample, temporal_bins, representatives,
         interval_frames, distributed_frames, candidate_frames, frame_differences, quality_summary, best_epoch, history_gaps, clock_codes, stable_ids, missing_exports, repeated_images, field_differences,
@@ -413,6 +444,8 @@ raw AS (SELECT DISTINCT detection_id, video_id, class_id::INT AS class_id, frame
 valid AS (SELECT * FROM raw WHERE class_id BETWEEN 0 AND 3 AND frame_index >= 0 AND detection_index IS NOT NULL AND timestamp_ms IS NOT NULL AND detection_id IS NOT NULL AND video_id IS NOT NULL AND isfinite(confidence) AND isfinite(area) AND isfinite(b[1]) AND isfinite(b[2]) AND isfinite(b[3]) AND isfinite(b[4]) AND confidence BETWEEN 0 AND 1 AND area BETWEEN 0 AND 1
   AND b[1] BETWEEN 0 AND 1 AND b[2] BETWEEN 0 AND 1 AND b[3] BETWEEN 0 AND 1 AND b[4] BETWEEN 0 AND 1 AND b[1] <= b[3] AND b[2] <= b[4]),
 obs AS (SELECT v.*, CASE WHEN fps > 0 THEN fps ELSE 10::DOUBLE END AS fps FROM (SELECT *, row_number() OVER (PARTITION BY video_id, class_id, frame_index, detection_index ORDER BY detection_id) AS rn FROM valid) v LEFT JOIN video USING (video_id) WHERE rn = 1)"""
+_SESSION = """fresh AS (SELECT *, CASE WHEN frame_index - lag(frame_index) OVER (PARTITION BY video_id, class_id ORDER BY frame_index, detection_index) - 1 <= 5 THEN 0 ELSE 1 END AS fresh FROM obs),
+ses AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id, class_id ORDER BY frame_index, detection_index) AS s FROM fresh)"""
 _REC = """rec AS (SELECT canonical_image_id, r.* FROM (SELECT canonical_image_id, max({'scanned_at': scanned_at, 'country': country, 'original_filename': original_filename, 'image_sha256': image_sha256, 'perceptual_hash_dhash64': perceptual_hash_dhash64, 'decoded_width': decoded_width,
   'decoded_height': decoded_height, 'exif_timestamp_sort_ms': exif_timestamp_sort_ms, 'capture_group': capture_group, 'inclusion_status': inclusion_status, 'image_category': image_category, 'target_object_count': target_object_count}) AS r
   FROM images WHERE canonical_image_id IS NOT NULL GROUP BY 1))"""
@@ -436,8 +469,7 @@ cap AS (SELECT *, {_sid('cg', 16, 'sequence_key', "CASE WHEN method <> 'timestam
 _HASH = """hashes AS (SELECT canonical_image_id AS id, image_sha256 AS sha, decoded_width AS width, decoded_height AS height, TRY_CAST('0x' || regexp_replace(lower(trim(perceptual_hash_dhash64)), '^0x', '') AS UBIGINT) AS h FROM rec),
 good AS (SELECT * FROM hashes WHERE h IS NOT NULL AND h NOT IN (0, 18446744073709551615)),
 band AS (SELECT *, unnest([{'k': 0, 'v': h & 65535}, {'k': 1, 'v': (h >> 16) & 65535}, {'k': 2, 'v': (h >> 32) & 65535}, {'k': 3, 'v': h >> 48}]) AS b FROM good),
-sized AS (SELECT *, count(*) OVER (PARTITION BY b) AS n, row_number() OVER (PARTITION BY b ORDER BY id) AS rn FROM band),
-cand AS (SELECT DISTINCT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM sized x JOIN sized y ON x.b = y.b AND x.id < y.id WHERE (x.n <= 200 OR y.rn - x.rn <= 20) AND bit_count(xor(x.h, y.h)) <= 6)"""
+cand AS (SELECT DISTINCT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM band x JOIN band y ON x.b = y.b AND x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 6)"""
 _LAB = """lab AS (SELECT canonical_image_id, max(label_text) AS label_text, max(country) AS country FROM export_entries WHERE canonical_image_id IS NOT NULL GROUP BY 1),
 ln0 AS (SELECT canonical_image_id, country, unnest(str_split_regex(label_text, '\\r?\\n')) AS line, generate_subscripts(str_split_regex(label_text, '\\r?\\n'), 1) AS line_number FROM lab),
 ln1 AS (SELECT *, str_split_regex(trim(line), '\\s+') AS p FROM ln0 WHERE trim(line) <> ''),
@@ -478,7 +510,11 @@ def oracle_sql():
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id, class_id ORDER BY frame_index, detection_index) AS s FROM a)
 SELECT video_id, class_id, min(frame_index) AS island, min(frame_index) AS first_frame, max(frame_index) AS last_frame, count(*) AS observations FROM b GROUP BY video_id, class_id, s""",
         "running_counts": f"WITH {_OBS} SELECT video_id, class_id, count(*) AS detections, max(frame_index) AS last_frame FROM obs GROUP BY 1, 2",
-        "event_reconciliation": "SELECT 'x' AS video_id, 0 AS class_id, 0::BIGINT AS first_frame_key, 0 AS first_index, 0::BIGINT AS observation_count, 0::BIGINT AS first_frame, 0::BIGINT AS last_frame, 0.0::DOUBLE AS max_confidence, 0::BIGINT AS n, 0::BIGINT AS lo, 0::BIGINT AS hi, 0.0::DOUBLE AS top WHERE false",
+        "event_reconciliation": f"""WITH {_OBS}, {_SESSION}, g AS (SELECT video_id, class_id, s, min(frame_index) AS island, count(*) AS n, min(frame_index) AS lo, max(frame_index) AS hi, max(confidence) AS top FROM ses GROUP BY video_id, class_id, s)
+SELECT video_id, class_id, island, CASE WHEN island % 11 <> 0 THEN n + 1 END AS observation_count, CASE WHEN island % 11 <> 0 THEN lo END AS first_frame, CASE WHEN island % 11 <> 0 THEN hi END AS last_frame, CASE WHEN island % 11 <> 0 THEN top END AS max_confidence, n, lo, hi, top
+FROM g WHERE island % 7 = 0 OR island % 11 = 0""",
+        "event_totals": f"""WITH {_OBS} SELECT video_id, class_id, count(*) AS observations, min(frame_index) AS first_frame, max(frame_index) AS last_frame, max(confidence) AS max_confidence, max(area) AS max_area, round(sum(confidence), 6) AS confidence, count(*) AS associations FROM obs GROUP BY 1, 2""",
+        "grouped_split_integrity": f"""WITH {_REC}, n AS (SELECT count(*) AS images FROM rec WHERE inclusion_status = 'retained') SELECT unnest(['plan', 'refined']) AS plan, images, 0::BIGINT AS torn, 0::BIGINT AS off FROM n""",
         "capture_groups": f"WITH {_REC}, {_CAP} SELECT canonical_image_id, prefix, number, method, run, sequence_index, sequence_key, capture_group FROM cap",
         "capture_group_sizes": f"""WITH {_REC}, {_CAP}, g AS (SELECT count(*) AS v FROM cap GROUP BY capture_group), o AS (SELECT list_sort(list(v)) AS l, count(*) AS n FROM g)
 SELECT n AS groups, l[1] AS minimum, {', '.join(f'l[round_even({p} * (n - 1) / 100, 0)::INT + 1] AS p{p}' for p in (10, 25, 50, 75, 90, 95, 99))}, l[n] AS maximum, len(list_filter(l, lambda x: x = 1)) AS singletons, len(list_filter(l, lambda x: x <= 5)) AS up_to_five FROM o""",
@@ -489,7 +525,8 @@ q AS (SELECT *, concat_ws(':', 'boundary_guard_between', capture_group, split, n
 hit AS (SELECT canonical_image_id, reason FROM r JOIN q USING (capture_group) WHERE CASE WHEN q.method = 'timestamp' THEN r.ts_ms >= hi - 120000 ELSE number >= (q.sequence_index + 1) * 50 - 5 END
   UNION SELECT canonical_image_id, reason FROM r JOIN q ON r.capture_group = ng WHERE CASE WHEN q.method = 'timestamp' THEN r.ts_ms <= nl + 120000 ELSE number < (q.sequence_index + 1) * 50 + 5 END)
 SELECT canonical_image_id, string_agg(reason, ';' ORDER BY reason) AS reasons FROM hit GROUP BY 1""",
-        "exact_duplicates": f"""SELECT {_sid('exact', 16, 'key')} AS duplicate_group, key, count(*) AS member_count, string_agg(id, ',' ORDER BY id) AS members FROM (SELECT DISTINCT canonical_image_id AS id, lower(trim(image_sha256)) AS key FROM images WHERE canonical_image_id IS NOT NULL) WHERE key <> '' GROUP BY key HAVING count(*) > 1""",
+        "exact_duplicates": f"""WITH r AS (SELECT DISTINCT canonical_image_id, lower(trim(image_sha256)) AS key FROM images WHERE canonical_image_id IS NOT NULL), m AS (SELECT key, count(*) AS member_count FROM r WHERE key <> '' GROUP BY key HAVING count(*) > 1)
+SELECT {_sid('exact', 16, 'key')} AS duplicate_group, key, member_count, canonical_image_id FROM r JOIN m USING (key)""",
         "near_duplicates": f"""WITH {_REC}, {_HASH}, j AS (SELECT cand.*, coalesce(distance <= 2 AND x.width = y.width AND x.height = y.height, false) AS sure FROM cand JOIN good x ON x.id = a JOIN good y ON y.id = cand.b WHERE x.sha IS NULL OR y.sha IS NULL OR x.sha <> y.sha)
 SELECT a, b, distance, CASE WHEN sure THEN 'confirmed_near_duplicate' ELSE 'candidate_warning' END AS relationship, sure AS hard_split_constraint FROM j""",
         "near_duplicate_groups": f"""WITH RECURSIVE {_REC}, {_HASH}, e AS (SELECT a, b FROM cand UNION SELECT b, a FROM cand), reach(x, y) AS (SELECT a, a FROM e UNION SELECT x, e.b FROM reach JOIN e ON y = e.a), m AS (SELECT x, min(y) AS r FROM reach GROUP BY x)
@@ -552,8 +589,8 @@ SELECT video_id, sample, lo + ((hi - lo) * sample + 3) // 6 AS frame_index FROM
         "candidate_frames": f"""WITH {_VID}, v AS (SELECT video_id, fps, round_even(8.0 * fps, 0)::BIGINT AS a, least(frame_count - 1, round_even(least((frame_count - 1) / fps, 33.0) * fps, 0)::BIGINT) AS b, greatest(1, round_even(fps / 2.0, 0)::BIGINT) AS step FROM vid WHERE fps > 0 AND frame_count >= 3),
 f AS (SELECT video_id, fps, unnest(range(a, b + 1, step)) AS frame_index FROM v WHERE a <= b) SELECT video_id, 'opening' AS spec, frame_index FROM f WHERE NOT (frame_index / fps BETWEEN 15 AND 18)""",
         "frame_differences": f"WITH {_OBS}, {_FRAMES} SELECT video_id, second, round(abs(sharpness - lag(sharpness) OVER (PARTITION BY video_id ORDER BY second)), 9) AS difference FROM frames",
-        "quality_summary": """WITH r AS (SELECT detection_id, min(class_id) AS class_id, min(confidence) AS confidence, min(bbox_relative_area) AS bbox_relative_area FROM detections GROUP BY 1),
-l AS (SELECT class_id, unnest([{'metric': 'confidence', 'v': confidence}, {'metric': 'bbox_relative_area', 'v': bbox_relative_area}], recursive := true) FROM r WHERE class_id IS NOT NULL AND isfinite(coalesce(confidence, 0)) AND isfinite(coalesce(bbox_relative_area, 0)))
+        "quality_summary": """WITH r AS (SELECT detection_id, min(class_id) AS class_id, min(confidence) FILTER (WHERE isfinite(confidence)) AS confidence, min(bbox_relative_area) FILTER (WHERE isfinite(bbox_relative_area)) AS bbox_relative_area FROM detections GROUP BY 1),
+l AS (SELECT class_id, unnest([{'metric': 'confidence', 'v': confidence}, {'metric': 'bbox_relative_area', 'v': bbox_relative_area}], recursive := true) FROM r WHERE class_id IS NOT NULL)
 SELECT class_id, metric, count(*) AS count, round_even(min(v), 4) AS minimum, round_even(max(v), 4) AS maximum, round_even(avg(v), 4) AS mean, round_even(median(v), 4) AS median FROM l WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2""",
         "best_epoch": f"""WITH {_EPO}, a AS (SELECT *, coalesce(max(fitness) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM epo), b AS (SELECT *, CASE WHEN fitness > before OR before = 0 THEN epoch END AS e FROM a),
 c AS (SELECT run, epoch, fitness, greatest(max(fitness) OVER w, 0) AS best_fitness, max(e) OVER w AS best_epoch FROM b WINDOW w AS (PARTITION BY run ORDER BY epoch))
@@ -575,6 +612,7 @@ x AS (SELECT detection_id, concat_ws(',', CASE WHEN NOT coalesce(class_id BETWEE
         "job_transitions": f"""WITH {_JOB}, x AS (SELECT user_id, event_id, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS from_status, status AS to_status FROM job)
 SELECT * FROM x WHERE NOT coalesce((from_status, to_status) IN (('queued', 'running'), ('queued', 'failed'), ('running', 'completed'), ('running', 'interrupted'), ('running', 'failed')), false) AND NOT (from_status IS NULL AND to_status = 'queued')""",
         "job_status": f"""WITH {_JOB} SELECT user_id, arg_max(status, event_id) AS status, min(event_id) AS created_at, min(event_id) FILTER (WHERE status = 'running') AS started_at, max(event_id) FILTER (WHERE status IN ('completed', 'failed', 'interrupted')) AS ended_at FROM job GROUP BY 1""",
-        "split_digests": f"""WITH r AS (SELECT DISTINCT {_SPLIT} AS split, canonical_image_id, source_image_sha256 FROM export_entries WHERE split IS NOT NULL)
-SELECT split, count(*) AS rows, {digest("coalesce(canonical_image_id, '') || '|' || coalesce(source_image_sha256, '')", 'canonical_image_id NULLS FIRST, source_image_sha256 NULLS FIRST')} AS digest FROM r GROUP BY 1""",
+        "split_digests": f"""WITH r AS (SELECT DISTINCT {_SPLIT} AS split, canonical_image_id, source_image_sha256 FROM export_entries WHERE split IS NOT NULL), l AS (SELECT *, coalesce(canonical_image_id, '') || '|' || coalesce(source_image_sha256, '') AS line FROM r),
+b AS (SELECT split, substr(sha256(line), 1, 2) AS bucket, count(*) AS n, {digest('line', 'canonical_image_id NULLS FIRST, source_image_sha256 NULLS FIRST')} AS d FROM l GROUP BY 1, 2)
+SELECT split, sum(n)::BIGINT AS rows, {digest('d', 'bucket')} AS digest FROM b GROUP BY 1""",
     }
