@@ -25,14 +25,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     live = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     live = cut(live.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     tidy = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    many = live.count()
     for _ in range(MAX_ROUNDS):
         large = tidy(_smaller(live).where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")))
         # small star: a vertex and its smaller neighbours hang on the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("w"))
         joined = large.join(least, "u")
         small = cut(tidy(joined.select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(joined.select("u", F.col("w").alias("v")))))
-        settled = small.join(live, ["u", "v"], "left_anti").isEmpty() and live.join(small, ["u", "v"], "left_anti").isEmpty()
-        live = small
+        now = small.count()
+        settled = now == many and small.join(live, ["u", "v"], "left_anti").isEmpty()
+        live, many = small, now
         if settled:
             break
     else:

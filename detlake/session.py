@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +41,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, made known to the context: ``spark.checkpoint.dir`` as the cluster sets it.
 
-    ``spark.checkpoint.dir`` (set by the cluster) wins; only a local session without one gets a temporary folder.
+    Only a local session without that setting gets a temporary folder, which is removed at exit.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -54,6 +55,17 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="detlake-")
             atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def exchange_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise and cut the lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
