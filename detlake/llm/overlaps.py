@@ -274,12 +274,12 @@ def dhash_value(column):
 
 
 def records(images: DataFrame, entries: DataFrame) -> DataFrame:
-    """Exported images: (id, train, split, country, sha, dhash), distinct; both tables must know the image."""
+    """Exported images: (id, train, split, country, sha, dhash), as often as the tables repeat them; both tables must know the image."""
     image = images.where(F.col("canonical_image_id").isNotNull()).select(
         F.col("canonical_image_id").alias("id"), "country", norm("image_sha256").alias("sha"), dhash_value(F.col("perceptual_hash_dhash64")).alias("dhash")
     )
     entry = entries.select(F.col("canonical_image_id").alias("id"), split_side(F.col("split")).alias("train"), F.when(norm("split") == "validation", "val").otherwise(norm("split")).alias("split")).where(F.col("train").isNotNull())
-    return image.where("coalesce(sha, '') <> '' OR dhash IS NOT NULL").join(entry, "id").distinct()
+    return image.where("coalesce(sha, '') <> '' OR dhash IS NOT NULL").join(entry, "id")
 
 
 def value_pairs(rec: DataFrame, max_bits: int = MAX_BITS, hot_pairs: int | None = None) -> DataFrame:
@@ -305,13 +305,14 @@ def value_pairs(rec: DataFrame, max_bits: int = MAX_BITS, hot_pairs: int | None
 def classes(rec: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records by what they hold: (class, n, train, split, country, sha, dhash) a row a record of a class, and (class, id).
 
-    Ids whose records agree in every column are one class, named by its least id; n is how many they are.
+    Ids whose records agree in every column are one class, named by its least id; n is how many they are. What an id holds
+    is compared by 128 bits of hash.
     """
     held = F.array_sort(F.collect_set(F.struct("train", "split", "country", "sha", "dhash"))).alias("held")
-    members = cut(rec.groupBy("id").agg(held).withColumn("what", F.xxhash64("held")))
-    named = members.groupBy("what", "held").agg(F.min("id").alias("class"), F.count("*").alias("n"))
-    named = cut(named)
-    return named.select("class", "n", F.explode("held").alias("h")).select("class", "n", "h.*"), members.join(named, ["what", "held"]).select("class", "id")
+    members = cut(rec.groupBy("id").agg(held).select("id", "held", F.xxhash64("held").alias("_1"), F.xxhash64(F.lit(1), "held").alias("_2")))
+    named = cut(members.groupBy("_1", "_2").agg(F.min(F.struct("id", "held")).alias("m"), F.count("*").alias("n")))
+    of = named.select(F.col("m.id").alias("class"), "n", F.explode("m.held").alias("h")).select("class", "n", "h.*")
+    return of, members.select("id", "_1", "_2").join(named.select(F.col("m.id").alias("class"), "_1", "_2"), ["_1", "_2"]).select("class", "id")
 
 
 def class_pairs(of: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
