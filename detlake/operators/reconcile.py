@@ -5,11 +5,15 @@ A check is a DataFrame that must be empty. Nothing is collected but the count an
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from detlake.functions.keys import ordered_digest
 
@@ -112,3 +116,31 @@ def group_digests(rows: DataFrame, by: list[str], columns: list[str], order: lis
     bucket = F.substring(F.sha2(joined(order), 256), 1, digits)
     parts = rows.withColumn("_bucket", bucket).groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), ordered_digest(joined(columns), F.struct(*order)).alias("_d"))
     return parts.groupBy(*by).agg(F.sum("_n").alias("rows"), ordered_digest(F.col("_d"), F.col("_bucket")).alias("digest"))
+
+
+def stream_digests(rows: DataFrame, by: list[str], order: list[str], line: Column, head: str = "", between: str = "", tail: str = "") -> DataFrame:
+    """(by, rows, digest): SHA-256 of each group's lines put end to end in order, for byte formats that are given from outside.
+
+    Such a digest is one sequence of bytes, so a group is one sorted stream, but it is hashed line by line in constant memory
+    and the sort may spill. Null lines count as empty. Use ``group_digests`` where the format is free.
+    """
+    schema = StructType([*(rows.schema[c] for c in by), StructField("rows", LongType()), StructField("digest", StringType())])
+
+    def run(batches):
+        key, count, digest = None, 0, None
+        done = lambda: pa.RecordBatch.from_pylist([dict(zip(by, key)) | {"rows": count, "digest": (digest.update(tail.encode()) or digest).hexdigest()}], to_arrow_schema(schema))
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(by))] or [[None] * batch.num_rows]
+            for *now, text in zip(*columns, batch.column(batch.num_columns - 1).to_pylist()):
+                if now != key:
+                    if digest is not None:
+                        yield done()
+                    key, count, digest = now, 0, hashlib.sha256(head.encode())
+                digest.update(((between if count else "") + (text or "")).encode())
+                count += 1
+        if digest is not None:
+            yield done()
+
+    laid = rows.select(*by, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), line.alias("_line"))
+    laid = laid.repartition(*by) if by else laid.repartition(1)
+    return laid.sortWithinPartitions(*by, *(f"_o{i}" for i in range(len(order))), "_line").select(*by, "_line").mapInArrow(run, schema)
