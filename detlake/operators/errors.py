@@ -1,19 +1,24 @@
 """Failure analysis at one operating point: confusion, diagnoses of misses and false alarms, buckets and review queues.
 
 Two vocabularies exist side by side. The first pairs residual boxes one to one before it diagnoses; the second diagnoses
-each box on its own by the best candidate of each kind. Groups are images, so all collections are bounded by an image.
+each box on its own by the best candidate of each kind.
+
+All of it is per image, so an image is one row: its ground truth, its predictions, all overlaps between them, and the matches
+and residual pairs among these. Ground truth and predictions are shuffled once, by image, and every diagnosis is made
+of arrays in that row. Collections are bounded by the boxes of an image.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from detlake.functions import geometry as g
-from detlake.operators import matching as m
 from detlake.operators import ordered
 from detlake.operators.metrics import CODES, code, per_class, spine
 from detlake.session import cut
@@ -34,48 +39,122 @@ class Point:
     high: float = 0.5
 
 
+_PAIR = "array<struct<pi:int,gi:int,pc:int,gc:int,confidence:double,overlap:double,p:struct<x1:double,y1:double,x2:double,y2:double>,g:struct<x1:double,y1:double,x2:double,y2:double>>>"
+_CORNERS = ("x1", "y1", "x2", "y2")
+
+
 @dataclass
 class Outcome:
-    """Relations of one operating point; ``raw`` predictions include those below the threshold."""
+    """One operating point: ``rows`` has one row an image with arrays of gts, preds (all), pairs (all), matches, confusions, localizations."""
 
     images: DataFrame
     gt: DataFrame
     raw: DataFrame
     kept: DataFrame
-    matches: DataFrame
-    confusions: DataFrame
-    localizations: DataFrame
+    rows: DataFrame
+    at: Point
+
+    def _exploded(self, column: str) -> DataFrame:
+        return self.rows.select("image_id", F.explode(column).alias("e")).select("image_id", "e.pi", "e.gi", "e.overlap", "e.confidence", "e.pc", "e.gc")
+
+    @property
+    def matches(self) -> DataFrame:
+        return self._exploded("matches").withColumnRenamed("gc", "class_id").drop("pc")
+
+    @property
+    def confusions(self) -> DataFrame:
+        return self._exploded("confusions")
+
+    @property
+    def localizations(self) -> DataFrame:
+        return self._exploded("localizations")
+
+
+def _corners(box: Column) -> list[Column]:
+    return [box[c] for c in _CORNERS]
+
+
+def _fold(pairs: Column, order) -> Column:
+    """Pairs accepted greedily in an order (a function of a pair to columns): those of which neither end is taken."""
+    ranked = F.array_sort(F.transform(pairs, lambda e: F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order(e))), e.alias("e"))))
+    free = lambda done, e: ~F.exists(done, lambda d: (d["pi"] == e["pi"]) | (d["gi"] == e["gi"]))
+    return F.aggregate(F.transform(ranked, lambda r: r["e"]), F.array().cast(_PAIR), lambda done, e: F.when(free(done, e), F.array_append(done, e)).otherwise(done))
+
+
+def _match_order(e: Column) -> list[Column]:
+    return [-e["confidence"], *_corners(e["p"]), e["pi"], -e["overlap"], *_corners(e["g"]), e["gi"]]
+
+
+def _residual_order(e: Column) -> list[Column]:
+    return [-e["overlap"], -e["confidence"], e["pc"], *_corners(e["p"]), e["gc"], *_corners(e["g"]), e["pi"], e["gi"]]
+
+
+def _in(pairs: str | Column, end: str, value: Column) -> Column:
+    return F.exists(pairs, lambda m: m[end] == value)
 
 
 def outcome(images: DataFrame, gt: DataFrame, pred: DataFrame, at: Point) -> Outcome:
-    kept = pred.where(F.col("confidence") >= F.lit(at.confidence))
-    matches = cut(m.match(gt, kept, at.overlap))  # ids and overlaps, read by every relation below
-    left_gt, left_pred = m.unmatched(gt, matches, "gi"), m.unmatched(kept, matches, "pi")
-    confusions = cut(m.residual_pairs(left_gt, left_pred, at.overlap, None, same_class=False))
-    near = cut(m.residual_pairs(m.unmatched(left_gt, confusions, "gi"), m.unmatched(left_pred, confusions, "pi"), at.floor, at.overlap, same_class=True))
-    return Outcome(images, gt, pred, kept, matches, confusions, near)
+    """gt (image_id, gi, class_id, box) and pred (image_id, pi, class_id, confidence, box), matched and paired at a point."""
+    box = F.struct(*_CORNERS).alias("box")
+    g_ = gt.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("gi").cast("int").alias("gi"), "class_id", box))).alias("gts"))
+    p_ = pred.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pi").cast("int").alias("pi"), "class_id", F.col("confidence").cast("double").alias("confidence"), box))).alias("preds"))
+    empty = lambda df, c: F.coalesce(c, F.array().cast(df.schema[c].dataType))
+    rows = g_.join(p_, "image_id", "full_outer").select("image_id", empty(g_, "gts").alias("gts"), empty(p_, "preds").alias("preds"))
+
+    def pair(p: Column, t: Column) -> Column:
+        return F.struct(p["pi"].alias("pi"), t["gi"].alias("gi"), p["class_id"].alias("pc"), t["class_id"].alias("gc"), p["confidence"].alias("confidence"), g.iou(_corners(p["box"]), _corners(t["box"])).alias("overlap"), p["box"].alias("p"), t["box"].alias("g"))
+
+    rows = rows.withColumn("pairs", F.flatten(F.transform("preds", lambda p: F.transform("gts", lambda t: pair(p, t)))).cast(_PAIR))
+    kept = lambda e: e["confidence"] >= F.lit(at.confidence)
+    full = lambda e: e["overlap"] >= F.lit(at.overlap)
+    loose = lambda e, *taken: ~reduce(or_, (_in(t, end, e[end]) for t in taken for end in ("pi", "gi")))
+    rows = rows.withColumn("matches", _fold(F.filter("pairs", lambda e: kept(e) & full(e) & (e["pc"] == e["gc"])), _match_order))
+    rows = rows.withColumn("confusions", _fold(F.filter("pairs", lambda e: kept(e) & full(e) & (e["pc"] != e["gc"]) & loose(e, "matches")), _residual_order))
+    close = lambda e: (e["overlap"] >= F.lit(at.floor)) & (e["overlap"] < F.lit(at.overlap))
+    rows = rows.withColumn("localizations", _fold(F.filter("pairs", lambda e: kept(e) & close(e) & (e["pc"] == e["gc"]) & loose(e, "matches", "confusions")), _residual_order))
+    return Outcome(images, gt, pred, pred.where(F.col("confidence") >= F.lit(at.confidence)), rows, at)
+
+
+def _missed(t: Column) -> Column:
+    return ~_in("matches", "gi", t["gi"])
+
+
+def _false(o: Outcome, p: Column) -> Column:
+    return (p["confidence"] >= F.lit(o.at.confidence)) & ~_in("matches", "pi", p["pi"])
 
 
 def confusion_matrix(o: Outcome) -> DataFrame:
     """(true_class, predicted_class, count), the full square of classes and background."""
-    right = o.matches.select(code(F.col("class_id")).alias("true_class"), code(F.col("class_id")).alias("predicted_class"))
-    wrong = o.confusions.select(code(F.col("gc")).alias("true_class"), code(F.col("pc")).alias("predicted_class"))
-    gone = m.unmatched(m.unmatched(o.gt, o.matches, "gi"), o.confusions, "gi").select(code(F.col("class_id")).alias("true_class"), F.lit(BACKGROUND).alias("predicted_class"))
-    extra = m.unmatched(m.unmatched(o.kept, o.matches, "pi"), o.confusions, "pi").select(F.lit(BACKGROUND).alias("true_class"), code(F.col("class_id")).alias("predicted_class"))
-    counts = right.unionByName(wrong).unionByName(gone).unionByName(extra).groupBy("true_class", "predicted_class").agg(F.count("*").alias("count"))
+    cell = lambda t, p: F.struct(t.alias("t"), p.alias("p"))
+    none = F.lit(BACKGROUND)
+    cells = F.concat(
+        F.transform("matches", lambda e: cell(code(e["gc"]), code(e["pc"]))), F.transform("confusions", lambda e: cell(code(e["gc"]), code(e["pc"]))),
+        F.transform(F.filter("gts", lambda t: _missed(t) & ~_in("confusions", "gi", t["gi"])), lambda t: cell(code(t["class_id"]), none)),
+        F.transform(F.filter("preds", lambda p: _false(o, p) & ~_in("confusions", "pi", p["pi"])), lambda p: cell(none, code(p["class_id"]))),
+    )
+    counts = o.rows.select(F.explode(cells).alias("c")).groupBy(F.col("c.t").alias("true_class"), F.col("c.p").alias("predicted_class")).agg(F.count("*").alias("count"))
     labels = F.array(*map(F.lit, (*CODES, BACKGROUND)))
     square = o.gt.sparkSession.range(1).select(F.explode(labels).alias("true_class")).select("true_class", F.explode(labels).alias("predicted_class"))
     return square.join(counts, ["true_class", "predicted_class"], "left").na.fill(0, ["count"])
 
 
-def _all_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    return m.candidate_edges(gt, pred, None)
+def _best(pairs: Column | str, condition, prefer, value) -> Column:
+    """Value of the pair that is greatest by ``prefer`` among those that meet the condition, null if none does."""
+    ranked = F.transform(F.filter(pairs, condition), lambda e: F.struct(*(c.alias(f"k{i}") for i, c in enumerate(prefer(e))), value(e).alias("v")))
+    return F.array_max(ranked)["v"]
+
+
+def _first(pairs: str, end: str, of: Column, value) -> Column:
+    """Value of the pair that ``of`` is an end of; it is in one pair at most."""
+    return F.get(F.transform(F.filter(pairs, lambda e: e[end] == of), value), F.lit(0))
 
 
-def _best(condition: Column, prefer: list[Column], *values: Column) -> Column:
-    """Aggregate: values of the row that is greatest by prefer among those that meet the condition, null if none does."""
-    key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(prefer)))
-    return F.max_by(F.struct(*values), F.when(condition, key))
+def _seen(e: Column) -> Column:
+    return F.struct(e["pc"].alias("c"), e["confidence"].alias("s"), e["overlap"].alias("o"))
+
+
+def _shown(e: Column) -> Column:
+    return F.struct(e["overlap"].alias("o"), e["gc"].alias("c"))
 
 
 def misses(o: Outcome, at: Point) -> DataFrame:
@@ -85,52 +164,54 @@ def misses(o: Outcome, at: Point) -> DataFrame:
     poor_localization by the residual pairs, then below_frozen_confidence by a candidate under the threshold, else
     no_matching_candidate with the best overlapping retained prediction.
     """
-    missed = m.unmatched(o.gt, o.matches, "gi")
-    pairs = _all_pairs(missed, o.raw)
-    negated = [-c for c in g.box("p")]
-    values = (F.col("pc").alias("c"), F.col("confidence").alias("s"), F.col("overlap").alias("o"))
-    below = (F.col("confidence") < F.lit(at.confidence)) & (F.col("pc") == F.col("gc")) & (F.col("overlap") >= F.lit(at.overlap))
-    kept = F.col("confidence") >= F.lit(at.confidence)
-    best = pairs.groupBy("image_id", "gi").agg(
-        _best(below, [F.col("confidence"), F.col("overlap"), *negated, -F.col("pi")], *values).alias("below"),
-        _best(kept, [F.col("overlap"), F.col("confidence"), *negated, -F.col("pi")], *values).alias("any"),
-    )
-    pair = lambda df, p: df.select("image_id", "gi", F.struct(F.col("pc").alias("c"), F.col("confidence").alias("s"), F.col("overlap").alias("o")).alias(p))
-    j = missed.join(best, ["image_id", "gi"], "left").join(pair(o.confusions, "confused"), ["image_id", "gi"], "left").join(pair(o.localizations, "near"), ["image_id", "gi"], "left")
+    kept = lambda e: e["confidence"] >= F.lit(at.confidence)
+    last = lambda e: [*(-c for c in _corners(e["p"])), -e["pi"]]
+
+    def diagnosed(t: Column) -> Column:
+        mine = F.filter("pairs", lambda e: e["gi"] == t["gi"])
+        below = lambda e: ~kept(e) & (e["pc"] == e["gc"]) & (e["overlap"] >= F.lit(at.overlap))
+        return F.struct(
+            t.alias("t"), _first("confusions", "gi", t["gi"], _seen).alias("confused"), _first("localizations", "gi", t["gi"], _seen).alias("near"),
+            _best(mine, below, lambda e: [e["confidence"], e["overlap"], *last(e)], _seen).alias("below"), _best(mine, kept, lambda e: [e["overlap"], e["confidence"], *last(e)], _seen).alias("any"),
+        )
+
+    j = o.rows.select("image_id", F.explode(F.transform(F.filter("gts", _missed), diagnosed)).alias("x")).select("image_id", "x.*")
     diagnosis = F.when(F.col("confused").isNotNull(), "class_confusion").when(F.col("near").isNotNull(), "poor_localization").when(F.col("below").isNotNull(), "below_frozen_confidence").otherwise("no_matching_candidate")
     d = F.coalesce("confused", "near", "below", "any")
-    return j.select("image_id", "gi", "class_id", *("x1", "y1", "x2", "y2"), diagnosis.alias("diagnosis"), d["c"].alias("diagnostic_class"), d["s"].alias("diagnostic_confidence"), F.coalesce(d["o"], F.lit(0.0)).alias("diagnostic_iou"))
+    return j.select("image_id", "t.gi", "t.class_id", "t.box.*", diagnosis.alias("diagnosis"), d["c"].alias("diagnostic_class"), d["s"].alias("diagnostic_confidence"), F.coalesce(d["o"], F.lit(0.0)).alias("diagnostic_iou"))
 
 
 def alarms(o: Outcome, at: Point) -> DataFrame:
     """Diagnosed false positives, first vocabulary: (image_id, pi, class_id, confidence, diagnosis, related_class, best_iou, high_confidence)."""
-    false = m.unmatched(o.kept, o.matches, "pi")
-    best = _all_pairs(o.gt, false).groupBy("image_id", "pi").agg(F.max(F.struct(F.col("overlap").alias("o"), F.col("gc").alias("c"))).alias("any"))
-    pair = lambda df, p: df.select("image_id", "pi", F.struct(F.col("overlap").alias("o"), F.col("gc").alias("c")).alias(p))
-    j = false.join(best, ["image_id", "pi"], "left").join(pair(o.confusions, "confused"), ["image_id", "pi"], "left").join(pair(o.localizations, "near"), ["image_id", "pi"], "left")
+
+    def diagnosed(p: Column) -> Column:
+        best = F.array_max(F.transform(F.filter("pairs", lambda e: e["pi"] == p["pi"]), _shown))
+        return F.struct(p.alias("p"), _first("confusions", "pi", p["pi"], _shown).alias("confused"), _first("localizations", "pi", p["pi"], _shown).alias("near"), best.alias("any"))
+
+    j = o.rows.select("image_id", F.explode(F.transform(F.filter("preds", lambda p: _false(o, p)), diagnosed)).alias("x")).select("image_id", "x.*")
     overlap = F.col("any.o")
     diagnosis = (
         F.when(F.col("confused").isNotNull(), "class_confusion").when(F.col("near").isNotNull(), "poor_localization").when(F.col("any").isNull(), "negative_image")
         .when(overlap >= F.lit(at.overlap), "duplicate_or_competing_overlap").when(overlap >= F.lit(at.floor), "nearby_unmatched_pattern").otherwise("background_or_unlabelled_pattern")
     )
     d = F.coalesce("confused", "near", "any")
-    return j.select("image_id", "pi", "class_id", "confidence", *("x1", "y1", "x2", "y2"), diagnosis.alias("diagnosis"), d["c"].alias("related_class"), F.coalesce(d["o"], F.lit(0.0)).alias("best_iou"), (F.col("confidence") >= F.lit(at.high)).alias("high_confidence"))
+    return j.select("image_id", "p.pi", "p.class_id", "p.confidence", "p.box.*", diagnosis.alias("diagnosis"), d["c"].alias("related_class"), F.coalesce(d["o"], F.lit(0.0)).alias("best_iou"), (F.col("p.confidence") >= F.lit(at.high)).alias("high_confidence"))
 
 
 def misses_exclusive(o: Outcome, at: Point) -> DataFrame:
     """Diagnosed false negatives, second vocabulary: one category by priority, and which evidence there was."""
-    missed = m.unmatched(o.gt, o.matches, "gi")
-    taken = o.matches.select("image_id", "pi", F.lit(True).alias("taken"))
-    pairs = _all_pairs(missed, o.raw).join(taken, ["image_id", "pi"], "left")
-    same, kept, full = F.col("pc") == F.col("gc"), F.col("confidence") >= F.lit(at.confidence), F.col("overlap") >= F.lit(at.overlap)
-    prefer = [F.col("overlap"), F.col("confidence"), -F.col("pc"), *(-c for c in g.box("p")), -F.col("pi")]
-    values = (F.col("pc").alias("c"), F.col("confidence").alias("s"), F.col("overlap").alias("o"))
+    same, kept, full = (lambda e: e["pc"] == e["gc"]), (lambda e: e["confidence"] >= F.lit(at.confidence)), (lambda e: e["overlap"] >= F.lit(at.overlap))
+    prefer = lambda e: [e["overlap"], e["confidence"], -e["pc"], *(-c for c in _corners(e["p"])), -e["pi"]]
     kinds = {
-        "below": same & ~kept & full, "competition": same & kept & full & F.coalesce("taken", F.lit(False)), "localization": same & kept & ~full & (F.col("overlap") >= F.lit(at.floor)),
-        "wrong": ~same & kept & full, "any": F.lit(True),
+        "below": lambda e: same(e) & ~kept(e) & full(e), "competition": lambda e: same(e) & kept(e) & full(e) & _in("matches", "pi", e["pi"]),
+        "localization": lambda e: same(e) & kept(e) & ~full(e) & (e["overlap"] >= F.lit(at.floor)), "wrong": lambda e: ~same(e) & kept(e) & full(e), "any": lambda e: F.lit(True),
     }
-    best = pairs.groupBy("image_id", "gi").agg(*(_best(c, prefer, *values).alias(k) for k, c in kinds.items()))
-    j = missed.join(best, ["image_id", "gi"], "left")
+
+    def diagnosed(t: Column) -> Column:
+        mine = F.filter("pairs", lambda e: e["gi"] == t["gi"])
+        return F.struct(t.alias("t"), *(_best(mine, c, prefer, _seen).alias(k) for k, c in kinds.items()))
+
+    j = o.rows.select("image_id", F.explode(F.transform(F.filter("gts", _missed), diagnosed)).alias("x")).select("image_id", "x.*")
     there = lambda k: F.col(k).isNotNull()
     category = (
         F.when(there("below"), "below_confidence_same_class_iou_ge_0.50").when(there("competition"), "same_class_matching_competition_iou_ge_0.50")
@@ -138,20 +219,21 @@ def misses_exclusive(o: Outcome, at: Point) -> DataFrame:
         .when(there("wrong"), "wrong_class_overlap_iou_ge_0.50").otherwise(NO_CANDIDATE)
     )
     d = F.coalesce("below", "competition", "localization", "wrong", "any")
-    return j.select("image_id", "gi", "class_id", category.alias("category"), F.coalesce(d["o"], F.lit(0.0)).alias("diagnostic_iou"), d["s"].alias("diagnostic_confidence"), d["c"].alias("diagnostic_class"), *(there(k).alias(f"has_{k}") for k in ("below", "competition", "localization", "wrong")))
+    return j.select("image_id", "t.gi", "t.class_id", category.alias("category"), F.coalesce(d["o"], F.lit(0.0)).alias("diagnostic_iou"), d["s"].alias("diagnostic_confidence"), d["c"].alias("diagnostic_class"), *(there(k).alias(f"has_{k}") for k in ("below", "competition", "localization", "wrong")))
 
 
 def alarms_exclusive(o: Outcome) -> DataFrame:
     """Diagnosed false positives, second vocabulary: (image_id, pi, class_id, confidence, category, best_iou, related_class)."""
-    false = m.unmatched(o.kept, o.matches, "pi")
-    same = F.col("pc") == F.col("gc")
-    prefer = [F.col("overlap"), -F.col("gc"), *(-c for c in g.box("g")), -F.col("gi")]
-    values = (F.col("gc").alias("c"), F.col("overlap").alias("o"))
-    best = _all_pairs(o.gt, false).groupBy("image_id", "pi").agg(_best(same, prefer, *values).alias("same"), _best(~same, prefer, *values).alias("other"), F.count("*").alias("n"))
-    j = false.join(best, ["image_id", "pi"], "left")
+    prefer = lambda e: [e["overlap"], -e["gc"], *(-c for c in _corners(e["g"])), -e["gi"]]
+
+    def diagnosed(p: Column) -> Column:
+        mine = F.filter("pairs", lambda e: e["pi"] == p["pi"])
+        return F.struct(p.alias("p"), _best(mine, lambda e: e["pc"] == e["gc"], prefer, _shown).alias("same"), _best(mine, lambda e: e["pc"] != e["gc"], prefer, _shown).alias("other"))
+
+    j = o.rows.select("image_id", F.explode(F.transform(F.filter("preds", lambda p: _false(o, p)), diagnosed)).alias("x")).select("image_id", "x.*")
     s, d = F.coalesce("same.o", F.lit(0.0)), F.coalesce("other.o", F.lit(0.0))
     cases = [
-        (F.col("n").isNull(), "negative_only_image", None), (s >= 0.5, "native_end2end_same_class_overlap_unmatched_iou_ge_0.50", "same"), (d >= 0.5, "wrong_class_overlap_iou_ge_0.50", "other"),
+        (F.col("same").isNull() & F.col("other").isNull(), "negative_only_image", None), (s >= 0.5, "native_end2end_same_class_overlap_unmatched_iou_ge_0.50", "same"), (d >= 0.5, "wrong_class_overlap_iou_ge_0.50", "other"),
         (s >= F.lit(0.3), "localization_same_class_iou_0.30_to_0.50", "same"), (s >= F.lit(0.1), "localization_same_class_iou_0.10_to_0.30", "same"), (d >= F.lit(0.1), "wrong_class_weak_overlap_iou_0.10_to_0.50", "other"),
     ]
     category = F.lit("positive_image_unmatched_iou_below_0.10")
@@ -159,7 +241,7 @@ def alarms_exclusive(o: Outcome) -> DataFrame:
     for condition, name, side in reversed(cases):
         category = F.when(condition, name).otherwise(category)
         related = F.when(condition, F.col(side) if side else F.lit(None)).otherwise(related)
-    return j.select("image_id", "pi", "class_id", "confidence", category.alias("category"), F.coalesce(related["o"], F.lit(0.0)).alias("best_iou"), related["c"].alias("related_class"))
+    return j.select("image_id", "p.pi", "p.class_id", "p.confidence", category.alias("category"), F.coalesce(related["o"], F.lit(0.0)).alias("best_iou"), related["c"].alias("related_class"))
 
 
 def first_to_second(diagnosis: Column, overlap: Column) -> Column:
@@ -190,14 +272,12 @@ def category_counts(rows: DataFrame, category: str, by: list[str] | None = None)
 
 def described(o: Outcome) -> DataFrame:
     """Ground truth with outcome and descriptive buckets: size, aspect ratio and density of its image."""
-    sized = o.gt.join(o.images.select("image_id", "site", "width", "height"), "image_id")
-    density = o.gt.groupBy("image_id").agg(F.count("*").alias("density"))
-    hit = o.matches.select("image_id", "gi", F.lit(True).alias("hit"))
-    j = sized.join(density, "image_id").join(hit, ["image_id", "gi"], "left")
+    each = o.rows.select("image_id", F.size("gts").alias("density"), F.explode(F.transform("gts", lambda t: F.struct(t.alias("t"), _in("matches", "gi", t["gi"]).alias("hit")))).alias("x"))
+    j = each.select("image_id", "density", "x.t.gi", "x.t.class_id", "x.hit", "x.t.box.*").join(o.images.select("image_id", "site", "width", "height"), "image_id")
     b = g.box()
     return j.select(
-        "image_id", "gi", "class_id", "site", F.coalesce("hit", F.lit(False)).alias("hit"), g.bucket(g.relative_area(b, F.col("width"), F.col("height")), SIZES).alias("size"),
-        g.bucket(g.aspect_ratio(b), ASPECTS).alias("aspect"), g.bucket(F.col("density").cast("double"), DENSITIES).alias("density"),
+        "image_id", "gi", "class_id", "site", "hit", g.bucket(g.relative_area(b, F.col("width"), F.col("height")), SIZES).alias("size"), g.bucket(g.aspect_ratio(b), ASPECTS).alias("aspect"),
+        g.bucket(F.col("density").cast("double"), DENSITIES).alias("density"),
     )
 
 
@@ -232,6 +312,7 @@ def ranked_queues(o: Outcome, at: Point, limit: int = 25) -> DataFrame:
 
     A window per queue keeps only the first rows per partition before it orders them (top-k pushdown).
     """
+    o = replace(o, rows=cut(o.rows))  # read by every queue
     fn, fp = cut(misses(o, at)), cut(alarms(o, at))
     site = o.images.select("image_id", "site")
     none_s, none_d, none_i = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("long")
@@ -276,12 +357,13 @@ def model_delta(a: DataFrame, b: DataFrame, keys: list[str], values: list[str])
 
 def class_error_rows(o: Outcome, at: Point) -> DataFrame:
     """Per class: support, positive images, predictions, rates, confusions, localization errors, high-confidence alarms."""
+    o = replace(o, rows=cut(o.rows))  # read by every count
     rows = per_class(o.gt, o.kept, o.matches)
     extra = {
         "positive_images": o.gt.groupBy("class_id").agg(F.count_distinct("image_id").alias("positive_images")),
         "confusions": o.confusions.groupBy(F.col("pc").alias("class_id")).agg(F.count("*").alias("confusions")),
         "localization_errors": o.localizations.groupBy(F.col("gc").alias("class_id")).agg(F.count("*").alias("localization_errors")),
-        "high_confidence_fp": m.unmatched(o.kept, o.matches, "pi").where(F.col("confidence") >= F.lit(at.high)).groupBy("class_id").agg(F.count("*").alias("high_confidence_fp")),
+        "high_confidence_fp": o.rows.select(F.explode(F.filter("preds", lambda p: _false(o, p) & (p["confidence"] >= F.lit(at.high)))).alias("p")).groupBy(F.col("p.class_id").alias("class_id")).agg(F.count("*").alias("high_confidence_fp")),
     }
     for df in extra.values():
         rows = rows.join(F.broadcast(df), "class_id", "left")  # one row a class

@@ -141,7 +141,9 @@ def _recall(dimension, definitions):
 
 def confidence_quantiles(s, d):
     o = _outcome(s, d)
-    rows = o.kept.join(o.matches.select("image_id", "pi", F.lit("TP").alias("outcome")), ["image_id", "pi"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("FP")))
+    hit = lambda p: F.exists("matches", lambda m_: m_["pi"] == p["pi"])
+    kept = F.filter("preds", lambda p: p["confidence"] >= F.lit(AT.confidence))
+    rows = o.rows.select(F.explode(F.transform(kept, lambda p: F.struct(F.when(hit(p), "TP").otherwise("FP").alias("outcome"), p["class_id"].alias("class_id"), p["confidence"].alias("confidence")))).alias("x")).select("x.*")
     return e.nearest_rank_quantiles(rows, ["outcome", "class_id"], "confidence").withColumn("mean", F.round("mean", 9))
 
 
