@@ -94,7 +94,7 @@ def support_counts(s, d):
     )
 
 
-def event_violations(s, d):
+def session_violations(s, d):
     """Stored sessions that contradict themselves; faults are planted (see ``curation._stored_sessions``), and some extents are turned round."""
     e = c._stored_sessions(s, d)[1].withColumn("first_frame", F.when(F.col("island") % 13 == 0, F.col("last_frame") + 1).otherwise(F.col("first_frame")))
     rules = {
@@ -104,7 +104,7 @@ def event_violations(s, d):
     return reconcile.violations(e, rules).select("video_id", "class_id", "island", F.array_join("broken", ",").alias("broken"))
 
 
-def event_rules(s, d):
+def event_violations(s, d):
     """Events that contradict themselves; those whose timestamps run backwards between frames come out."""
     e = c.event_summary(s, d)
     rules = {
@@ -152,7 +152,7 @@ def active_streams(s, d):
 def queries():
     named = (
         decoded_labels, sample_inventory, clipped_boxes, frame_records, detection_lines, export_plan, hash_mismatches, guard_losses, dimension_distribution, repeated_filenames, extreme_boxes, cache_violations,
-        support_counts, event_violations, event_rules, split_objective, label_text_digests, gray_hashes, object_dispositions, active_streams,
+        support_counts, session_violations, event_violations, split_objective, label_text_digests, gray_hashes, object_dispositions, active_streams,
     )
     return {f.__name__: f for f in named}
 
@@ -183,7 +183,7 @@ x AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY area, detectio
 SELECT class_id, 'smallest' AS "end", a::INT AS rank, detection_id, area FROM x WHERE a <= 3 UNION ALL SELECT class_id, 'largest', b::INT, detection_id, area FROM x WHERE b <= 3""",
         "cache_violations": f"WITH {with_clause('boxes')}, x AS (SELECT image_id, idx, concat_ws(',', CASE WHEN class_id NOT BETWEEN 0 AND 3 THEN 'class' END, CASE WHEN confidence <= 0.05::DOUBLE THEN 'confidence' END, CASE WHEN NOT (x2 > x1 AND y2 > y1) THEN 'area' END, CASE WHEN NOT (x2 <= 40 AND y2 <= 100) THEN 'bounds' END) AS broken FROM boxes) SELECT * FROM x WHERE broken <> ''",
         "support_counts": f"WITH {with_clause('gt', 'sites')}, n AS (SELECT image_id, count(*) AS t FROM gt GROUP BY 1) SELECT site, count(*) AS images, count(t) AS positive, count(*) - count(t) AS negative, coalesce(sum(t), 0)::BIGINT AS targets FROM sites LEFT JOIN n USING (image_id) GROUP BY 1",
-        "event_violations": f"""WITH {c._OBS}, {c._SESSION}, g AS (SELECT video_id, class_id, min(frame_index) AS island, max(frame_index) AS hi, count(*) AS n, max(confidence) AS top FROM ses GROUP BY video_id, class_id, s),
+        "session_violations": f"""WITH {c._OBS}, {c._SESSION}, g AS (SELECT video_id, class_id, min(frame_index) AS island, max(frame_index) AS hi, count(*) AS n, max(confidence) AS top FROM ses GROUP BY video_id, class_id, s),
 e AS (SELECT video_id, class_id, island, CASE WHEN island % 13 = 0 THEN hi + 1 ELSE island END AS lo, hi, n + CASE WHEN island % 7 = 0 THEN 1 ELSE 0 END AS n, top FROM g WHERE island % 11 <> 0),
 x AS (SELECT video_id, class_id, island, concat_ws(',', CASE WHEN lo > hi THEN 'extent' END, CASE WHEN lo <> island THEN 'start' END, CASE WHEN n <= 1 AND lo <> hi THEN 'single' END, CASE WHEN top NOT BETWEEN 0 AND 1 THEN 'confidence' END) AS broken FROM e) SELECT * FROM x WHERE broken <> ''""",
         "label_text_digests": f"WITH {_EXP} SELECT canonical_image_id, sha256(coalesce(label_text, '')) AS sha, md5(coalesce(label_text, '')) AS md5 FROM ex",
