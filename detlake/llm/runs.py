@@ -75,19 +75,67 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Pairs of boxes compared at once, and links kept before they are reduced to one a row.
+_COMPARED, _LINKS = 1_000_000, 2_000_000
+
+
+def _linked(frame_of: np.ndarray, group: np.ndarray, box: np.ndarray, gap: int, min_iou: float) -> np.ndarray:
+    """The smallest index connected with each box; boxes are sorted by group (island and frame) and then x1.
+
+    Boxes that overlap by t have left edges within (1 - t) of the left one's width or (1 - t) / t of the other's, so a
+    box is compared with a range of another frame's boxes and not with all of them. Links are reduced as they come.
+    """
+    n, left = len(group), np.zeros(0, np.int64)
+    right = left
+    order = np.sort(box[:, 0])
+    rank = lambda x, side: np.searchsorted(order, x, side)
+    keys = group * (n + 2) + rank(box[:, 0], "left")
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    island, frame = frame_of[0][first], frame_of[1][first]
+    wide = np.maximum(box[:, 2] - box[:, 0], 0)
+    with np.errstate(invalid="ignore", over="ignore"):
+        low, high = box[:, 0] - wide * ((1 - min_iou) / min_iou if min_iou > 0 else np.inf), box[:, 0] + wide * (1 - min_iou)
+        slack = 1e-9 * (np.abs(box[:, 0]) + wide)  # rounding of the bounds loses no pair
+        low, high = (np.where(np.isfinite(x), x, e) for x, e in ((low - slack, -np.inf), (high + slack, np.inf)))
+    low, high = rank(low, "left"), rank(high, "right")
+    for ahead in range(1, gap + 1):  # groups are different frames, so those within the gap are the next ones
+        there = np.arange(len(first)) + ahead
+        ok = there < len(first)
+        ok[ok] = (island[there[ok]] == island[np.flatnonzero(ok)]) & (frame[there[ok]] - frame[np.flatnonzero(ok)] <= gap)
+        who = np.flatnonzero(ok[group])
+        if not len(who):
+            break
+        target = there[group[who]] * (n + 2)
+        begin, end = np.searchsorted(keys, target + low[who]), np.searchsorted(keys, target + high[who])
+        ends = np.cumsum(end - begin)
+        for at in range(0, int(ends[-1]), _COMPARED):
+            k = np.arange(at, min(at + _COMPARED, int(ends[-1])))
+            row = np.searchsorted(ends, k, side="right")
+            i, j = who[row], begin[row] + k - (ends[row] - (end[row] - begin[row]))
+            close = overlap(box[i], box[j]) >= min_iou
+            left, right = np.r_[left, i[close]], np.r_[right, j[close]]
+            if len(left) > _LINKS:
+                value = components(n, left, right)
+                left = np.flatnonzero(value != np.arange(n))
+                right = value[left]
+    return components(n, left, right)
+
+
 def _local_runs(island: np.ndarray, frame: np.ndarray, det: np.ndarray, box: np.ndarray, gap: int, min_iou: float):
     """Rows sorted by island, frame and detection -> (order, starts): rows laid out by run and where the runs begin."""
-    n, left, right = len(frame), [], []
-    for shift in range(1, n):
-        near = (island[shift:] == island[:-shift]) & (frame[shift:] - frame[:-shift] <= gap)
-        if not near.any():
-            break
-        i = np.flatnonzero(near & (frame[shift:] > frame[:-shift]))
-        j = i + shift
-        ok = overlap(box[i], box[j]) >= min_iou
-        left.append(i[ok])
-        right.append(j[ok])
-    value = components(n, np.concatenate(left), np.concatenate(right)) if left else np.arange(n)
+    n = len(frame)
+    laid = np.lexsort((box[:, 3], box[:, 2], box[:, 1], box[:, 0], frame, island))
+    i_, f_, b_ = island[laid], frame[laid], box[laid]
+    new_group = np.r_[True, (i_[1:] != i_[:-1]) | (f_[1:] != f_[:-1])]
+    fresh = new_group | np.r_[True, (b_[1:] != b_[:-1]).any(axis=1)]  # equal boxes of a frame are compared once
+    reps = np.flatnonzero(fresh)
+    root = _linked((i_[reps], f_[reps]), (np.cumsum(new_group) - 1)[reps], b_[reps], gap, min_iou)
+    of = np.cumsum(fresh) - 1
+    # equal boxes are in one run if anything links them with another frame, else each is its own
+    linked = np.bincount(root, minlength=len(reps))[root] > 1
+    value_laid = np.where(linked[of], laid[reps[root[of]]], laid)
+    value = np.empty(n, np.int64)
+    value[laid] = value_laid
     order = np.lexsort((np.arange(n), value, island))
     key = row_number_difference(island[order], value[order])
     starts = np.flatnonzero(np.r_[True, (island[order][1:] != island[order][:-1]) | (key[1:] != key[:-1])])

@@ -79,3 +79,37 @@ def test_earliest_delivery_wins(spark):
 def test_difference_of_row_numbers():
     entity, value = np.array([1, 1, 1, 1, 2, 2]), np.array([5, 5, 7, 7, 5, 5])
     assert runs.row_number_difference(entity, value).tolist() == [0, 0, 2, 2, 0, 0]
+
+
+def _labels(island, frame, det, box):
+    order, starts = runs._local_runs(island, frame, det, box, 3, 0.6)
+    out = np.empty(len(frame), np.int64)
+    for n, rows in enumerate(np.split(order, starts[1:])):
+        out[rows] = n
+        assert (np.diff(frame[rows]) >= 0).all()
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ranges_lose_no_link(seed):
+    rng = np.random.default_rng(seed)
+    n = 220
+    frame = np.sort(rng.integers(0, (4, 40)[seed % 2], n))
+    island = np.r_[0, np.cumsum(np.diff(frame) > 3)]
+    low = rng.choice([0.0, 0.1, 0.12, 0.5, -0.3], (n, 2)) + rng.normal(0, 0.01, (n, 2)) * (seed > 1)
+    box = np.c_[low, low + rng.choice([0.2, 0.21, 0.3, 0.0, -0.1, np.inf], (n, 2), p=[0.4, 0.2, 0.3, 0.04, 0.03, 0.03])]
+    got = _labels(island, frame, np.arange(n), box)
+    a, b = np.nonzero((np.subtract.outer(frame, frame) >= 1) & (np.subtract.outer(frame, frame) <= 3) & (np.subtract.outer(island, island) == 0))
+    ok = runs.overlap(box[a], box[b]) >= 0.6
+    want = runs.components(n, a[ok], b[ok])
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_many_rows_of_one_frame():
+    """A default frame index that very many observations share, some with equal boxes, isn't compared pair by pair."""
+    n = 60_000
+    rng = np.random.default_rng(1)
+    low = np.where((np.arange(n) % 3 == 0)[:, None], 0.5, rng.random((n, 2)) * 100)
+    frame = np.repeat([0, 1], n // 2)
+    got = _labels(np.zeros(n, np.int64), frame, np.arange(n), np.c_[low, low + 0.05])
+    assert len(set(got[::3])) == 1 and len(set(got)) > n // 2
