@@ -56,6 +56,19 @@ def numbered(rows: DataFrame, keys: list[str], at: str, tie: list[str], block: i
     return rows.join(sizes, on).withColumn(name, F.col("_o") + F.col("_r")).drop("_b", "_r", "_o", *(f"_k{i}" for i in range(len(keys) + 1)))
 
 
+def previous(rows: DataFrame, keys: list[str], at: str, tie: list[str], value: str, block: int, name: str = "previous") -> DataFrame:
+    """Add the value of the row before (by order column and ties), null for a key's first; ``value`` itself must not be null."""
+    rows = rows.withColumn("_b", F.floor(F.col(at) / block))
+    inside = F.lag(value).over(W.partitionBy(*keys, "_b").orderBy(at, *tie))
+    last = rows.groupBy(*keys, "_b").agg(F.max_by(value, F.struct(at, *tie)).alias("_last"))
+    carried = F.lag("_last").over(W.partitionBy(*keys).orderBy("_b"))
+    last = last.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "_b"])), carried.alias("_before"))
+    on = F.lit(True)
+    for i, c in enumerate([*keys, "_b"]):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.withColumn("_in", inside).join(last, on).withColumn(name, F.coalesce("_in", "_before")).drop("_b", "_in", "_before", *(f"_k{i}" for i in range(len(keys) + 1)))
+
+
 def cumulated(rows: DataFrame, keys: list[str], at: str, sums: list[str], parts: int = 64) -> DataFrame:
     """Add, for each of ``sums``, its total over the key up to this row's order value (``<c>_upto``) and over all (``<c>_of``).
 

@@ -146,7 +146,10 @@ def candidate_frames(specs: DataFrame, avoid: DataFrame) -> DataFrame:
     return frames.join(r, (F.col("video_id") == F.col("v")) & (at >= F.col("s")) & (at <= F.col("e")), "left_anti").select("video_id", "spec", "frame_index")
 
 
-def lag_difference(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Absolute difference to the previous row that has a value; rows without one are left out."""
-    w = W.partitionBy(*by).orderBy(order)
-    return rows.where(F.col(value).isNotNull()).withColumn("difference", F.abs(F.col(value) - F.lag(value).over(w)))
+def lag_difference(rows: DataFrame, by: list[str], order: str, value: str, block: int = 3600) -> DataFrame:
+    """Absolute difference to the previous row that has a value; rows without one are left out.
+
+    Rows are ordered within blocks of the order column, so no task orders a whole group.
+    """
+    before = ordered.previous(rows.where(F.col(value).isNotNull()), by, order, [], value, block, "_p")
+    return before.withColumn("difference", F.abs(F.col(value) - F.col("_p"))).drop("_p")

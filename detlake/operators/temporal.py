@@ -143,8 +143,8 @@ def observations(detections: DataFrame, videos: DataFrame, default_fps: float =
     """Valid observations, each detection once (the first delivery), with the video's frame rate.
 
     Valid: known video, class 0..3, frame and index; confidence and relative area in 0..1; a finite box with ordered
-    corners within 0..1. Of several rows of one detection_id the earliest ingested counts, of several observations with
-    one index in a frame the one with the smallest id.
+    corners within 0..1. Rows that agree in video, class, frame and index are one observation: that of the smallest id, and of
+    its deliveries the earliest. A delivery that names another video, class, frame or index is an observation of its own.
     """
     b = F.col("bbox_xyxy_normalized")
     fps = videos.where(F.col("video_id").isNotNull()).groupBy("video_id").agg(F.max("fps").alias("fps"))

@@ -24,6 +24,16 @@ def test_cumulated_equals_a_plain_sum(spark, parts):
     assert ordered.cumulated(df.drop("_b").limit(0), ["k"], "v", ["c"]).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_previous_value_crosses_blocks(spark, block):
+    rng = random.Random(block)
+    rows = [(k, n, rng.random()) for k in ("a", "b", None) for n in sorted(rng.sample(range(90), 30))] + [("c", 5, 0.5)]
+    got = {(r.k, r.n): r.previous for r in ordered.previous(spark.createDataFrame(rows, "k string, n long, v double").repartition(3), ["k"], "n", [], "v", block).collect()}
+    for k in ("a", "b", "c", None):
+        mine = [r for r in rows if r[0] == k]
+        assert [got[(k, n)] for _, n, _ in mine] == [None, *(v for _, _, v in mine[:-1])]
+
+
 def test_stream_digest_is_that_of_the_bytes(spark):
     rows = [(s, n, f"line {n}\n" if n % 5 else None) for n in range(60) for s in ("train", None) if (n + len(s or "")) % 3]
     df = spark.createDataFrame(rows, "split string, n long, t string").repartition(7)
