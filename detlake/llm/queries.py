@@ -185,6 +185,13 @@ WITH RECURSIVE direct AS (
 edge AS (SELECT a, b FROM direct WHERE a <> b UNION SELECT b, a FROM direct WHERE a <> b),
 reach(x, y) AS (SELECT a, a FROM edge UNION SELECT r.x, e.b FROM reach r JOIN edge e ON r.y = e.a)
 SELECT x AS canonical_image_id, min(y) AS group_id FROM reach WHERE x NOT LIKE 'group %' AND y NOT LIKE 'group %' GROUP BY x HAVING count(DISTINCT y) > 1""",
+        "p1_runs": _RUN_SQL
+        + """edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(x, y) AS (SELECT a, a FROM edge UNION SELECT r.x, e.b FROM reach r JOIN edge e ON r.y = e.a),
+run AS (SELECT id, coalesce(min(y), id) AS r FROM obs LEFT JOIN reach ON x = id GROUP BY id),
+time AS (SELECT detection_id AS id, min(timestamp_ms) AS t FROM detections GROUP BY 1),
+w AS (SELECT v, c, r, count(*) AS n, min(f) AS lo, max(f) AS hi, arg_min(id, (f, id)) AS first_id, arg_max(id, (f, id)) AS last_id FROM run JOIN obs USING (id) GROUP BY v, c, r)
+SELECT v AS video_id, c AS class_id, n AS observations, lo AS first_frame, hi AS last_frame, first_id AS first_detection_id, last_id AS last_detection_id, b.t - a.t AS duration_ms FROM w JOIN time a ON a.id = first_id JOIN time b ON b.id = last_id""",
         "p1_found": _RUN_SQL
         + """edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(x, y) AS (SELECT a, a FROM edge UNION SELECT r.x, e.b FROM reach r JOIN edge e ON r.y = e.a),
