@@ -148,6 +148,36 @@ def near_duplicate_links(hashes: DataFrame, max_distance: int = 6) -> DataFrame:
     return rows.join(first, "hash").select(F.col("first").alias("a"), F.col("id").alias("b")).unionByName(close).where("a <> b")
 
 
+def near_duplicate_classes(images: DataFrame, max_distance: int = 6, confirmed_distance: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Pairs between classes of alike images, and membership.
+
+    ``images`` is (id, hash as long, sha, width, height). A class are the images of one hash and size, named by its least id. Pairs
+    are (a, b, distance, relationship, hard_split_constraint, a_copies, b_copies) of all classes whose hashes share a 16-bit
+    band and differ in at most ``max_distance`` bits, confirmed if the sizes agree and the hashes are close. Members are
+    (id, representative, copies, relationship): exact copies of the representative by sha, else near duplicates of it. So
+    copies cost a row each and not their square, and no link between different images is lost. Null hashes are left out.
+    """
+    rows = cut(images.where("hash IS NOT NULL").select("id", "hash", "sha", "width", "height").distinct())
+    first = F.min(F.struct("id", "sha")).alias("f")
+    named = rows.groupBy("hash", "width", "height").agg(first, F.count_distinct("id").alias("copies"))
+    classes = cut(named.select(F.col("f.id").alias("representative"), F.col("f.sha").alias("first_sha"), "hash", "width", "height", "copies"))
+    side = lambda s, h: classes.select(F.col("representative").alias(s), F.col("hash").alias(h), F.col("width").alias(f"{s}_w"), F.col("height").alias(f"{s}_h"), F.col("copies").alias(f"{s}_copies"))
+    same = side("x", "h").join(side("y", "h"), "h").where("x < y").drop("h").withColumn("distance", F.lit(0))
+    close = close_hashes(classes, max_distance).join(side("x", "ha"), "ha").join(side("y", "hb"), "hb").drop("ha", "hb")
+    both = same.unionByName(close)
+    sure = F.coalesce((F.col("distance") <= confirmed_distance) & (F.col("x_w") == F.col("y_w")) & (F.col("x_h") == F.col("y_h")), F.lit(False))
+    turned = F.col("x") > F.col("y")
+    pick = lambda p, q: F.when(turned, F.col(q)).otherwise(F.col(p))
+    relationship = F.when(sure, "confirmed_near_duplicate").otherwise("candidate_warning")
+    pairs = both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), "distance", relationship.alias("relationship"), sure.alias("hard_split_constraint"), pick("x_copies", "y_copies").alias("a_copies"), pick("y_copies", "x_copies").alias("b_copies"))
+    on = F.lit(True)
+    for c in ("hash", "width", "height"):
+        on = on & rows[c].eqNullSafe(classes[c])
+    kind = F.when(F.col("id") == F.col("representative"), "representative").when(F.col("sha") == F.col("first_sha"), "exact").when(rows["width"].isNotNull() & rows["height"].isNotNull(), "confirmed_near_duplicate").otherwise("candidate_warning")
+    members = rows.join(classes, on).select("id", "representative", "copies", kind.alias("relationship")).distinct()
+    return pairs, members
+
+
 def _windowed_candidates(hashes: DataFrame, max_distance: int, bucket_limit: int, neighbours: int) -> DataFrame:
     bands = F.array(*(F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("hash", 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("value")) for b in range(4)))
     rows = hashes.select("id", "hash").distinct().select("id", "hash", F.explode(bands).alias("k")).select("id", "hash", "k.band", "k.value")

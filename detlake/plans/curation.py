@@ -133,8 +133,13 @@ def _hashes(s, d):
 
 
 def near_duplicates(s, d):
-    hashes = cut(_hashes(s, d))
-    return grouping.relations(grouping.near_duplicate_candidates(hashes), hashes).select("a", "b", "distance", "relationship", "hard_split_constraint")
+    """Pairs between classes of alike images."""
+    return grouping.near_duplicate_classes(_hashes(s, d))[0]
+
+
+def near_duplicate_members(s, d):
+    """The class of every image with a hash."""
+    return grouping.near_duplicate_classes(_hashes(s, d))[1]
 
 
 def near_duplicate_groups(s, d):
@@ -431,7 +436,7 @@ def table_digest(s, d):
 def queries():
     named = (
         event_summary, event_associations, event_status_counts, event_reconciliation, event_totals, grouped_split_integrity, valid_observations, gap_sessions, running_counts, capture_groups, capture_group_sizes, boundary_guard, exact_duplicates,
-        near_duplicates, near_duplicate_groups, component_roots, grouped_split, grouped_split_refined, grouped_split_balance, split_conflicts, pair_conflicts, country_shares, image_summary, voc_boxes, label_lines, label_error_counts,
+        near_duplicates, near_duplicate_members, near_duplicate_groups, component_roots, grouped_split, grouped_split_refined, grouped_split_balance, split_conflicts, pair_conflicts, country_shares, image_summary, voc_boxes, label_lines, label_error_counts,
         class_inventory, label_roundtrip, pair_integrity, image_categories, area_histogram, disposition_matrix, hash_sample, stratified_sample, class_showcase, covering_sample, temporal_bins, representatives,
         interval_frames, distributed_frames, candidate_frames, frame_differences, quality_summary, best_epoch, history_gaps, clock_codes, stable_ids, missing_exports, repeated_images, field_differences,
         observation_violations, unknown_videos, job_transitions, job_status, split_digests, table_digest,
@@ -527,8 +532,13 @@ hit AS (SELECT canonical_image_id, reason FROM r JOIN q USING (capture_group) WH
 SELECT canonical_image_id, string_agg(reason, ';' ORDER BY reason) AS reasons FROM hit GROUP BY 1""",
         "exact_duplicates": f"""WITH r AS (SELECT DISTINCT canonical_image_id, lower(trim(image_sha256)) AS key FROM images WHERE canonical_image_id IS NOT NULL), m AS (SELECT key, count(*) AS member_count FROM r WHERE key <> '' GROUP BY key HAVING count(*) > 1)
 SELECT {_sid('exact', 16, 'key')} AS duplicate_group, key, member_count, canonical_image_id FROM r JOIN m USING (key)""",
-        "near_duplicates": f"""WITH {_REC}, {_HASH}, j AS (SELECT cand.*, coalesce(distance <= 2 AND x.width = y.width AND x.height = y.height, false) AS sure FROM cand JOIN good x ON x.id = a JOIN good y ON y.id = cand.b WHERE x.sha IS NULL OR y.sha IS NULL OR x.sha <> y.sha)
-SELECT a, b, distance, CASE WHEN sure THEN 'confirmed_near_duplicate' ELSE 'candidate_warning' END AS relationship, sure AS hard_split_constraint FROM j""",
+        "near_duplicates": f"""WITH {_REC}, {_HASH}, cls AS (SELECT h, width, height, min(id) AS rep, count(*) AS copies FROM good GROUP BY ALL),
+cb AS (SELECT *, unnest([{{'k': 0, 'v': h & 65535}}, {{'k': 1, 'v': (h >> 16) & 65535}}, {{'k': 2, 'v': (h >> 32) & 65535}}, {{'k': 3, 'v': h >> 48}}]) AS bb FROM cls),
+j AS (SELECT DISTINCT x.rep AS a, y.rep AS b, bit_count(xor(x.h, y.h))::INT AS distance, coalesce(bit_count(xor(x.h, y.h)) <= 2 AND x.width = y.width AND x.height = y.height, false) AS sure, x.copies AS a_copies, y.copies AS b_copies FROM cb x JOIN cb y ON x.bb = y.bb AND x.rep < y.rep WHERE bit_count(xor(x.h, y.h)) <= 6)
+SELECT a, b, distance, CASE WHEN sure THEN 'confirmed_near_duplicate' ELSE 'candidate_warning' END AS relationship, sure AS hard_split_constraint, a_copies, b_copies FROM j""",
+        "near_duplicate_members": f"""WITH {_REC}, {_HASH}, cls AS (SELECT h, width, height, min(id) AS representative, arg_min(struct_pack(s := sha), id).s AS first_sha, count(*) AS copies FROM good GROUP BY ALL)
+SELECT id, representative, copies, CASE WHEN id = representative THEN 'representative' WHEN sha = first_sha THEN 'exact' WHEN good.width IS NOT NULL AND good.height IS NOT NULL THEN 'confirmed_near_duplicate' ELSE 'candidate_warning' END AS relationship
+FROM good JOIN cls ON good.h = cls.h AND good.width IS NOT DISTINCT FROM cls.width AND good.height IS NOT DISTINCT FROM cls.height""",
         "near_duplicate_groups": f"""WITH RECURSIVE {_REC}, {_HASH}, e AS (SELECT a, b FROM cand UNION SELECT b, a FROM cand), reach(x, y) AS (SELECT a, a FROM e UNION SELECT x, e.b FROM reach JOIN e ON y = e.a), m AS (SELECT x, min(y) AS r FROM reach GROUP BY x)
 SELECT {_sid('near_candidate', 16, "string_agg(x, chr(0) ORDER BY x)")} AS duplicate_group, count(*)::INT AS member_count, string_agg(x, ',' ORDER BY x) AS members FROM m GROUP BY r""",
         "component_roots": """WITH RECURSIVE p AS (SELECT lower(trim(first_image_id)) AS a, lower(trim(second_image_id)) AS b FROM near_duplicate_pairs), e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b),

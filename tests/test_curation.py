@@ -260,3 +260,33 @@ def test_runs_and_numbers_over_blocks(spark):
         got = ordered.runs(df, ["k"], "t", [], lambda p, q: q - p > 5, block).collect()
         assert {(r.k, r.t): (r.run, r.run_start) for r in got} == want
         assert {(r.k, r.t): r.n for r in ordered.numbered(df, ["k"], "t", [], block).collect()} == number
+
+
+def test_near_duplicate_classes_keep_every_link(spark):
+    """Copies are members of one class; every close pair of images is a pair of their classes or lies in one class."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    rows = []
+    for n in range(160):
+        h = rng.choice(base)
+        for _ in range(rng.choice((0, 0, 1, 2, 5))):
+            h ^= 1 << rng.randrange(63)
+        rows.append((f"i{n:03d}", h if n % 20 else None, rng.choice(("s", "t", None)), rng.choice((1, 2, None)), 1))
+    df = spark.createDataFrame(rows + rows[:5], "id string, hash long, sha string, width int, height int")
+    pairs, members = (x.collect() for x in grouping.near_duplicate_classes(df))
+    of = {r.id: r.representative for r in members}
+    assert len(of) == len(members) == sum(r[1] is not None for r in rows)
+    linked = {(r.a, r.b): r for r in pairs}
+    assert len(linked) == len(pairs) and all(a < b for a, b in linked)
+    bands = lambda h: {(b, h >> 16 * b & 0xFFFF) for b in range(4)}
+    for i, p in enumerate(rows):
+        for q in rows[i + 1 :]:
+            if p[1] is not None and q[1] is not None and (p[1] ^ q[1]).bit_count() <= 6 and bands(p[1]) & bands(q[1]):
+                a, b = sorted((of[p[0]], of[q[0]]))
+                assert a == b or linked[(a, b)].distance == (p[1] ^ q[1]).bit_count()
+                assert a == b or linked[(a, b)].hard_split_constraint == ((p[1] ^ q[1]).bit_count() <= 2 and p[3] is not None and p[3] == q[3])
+    copies = {}
+    for r in members:
+        copies[r.representative] = copies.get(r.representative, 0) + 1
+    assert all(copies[r.representative] == r.copies for r in members) and all(r.a_copies == copies[r.a] and r.b_copies == copies[r.b] for r in pairs)
+    assert all(x.count() == 0 for x in grouping.near_duplicate_classes(df.limit(0)))
