@@ -42,7 +42,8 @@ def stream_events(observations: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 out += machine.events
                 machine.events = []
         state.update((frame_seen, json.dumps(machine.events)))
-        yield pd.DataFrame([event_row(key, e, rules) for e in out], columns=EVENT_COLUMNS)
+        if out:
+            yield pd.DataFrame([event_row(key, e, rules) for e in out], columns=EVENT_COLUMNS)
 
     wanted = observations.select(*INPUT_COLUMNS)
     return wanted.groupBy("video_id", "class_id").applyInPandasWithState(step, EVENT_SCHEMA, "frame long, events string", "append", GroupStateTimeout.NoTimeout)
