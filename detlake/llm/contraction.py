@@ -36,7 +36,7 @@ def contract(edges: DataFrame, a: str = "a", b: str = "b", seed: int = 20) -> Da
         hooks = cut(first.select(F.col("_u").alias("_from"), F.least(F.col("_n"), order(F.col("_u")))["x"].alias("_to")))
         mappings.append(hooks)
         left = live.join(hooks, F.col("_u") == F.col("_from")).select(F.col("_to").alias("_u"), "_v")
-        live = cut(_tidy(left.join(hooks, F.col("_v") == F.col("_from")).select("_u", F.col("_to").alias("_v"))))
+        live = _unsized(cut(_tidy(left.join(hooks, F.col("_v") == F.col("_from")).select("_u", F.col("_to").alias("_v")))))
     else:
         raise RuntimeError("contraction did not end")
     if not mappings:
@@ -49,6 +49,16 @@ def contract(edges: DataFrame, a: str = "a", b: str = "b", seed: int = 20) -> Da
     return done
 
 
+def _unsized(df: DataFrame) -> DataFrame:
+    """The same rows with Spark's default for an unknown size.
+
+    A checkpoint keeps the size estimated for its plan, which is the product of the sides for a join. With two joins a
+    round the estimate would have three times the digits after each, and the driver would hold and multiply these numbers.
+    """
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), session)
+
+
 def _tidy(pairs: DataFrame) -> DataFrame:
     u, v = F.col("_u"), F.col("_v")
     return pairs.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.least(u, v).alias("_u"), F.greatest(u, v).alias("_v")).distinct()

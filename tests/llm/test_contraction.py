@@ -42,6 +42,12 @@ def test_chain_and_star(spark):
     assert mine(spark, edges) == brute(edges)
 
 
+def test_estimated_size_grows_with_the_rounds_and_not_as_their_power(spark):
+    edges = spark.createDataFrame([(n, n + 1) for n in range(3000)], "a int, b int")
+    estimate = contraction.contract(edges)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert estimate.bit_length() < 64 * 30
+
+
 def test_empty(spark):
     assert mine(spark, []) == {}
 
