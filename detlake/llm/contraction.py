@@ -8,6 +8,8 @@ per-round mappings are then expanded from the last to the first, each join being
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ def contract(edges: DataFrame, a: str = "a", b: str = "b", seed: int = 20) -> Da
     """
     pairs = edges.select(F.col(a).alias("_u"), F.col(b).alias("_v"))
     live = cut(_tidy(pairs))
+    _release(live)
     mappings: list[DataFrame] = []
     for step in range(MAX_ROUNDS):
         if live.isEmpty():
@@ -35,8 +38,11 @@ def contract(edges: DataFrame, a: str = "a", b: str = "b", seed: int = 20) -> Da
         first = both.groupBy("_u").agg(F.min(order(F.col("_v"))).alias("_n"))
         hooks = cut(first.select(F.col("_u").alias("_from"), F.least(F.col("_n"), order(F.col("_u")))["x"].alias("_to")))
         mappings.append(hooks)
+        _release(hooks)
         left = live.join(hooks, F.col("_u") == F.col("_from")).select(F.col("_to").alias("_u"), "_v")
         live = _unsized(cut(_tidy(left.join(hooks, F.col("_v") == F.col("_from")).select("_u", F.col("_to").alias("_v")))))
+        del left
+        _release(live)
     else:
         raise RuntimeError("contraction did not end")
     if not mappings:
@@ -59,6 +65,13 @@ def _unsized(df: DataFrame) -> DataFrame:
     return DataFrame(session._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), session)
 
 
+def _release(df: DataFrame) -> None:
+    """Let Spark delete files of earlier rounds: it does so when nothing in Python or the driver's JVM refers to them any more
+    and both have collected their garbage, which by itself may be half an hour later."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _tidy(pairs: DataFrame) -> DataFrame:
     u, v = F.col("_u"), F.col("_v")
     return pairs.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.least(u, v).alias("_u"), F.greatest(u, v).alias("_v")).distinct()
@@ -87,9 +100,29 @@ def match_edges(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def linked_images(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``(canonical_image_id, group_id)`` of each image linked with at least one other, group_id the smallest id."""
-    found = cut(contract(match_edges(pairs, groups)))
-    images = found.where(F.col("vertex").startswith("i:")).select(F.expr("substring(vertex, 3)").alias("canonical_image_id"), "root")
+def _code(name: str, seed: int):
+    return F.when(F.col(name).isNotNull(), F.xxhash64(F.lit(seed), name))
+
+
+def _coded_names(edges: DataFrame, seed: int) -> DataFrame:
+    """``(code, name, other)`` of every vertex; name and other differ where vertices share a code."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("_x")).where("_x IS NOT NULL")
+    return ends.groupBy(_code("_x", seed).alias("code")).agg(F.min("_x").alias("name"), F.max("_x").alias("other"))
+
+
+def linked_images(pairs: DataFrame, groups: DataFrame, seed: int = 20) -> DataFrame:
+    """``(canonical_image_id, group_id)`` of each image linked with at least one other, group_id the smallest id.
+
+    The rounds see codes of eight bytes in place of ids, so that checkpoints and shuffles are small. Codes that two vertices share
+    (one chance in ten thousand for 60 million vertices) are found first and the codes drawn anew.
+    """
+    edges = match_edges(pairs, groups)
+    while not _coded_names(edges, seed).where("name <> other").isEmpty():
+        seed += 1
+    _release(edges)
+    found = cut(contract(edges.select(_code("a", seed).alias("a"), _code("b", seed).alias("b"))))
+    _release(found)
+    images = edges.select(F.explode(F.array("a", "b")).alias("_x")).where(F.col("_x").startswith("i:"))
+    images = images.groupBy(_code("_x", seed).alias("vertex")).agg(F.expr("substring(min(_x), 3)").alias("canonical_image_id")).join(found, "vertex")
     names = images.groupBy("root").agg(F.min("canonical_image_id").alias("group_id"), F.count("*").alias("_n")).where("_n > 1")
     return images.join(names, "root").select("canonical_image_id", "group_id")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from detlake.llm import contraction
 
@@ -60,3 +61,17 @@ def test_images_of_pairs_and_lists(spark):
     )
     got = {(r.canonical_image_id, r.group_id) for r in contraction.linked_images(pairs, groups).collect()}
     assert got == {("a", "a"), ("b", "a"), ("k", "a"), ("m", "a"), ("p", "p"), ("q", "p"), ("r", "r"), ("s", "r")}
+
+
+def test_codes_that_vertices_share_are_drawn_anew(spark, monkeypatch):
+    plain, seeds = contraction._code, []
+
+    def narrow(name, seed):
+        seeds.append(seed)
+        return F.pmod(plain(name, seed), F.lit(2)) if seed < 22 else plain(name, seed)
+
+    monkeypatch.setattr(contraction, "_code", narrow)
+    pairs = spark.createDataFrame([("a", "b", True), ("c", "d", True), ("e", None, True)], "first_image_id string, second_image_id string, hard_split_constraint boolean")
+    groups = spark.createDataFrame([("g1", ["d", "k"], True)], "duplicate_group string, member_image_ids array<string>, hard_split_constraint boolean")
+    got = {(r.canonical_image_id, r.group_id) for r in contraction.linked_images(pairs, groups).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("k", "c")} and max(seeds) == 22
